@@ -115,5 +115,5 @@ def write_caption_files(rendered: DataFrame, folder: str) -> None:
 
 def read_caption_files(spark, folder: str) -> DataFrame:
     """Caption files written by ``write_caption_files``, one row per file."""
-    files = spark.read.option("wholetext", True).text(folder)
+    files = spark.read.text(folder, wholetext=True)
     return files.withColumnRenamed("value", "text").withColumn("project_id", F.col("project_id").cast("long"))

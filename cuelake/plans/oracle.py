@@ -171,13 +171,13 @@ def sql(body: str) -> str:
                     needed.append(name)
 
     visit(body)
-    if not needed:
-        return body.strip()
-    stripped = body.strip()
-    head = "WITH RECURSIVE " if stripped.startswith("+RECURSIVE") else "WITH "
-    stripped = stripped.removeprefix("+RECURSIVE").strip()
-    extra = ""
-    if stripped.startswith("+WITH"):
-        extra = ", " + stripped.removeprefix("+WITH").strip()
-        return head + ", ".join(f"{n} AS ({VIEWS[n].strip()})" for n in needed) + extra
-    return head + ", ".join(f"{n} AS ({VIEWS[n].strip()})" for n in needed) + " " + stripped
+    text = body.strip()
+    recursive = text.startswith("+RECURSIVE")
+    text = text.removeprefix("+RECURSIVE").strip()
+    own = text.startswith("+WITH")
+    text = text.removeprefix("+WITH").strip()
+    views = ", ".join(f"{n} AS ({VIEWS[n].strip()})" for n in needed)
+    if not needed and not own:
+        return text
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + views + ((", " if views else "") if own else " ") + text
