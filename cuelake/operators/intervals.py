@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuelake.functions.text import canonical_hash
 from cuelake.functions.timecode import parse_timecode
 from cuelake.operators import ordered
 from cuelake.operators.ordered import Order, arrange, running
@@ -137,3 +138,28 @@ def seam_offsets(windows: DataFrame, join: bool) -> DataFrame:
     w, order = arrange(windows, ("project_id",), ("idx",), dense=True)
     length = F.col("win_end_ms") - F.col("win_start_ms")
     return ordered.unblock(running(w, order, offset_ms=ordered.total(length, current=False)), order)
+
+
+HASHES_PER_NODE = 4096
+
+
+def selection_hash(windows: DataFrame, join_clips: Column, fan_in: int = HASHES_PER_NODE) -> DataFrame:
+    """Hash per selection over its windows in list order and the join switch.
+
+    Window hashes are combined ``fan_in`` at a time, level by level, so no row holds a whole
+    selection; up to ``fan_in`` windows take one level.
+    """
+    one = canonical_hash(F.col("end_ms"), F.col("id"), F.col("start_ms"))
+    h = windows.select("project_id", "idx", one.alias("h"), F.lit(1).cast("long").alias("windows"))
+    top = h.agg(F.max("idx")).first()[0] or 0
+    while True:
+        rows = F.array_sort(F.collect_list(F.struct("idx", "h")))
+        joined = F.array_join(F.transform(rows, lambda r: r["h"]), ",")
+        h = h.groupBy("project_id", F.floor(F.col("idx") / fan_in).alias("idx")).agg(
+            F.concat(F.lit("sha256:"), F.sha2(joined, 256)).alias("h"), F.sum("windows").alias("windows")
+        )
+        top = top // fan_in
+        if top == 0:
+            break
+    whole = canonical_hash(join_clips.alias("join_clips"), F.col("h").alias("windows"))
+    return h.select("project_id", "windows", whole.alias("selection_hash"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import refs
 from cuelake.functions import text as tx
-from cuelake.operators import catalog, languages
+from cuelake.functions.timecode import parse_timecode
+from cuelake.operators import catalog, intervals, languages
 from cuelake.operators.ordered import arrange
 from cuelake.plans.gate_jobs import GATE_SQL, actions
 from cuelake.plans.registry import job
@@ -149,9 +150,9 @@ q AS (SELECT *, list_filter(produced, lambda c: list_contains(captions, c)) AS m
 SELECT video_id, array_to_string(translate, ',') AS translate, array_to_string(CASE WHEN len(matched) > 0 THEN matched ELSE produced END, ',') AS caption_langs,
   array_to_string(dl, ',') AS dub_langs,
   concat_ws(';', CASE WHEN list_contains(targets, source) THEN 'self-translation:' || source END,
-    array_to_string(list_transform(list_filter(captions, lambda c: NOT list_contains(produced, c)), lambda c: 'caption-ignored:' || c), ';'),
+    NULLIF(array_to_string(list_transform(list_filter(captions, lambda c: NOT list_contains(produced, c)), lambda c: 'caption-ignored:' || c), ';'), ''),
     CASE WHEN len(captions) > 0 AND len(matched) = 0 THEN 'captions-fall-back:all' END,
-    array_to_string(list_transform(list_filter(dubs, lambda c: NOT list_contains(produced, c)), lambda c: 'dub-ignored:' || c), ';')) AS notes,
+    NULLIF(array_to_string(list_transform(list_filter(dubs, lambda c: NOT list_contains(produced, c)), lambda c: 'dub-ignored:' || c), ';'), '')) AS notes,
   CASE WHEN len(unk) > 0 THEN 'unknown-code' ELSE '' END AS error FROM q""")
 def language_plan(spark, sf):
     p = languages.language_plan(fx.language_requests(spark, sf), KNOWN)
@@ -259,14 +260,11 @@ def lang_maps(spark, sf):
 
 
 @job("selection_hash", """
-+WITH p AS (SELECT project_id, idx, id, req_start_ms AS s, req_end_ms AS e FROM x4s)
-SELECT project_id, idx, 'sha256:' || sha256('{"end_ms":' || e || ',"id":"' || id || '","join_clips":' || CASE WHEN project_id % 2 = 0 THEN 'true' ELSE 'false' END || ',"start_ms":' || s || '}') AS window_hash FROM p""")
++WITH w AS (SELECT project_id, idx, 'sha256:' || sha256('{"end_ms":' || req_end_ms || ',"id":"' || id || '","start_ms":' || req_start_ms || '}') AS h FROM x4s),
+r AS (SELECT project_id, COUNT(*) AS windows, string_agg(h, ',' ORDER BY idx) AS hs FROM w GROUP BY project_id)
+SELECT project_id, windows, 'sha256:' || sha256('{"join_clips":' || CASE WHEN project_id % 2 = 0 THEN 'true' ELSE 'false' END || ',"windows":"sha256:' || sha256(hs) || '"}') AS selection_hash FROM r""")
 def selection_hash(spark, sf):
-    from cuelake.functions.timecode import parse_timecode
-
-    s = fx.selections(spark, sf)
-    h = tx.canonical_hash(
-        parse_timecode(F.col("end")).alias("end_ms"), F.col("id"), (F.col("project_id") % 2 == 0).alias("join_clips"),
-        parse_timecode(F.col("start")).alias("start_ms"),
-    )
-    return s.select("project_id", "idx", h.alias("window_hash"))
+    s = fx.selections(spark, sf).withColumns({
+        "start_ms": parse_timecode(F.col("start")), "end_ms": parse_timecode(F.col("end"))
+    })
+    return intervals.selection_hash(s, F.col("project_id") % 2 == 0)
