@@ -146,7 +146,7 @@ def sync_summary(drifts: DataFrame) -> DataFrame:
         F.max(F.abs("cumulative_ms")).alias("max_abs_drift_ms"),
         F.max_by("cumulative_ms", "cue_id").alias("cumulative_offset_ms"),
         F.sum(F.col("over_tolerance").cast("long")).alias("cues_over_tolerance"),
-        F.min(F.when(F.col("over_tolerance"), F.col("cue_id"))).alias("first_over_tolerance"),
+        F.coalesce(F.min(F.when(F.col("over_tolerance"), F.col("cue_id"))), F.lit(-1)).alias("first_over_tolerance"),
         F.count(F.lit(1)).alias("cues"),
     )
 

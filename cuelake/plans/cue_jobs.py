@@ -158,7 +158,7 @@ def freeze_plan_trim(spark, sf):
 
 
 SUMMARY = """SELECT project_id, language, MAX(ABS(cumulative_ms)) AS max_abs_drift_ms, arg_max(cumulative_ms, cue_id) AS cumulative_offset_ms,
-  CAST(SUM(over_tolerance::INT) AS BIGINT) AS cues_over_tolerance, MIN(CASE WHEN over_tolerance THEN cue_id END) AS first_over_tolerance, COUNT(*) AS cues"""
+  CAST(SUM(over_tolerance::INT) AS BIGINT) AS cues_over_tolerance, COALESCE(MIN(CASE WHEN over_tolerance THEN cue_id END), -1) AS first_over_tolerance, COUNT(*) AS cues"""
 
 
 @job("sync_report", f"""

@@ -35,7 +35,7 @@ FROM (SELECT *, SUM(gap_ms + dur_ms) OVER (PARTITION BY project_id ORDER BY cue_
          CAST(((conv_id * 7 + turn * 13) % 6) * 300 AS BIGINT) AS gap_ms,
          CAST(500 + (length(text) * 53) % 9000 AS BIGINT) AS natural_ms,
          (conv_id + turn) % 11 = 0 AS keep_source,
-         CASE WHEN (conv_id + turn) % 5 = 0 THEN -2.0 ELSE -0.2 END AS confidence
+         CASE WHEN (conv_id + turn) % 5 = 0 THEN -2.0::DOUBLE ELSE -0.2::DOUBLE END AS confidence
   FROM conversations))""",
     "x1b": """
 SELECT * REPLACE (CASE WHEN sw THEN e0 ELSE s0 END AS start_ms, CASE WHEN sw THEN s0 ELSE e0 END AS end_ms)

@@ -7,7 +7,7 @@ TRANSCRIPT = (
     f"confidence:double,no_speech_prob:double,words:array<{WORD}>>>"
 )
 WHISPER = (
-    "project_id string, language string, duration double, segments array<struct<start:double,end:double,text:string,"
+    "project_id string, language string, duration double, segments array<struct<id:bigint,start:double,end:double,text:string,"
     "avg_logprob:double,no_speech_prob:double,"
     "words:array<struct<word:string,start:double,end:double,probability:double>>>>"
 )

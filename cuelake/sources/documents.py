@@ -48,7 +48,7 @@ def read_whisper(spark: SparkSession, path: str, multi_line: bool = False) -> Da
         ),
     )
     return d.select(
-        "project_id", "language", "duration", F.col("pos").cast("long").alias("cue_id"),
+        "project_id", "language", "duration", F.coalesce("s.id", F.col("pos").cast("long")).alias("cue_id"),
         ms(F.col("s.start")).alias("start_ms"), ms(F.col("s.end")).alias("end_ms"), F.trim("s.text").alias("text"),
         F.col("s.avg_logprob").alias("confidence"), F.col("s.no_speech_prob").alias("no_speech_prob"), words.alias("words"),
     )
@@ -147,10 +147,15 @@ def read_glossaries(spark: SparkSession, path: str, multi_line: bool = False) ->
 
 
 def read_playlists(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Entries with their place in the playlist; ``offset=`` folders hold the parts of long ones."""
     d = read_json(spark, path, schemas.PLAYLIST, multi_line)
-    d = d.select(F.col("id").alias("playlist_id"), F.col("title").alias("playlist_title"), F.posexplode("entries").alias("pos", "e"))
+    first = F.col("offset") if "offset" in d.columns else F.lit(0)
+    d = d.select(
+        F.col("id").alias("playlist_id"), F.col("title").alias("playlist_title"), first.cast("long").alias("_first"),
+        F.posexplode("entries").alias("pos", "e"),
+    )
     return d.select(
-        "playlist_id", "playlist_title", (F.col("pos") + 1).cast("long").alias("ordinal"), F.col("e.id").alias("video_id"),
+        "playlist_id", "playlist_title", (F.col("_first") + F.col("pos") + 1).alias("ordinal"), F.col("e.id").alias("video_id"),
         F.col("e.url").alias("url"), F.col("e.title").alias("title"), F.col("e.channel").alias("channel"),
         F.col("e.duration").alias("duration_seconds"),
     )

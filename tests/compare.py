@@ -44,13 +44,27 @@ def rows(columns, data):
     return sorted((tuple(_norm(r[i]) for i in at) for r in data), key=repr)
 
 
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def type_problems(df, description):
+    """Columns whose type differs between the two engines."""
+    want = {d[0]: str(d[1]) for d in description}
+    return [
+        f"{c}: {t} != {want[c]}" for c, t in df.dtypes if c in want and TYPES.get(t, t) != want[c]
+    ]
+
+
 def compare(spark, con, name, query, sql, sf_dir):
     df = query(spark, sf_dir)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     res = con.execute(sql)
     cols = [d[0] for d in res.description]
     want = rows(cols, res.fetchall())
-    problems = []
+    problems = type_problems(df, res.description)
     if sorted(cols) != sorted(df.columns):
         problems.append(f"columns {sorted(df.columns)} != {sorted(cols)}")
     if len(got) != len(want):
