@@ -131,7 +131,7 @@ def transcript_decision(
     share = F.round(F.col("low_confidence") / F.col("cue_count"), 6)
     m = m.withColumns({
         "low_confidence_share": F.when(F.col("cue_count") > 0, share).otherwise(0.0),
-        "too_coarse": F.col("cue_count") * ms_per_cue < F.col("source_ms"),
+        "too_coarse": F.coalesce(F.col("cue_count") * ms_per_cue < F.col("source_ms"), F.lit(False)),
     })
     doubtful = F.col("low_confidence") > conditional_share * F.col("cue_count")
     return m.withColumn(
