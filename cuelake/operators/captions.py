@@ -35,7 +35,7 @@ def render(
         *TRACK, F.floor(F.col("cue_id") / cues_per_part).alias("part"), "cue_id",
         _block(fmt, text, "lines" in cues.columns).alias("block"),
     )
-    parts = F.array_sort(F.collect_list(F.struct("cue_id", "block")))
+    parts = F.sort_array(F.collect_list(F.struct("cue_id", "block")))
     out = c.groupBy(*TRACK, "part").agg(
         F.array_join(F.transform(parts, lambda b: b["block"]), "").alias("text")
     )
@@ -81,7 +81,7 @@ def export_worksheet(cues: DataFrame, flags: DataFrame, existing: DataFrame | No
     if existing is not None:
         cues = cues.join(existing, [*TRACK, "cue_id"], "left_anti")
     f = flags.groupBy(*TRACK, "cue_id").agg(
-        F.array_sort(F.collect_set(F.concat(F.lit("editorial-"), F.col("category")))).alias("flags")
+        F.sort_array(F.collect_set(F.concat(F.lit("editorial-"), F.col("category")))).alias("flags")
     )
     out = cues.withColumn("target_text", F.lit("")).join(f, [*TRACK, "cue_id"], "left")
     return out.withColumn("flags", F.coalesce("flags", F.array().cast("array<string>")))

@@ -38,7 +38,7 @@ def problems(chapters: DataFrame, order: Order, source: DataFrame) -> DataFrame:
 def description(chapters: DataFrame, per_part: int = CHAPTERS_PER_PART) -> DataFrame:
     """Timecode lines for a video description, in parts of bounded size."""
     line = F.concat(chapter_time(F.col("start_ms")), F.lit(" "), F.col("title"))
-    rows = F.array_sort(F.collect_list(F.struct("cue_id", line.alias("line"))))
+    rows = F.sort_array(F.collect_list(F.struct("cue_id", line.alias("line"))))
     return chapters.groupBy(*TRACK, F.floor(F.col("cue_id") / per_part).alias("part")).agg(
         F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text")
     )

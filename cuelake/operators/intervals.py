@@ -57,20 +57,22 @@ def clip_captions(cues: DataFrame, order: Order, windows: DataFrame) -> DataFram
 def snap_edges(
     edges: DataFrame, boundaries: DataFrame, radius_ms: int = SNAP_RADIUS_MS
 ) -> DataFrame:
-    """Nearest boundary within the radius for each edge ``(project_id, edge_id, at_ms)``; ties go back.
+    """Nearest boundary within the radius for each edge ``(project_id, at_ms, …)``; ties go back.
 
-    Buckets as wide as the radius: an edge looks into its own and the two next to it.
+    Equal times are looked up once. Buckets are as wide as the radius, so a time looks into its own
+    and the two next to it.
     """
-    e = edges.withColumn("_home", F.floor(F.col("at_ms") / radius_ms))
+    e = edges.select("project_id", "at_ms").distinct()
+    e = e.withColumn("_home", F.floor(F.col("at_ms") / radius_ms))
     e = e.withColumn("_b", F.explode(F.array(F.col("_home") - 1, F.col("_home"), F.col("_home") + 1)))
     b = boundaries.select("project_id", "boundary_ms").distinct()
     b = b.withColumn("_b", F.floor(F.col("boundary_ms") / radius_ms))
     d = F.abs(F.col("boundary_ms") - F.col("at_ms"))
     near = e.join(b, ["project_id", "_b"]).filter(d <= radius_ms)
-    best = near.groupBy("project_id", "edge_id").agg(
+    best = near.groupBy("project_id", "at_ms").agg(
         F.min(F.struct(d.alias("d"), F.col("boundary_ms"))).alias("_best")
     )
-    out = edges.join(best, ["project_id", "edge_id"], "left")
+    out = edges.join(best, ["project_id", "at_ms"], "left")
     return out.select(
         *edges.columns, F.coalesce(F.col("_best")["boundary_ms"], F.col("at_ms")).alias("snapped_ms"),
         F.col("_best").isNotNull().alias("has_candidate"),
@@ -82,7 +84,7 @@ def cue_boundaries(cues: DataFrame) -> DataFrame:
 
 
 def resolve_segments(
-    selections: DataFrame, cues: DataFrame, source: DataFrame, radius_ms: int = SNAP_RADIUS_MS
+    selections: DataFrame, order: Order, cues: DataFrame, source: DataFrame, radius_ms: int = SNAP_RADIUS_MS
 ) -> DataFrame:
     """Clip windows as given to checked windows in milliseconds, list order kept.
 
@@ -92,30 +94,25 @@ def resolve_segments(
     s = selections.withColumns({
         "req_start_ms": parse_timecode(F.col("start")), "req_end_ms": parse_timecode(F.col("end"))
     })
-    edges = s.filter(~F.col("exact")).select(
-        "project_id", F.posexplode(F.array("req_start_ms", "req_end_ms")).alias("side", "at_ms"), "idx"
-    ).withColumn("edge_id", F.col("idx") * 2 + F.col("side"))
-    snapped = snap_edges(edges.select("project_id", "edge_id", "at_ms"), cue_boundaries(cues), radius_ms)
-    by_window = snapped.groupBy("project_id", F.floor(F.col("edge_id") / 2).alias("idx")).agg(
-        F.max(F.when(F.col("edge_id") % 2 == 0, F.col("snapped_ms"))).alias("_s"),
-        F.max(F.when(F.col("edge_id") % 2 == 1, F.col("snapped_ms"))).alias("_e"),
-    )
-    s = s.join(by_window, ["project_id", "idx"], "left")
-    s = s.withColumns({
-        "start_ms": F.coalesce("_s", "req_start_ms"), "end_ms": F.coalesce("_e", "req_end_ms")
-    }).drop("_s", "_e")
+    edges = s.filter(~F.col("exact")).select("project_id", F.explode(F.array("req_start_ms", "req_end_ms")).alias("at_ms"))
+    snapped = snap_edges(edges.distinct(), cue_boundaries(cues), radius_ms).filter("has_candidate")
+    for side in ("start", "end"):
+        near = snapped.select(
+            "project_id", F.col("at_ms").alias(f"req_{side}_ms"), F.lit(False).alias("exact"), F.col("snapped_ms").alias("_near")
+        )
+        s = s.join(near, ["project_id", f"req_{side}_ms", "exact"], "left")
+        s = s.withColumn(f"{side}_ms", F.coalesce("_near", f"req_{side}_ms")).drop("_near")
     s = s.withColumn("snapped", (F.col("start_ms") != F.col("req_start_ms")) | (F.col("end_ms") != F.col("req_end_ms")))
 
-    repeated = s.groupBy("project_id", "id").agg(F.count(F.lit(1)).alias("_uses")).filter("_uses > 1")
+    repeated = selections.groupBy("project_id", "id").agg(F.count(F.lit(1)).alias("_uses")).filter("_uses > 1")
     s = s.join(repeated, ["project_id", "id"], "left").join(
         source.groupBy("project_id").agg(F.max("source_ms").alias("source_ms")), "project_id", "left"
     )
-    s, listed = arrange(s, ("project_id",), ("idx",), dense=True)
-    s = running(s, listed, _prev=ordered.previous(F.col("start_ms")))
-    s = ordered.unblock(s, listed)
-    s, timed = arrange(s, ("project_id",), ("start_ms", "idx"))
-    s = running(s, timed, _reach=ordered.highest(F.col("end_ms"), current=False))
-    s = ordered.unblock(s, timed)
+    s = running(s, order, _prev=ordered.previous(F.col("start_ms")))
+    timed = Order(order.keys, ("start_ms", "idx"))
+    if order.block:  # some selection is large: cut it by time as well
+        s, timed = arrange(ordered.unblock(s, order), timed.keys, timed.by)
+    s = ordered.unblock(running(s, timed, _reach=ordered.highest(F.col("end_ms"), current=False)), timed)
     status = (
         F.when(F.col("source_ms").isNull(), "unknown-project")
         .when(F.col("req_start_ms").isNull() | F.col("req_end_ms").isNull(), "bad-timecode")
@@ -131,13 +128,15 @@ def resolve_segments(
     }).drop("_uses", "_prev", "_reach")
 
 
-def seam_offsets(windows: DataFrame, join: bool) -> DataFrame:
-    """Where each clip begins in the joined video: after all clips listed before it, or at 0."""
-    if not join:
+def seam_offsets(windows: DataFrame, order: Order | None) -> DataFrame:
+    """Where each clip begins in the joined video: after all clips listed before it.
+
+    Without an ``order`` the clips are not joined and each begins at 0.
+    """
+    if order is None:
         return windows.withColumn("offset_ms", F.lit(0).cast("long"))
-    w, order = arrange(windows, ("project_id",), ("idx",), dense=True)
     length = F.col("win_end_ms") - F.col("win_start_ms")
-    return ordered.unblock(running(w, order, offset_ms=ordered.total(length, current=False)), order)
+    return running(windows, order, offset_ms=ordered.total(length, current=False))
 
 
 HASHES_PER_NODE = 4096
@@ -153,7 +152,7 @@ def selection_hash(windows: DataFrame, join_clips: Column, fan_in: int = HASHES_
     h = windows.select("project_id", "idx", one.alias("h"), F.lit(1).cast("long").alias("windows"))
     top = h.agg(F.max("idx")).first()[0] or 0
     while True:
-        rows = F.array_sort(F.collect_list(F.struct("idx", "h")))
+        rows = F.sort_array(F.collect_list(F.struct("idx", "h")))
         joined = F.array_join(F.transform(rows, lambda r: r["h"]), ",")
         h = h.groupBy("project_id", F.floor(F.col("idx") / fan_in).alias("idx")).agg(
             F.concat(F.lit("sha256:"), F.sha2(joined, 256)).alias("h"), F.sum("windows").alias("windows")

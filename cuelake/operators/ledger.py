@@ -26,36 +26,35 @@ def status(calls: DataFrame, ceiling: Column) -> DataFrame:
     return out.withColumn("ceiling_usd", ceiling).withColumn("remaining_usd", F.col("ceiling_usd") - F.col("spent_usd"))
 
 
-def admit(calls: DataFrame, order: Order, ceiling_cents: int, fold_rows: int = FOLD_ROWS) -> DataFrame:
-    """Add ``admitted`` to calls ``(ledger_id, seq, guarded, cents)``; unguarded calls always pass."""
-    guarded = calls.filter("guarded")
-    sizes = guarded.groupBy("ledger_id").agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.filter(F.col("_n") > fold_rows).select("ledger_id")
-    free = calls.filter("not guarded").withColumn("admitted", F.lit(True))
-    if large.isEmpty():
-        return free.unionByName(_fold(guarded, ceiling_cents), allowMissingColumns=True)
-    small = guarded.join(large, "ledger_id", "left_anti")
-    rest = _rounds(guarded.join(large, "ledger_id", "left_semi"), order, ceiling_cents)
-    return free.unionByName(_fold(small, ceiling_cents), allowMissingColumns=True).unionByName(
-        rest, allowMissingColumns=True
-    )
+def admit(calls: DataFrame, order: Order, ceiling_cents: int) -> DataFrame:
+    """Add ``admitted`` to calls ``(ledger_id, seq, guarded, cents)``; unguarded calls always pass.
+
+    Ledgers that ``order`` cuts into blocks are the large ones; arrange them at ``FOLD_ROWS``.
+    """
+    if not order.block:
+        return _fold(calls, ceiling_cents)
+    large = F.col(order.block[0]).isNotNull()
+    free = calls.filter(large & ~F.col("guarded")).withColumn("admitted", F.lit(True))
+    rest = _rounds(calls.filter(large & F.col("guarded")), order, ceiling_cents)
+    return _fold(calls.filter(~large), ceiling_cents).unionByName(free).unionByName(rest)
 
 
 def _fold(calls: DataFrame, ceiling_cents: int) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct(*["seq", *[c for c in calls.columns if c not in ("ledger_id", "seq")]])))
+    others = [c for c in calls.columns if c not in ("ledger_id", "seq")]
+    rows = F.sort_array(F.collect_list(F.struct("seq", *others)))
     start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<boolean>").alias("ok"))
 
     def step(s: Column, call: Column) -> Column:
         fits = s["spent"] + call["cents"] <= ceiling_cents
         return F.struct(
-            F.when(fits, s["spent"] + call["cents"]).otherwise(s["spent"]).alias("spent"),
-            F.concat(s["ok"], F.array(fits)).alias("ok"),
+            F.when(call["guarded"] & fits, s["spent"] + call["cents"]).otherwise(s["spent"]).alias("spent"),
+            F.concat(s["ok"], F.array(~call["guarded"] | fits)).alias("ok"),
         )
 
     g = calls.groupBy("ledger_id").agg(rows.alias("_rows"))
-    g = g.withColumn("_ok", F.aggregate("_rows", start, step, lambda s: s["ok"]))
-    g = g.select("ledger_id", F.explode(F.arrays_zip("_rows", "_ok")).alias("_z"))
-    return g.select("ledger_id", "_z._rows.*", F.col("_z._ok").alias("admitted"))
+    ok = F.aggregate("_rows", start, step, lambda s: s["ok"])
+    g = g.select("ledger_id", F.explode(F.arrays_zip(F.col("_rows").alias("r"), ok.alias("ok"))).alias("_z"))
+    return g.select("ledger_id", "_z.r.*", F.col("_z.ok").alias("admitted")).select(*calls.columns, "admitted")
 
 
 def _rounds(calls: DataFrame, order: Order, ceiling_cents: int) -> DataFrame:
@@ -98,4 +97,4 @@ def _rounds(calls: DataFrame, order: Order, ceiling_cents: int) -> DataFrame:
         lambda r: (F.col("seq") > r["after"]) & (F.col("seq") <= r["upto"])
         & ((F.col("cents") < r["below"]) | (F.col("seq") == r["big"])),
     )
-    return c.withColumn("admitted", admitted).drop("rounds")
+    return c.withColumn("admitted", admitted).select(*calls.columns, "admitted")

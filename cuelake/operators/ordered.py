@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 1_000_000
+BROADCAST_GROUPS = 100_000
 
 
 @dataclass(frozen=True)
@@ -82,6 +83,7 @@ def arrange(
     if dense:
         if df.filter(F.col(by[0]) >= rows_per_block).isEmpty():
             return df, Order(keys, by)
+        _spread_by_block(df)
         block = F.floor(F.col(by[0]) / F.lit(rows_per_block))
         return df.withColumn("_block0", block), Order(keys, by, ("_block0",))
 
@@ -92,9 +94,11 @@ def arrange(
         F.count(F.lit(1)).alias("_n"), F.min(first).alias("_lo"), F.max(first).alias("_hi")
     )
     large = sizes.filter(F.col("_n") > rows_per_block)  # at most rows / rows_per_block groups
-    if large.isEmpty():
+    found = large.limit(BROADCAST_GROUPS + 1).count()
+    if found == 0:
         return df, Order(keys, by)
-    df = df.join(large, list(keys), "left")
+    _spread_by_block(df)
+    df = df.join(F.broadcast(large) if found <= BROADCAST_GROUPS else large, list(keys), "left")
     if blocks is None:
         pieces = F.ceil(F.col("_n") / F.lit(rows_per_block))
         width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces)
@@ -105,6 +109,15 @@ def arrange(
     return df, Order(keys, by, names)
 
 
+def _spread_by_block(df: DataFrame) -> None:
+    """Let a window over (group, block) shuffle by both, also right after a join on the group alone.
+
+    By default Spark takes rows that lie together per group as good enough for (group, block), and
+    a large group would stay in one task.
+    """
+    df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForDistribution", "true")
+
+
 def _local(spec: Running, window, wrap: bool) -> Column:
     before = window.rowsBetween(Window.unboundedPreceding, -1)
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -15,7 +15,7 @@ def package_manifest(active: DataFrame, tracks: DataFrame, rights: DataFrame, du
     """
     a = active.join(tracks.select("project_id", "language", "dub_enabled"), ["project_id", "language"])
     a = a.filter(F.col("dub_enabled") | (F.col("type") != dub_type))
-    items = F.array_sort(F.collect_list(F.concat_ws("=", "type", "sha256")))
+    items = F.sort_array(F.collect_list(F.concat_ws("=", "type", "sha256")))
     m = a.groupBy("project_id", "language").agg(items.alias("deliverables"), F.count(F.lit(1)).alias("n_deliverables"))
     m = m.join(rights, "project_id", "left")
     return m.withColumn("distributable", F.coalesce(F.col("rights_status").isin(DISTRIBUTABLE), F.lit(False)))

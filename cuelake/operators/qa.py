@@ -57,7 +57,7 @@ def resegment(cues: DataFrame, order: Order, gap_ms: int = RESEGMENT_GAP_MS) ->
     )
     c = c.withColumn("_brk", breaks.cast("long"))
     c = running(c, order, _island=ordered.total(F.col("_brk")))
-    parts = F.array_sort(F.collect_list(F.struct("cue_id", F.trim("source_text").alias("t"))))
+    parts = F.sort_array(F.collect_list(F.struct("cue_id", F.trim("source_text").alias("t"))))
     merged = c.groupBy(*order.keys, F.col("_island").alias("new_id")).agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
         F.count(F.lit(1)).alias("parts"),

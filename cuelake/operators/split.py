@@ -95,7 +95,7 @@ def slice_lengths(weights: Column, span: Column, cap: Column) -> Column:
     given = F.struct(
         weights.alias("w"), span.alias("span"), F.greatest(cap, F.ceil(span / n)).alias("cap"),
         F.aggregate(weights, _long(0), lambda a, w: a + w).alias("whole"),
-        F.reverse(F.array_sort(weights)).alias("falling"),
+        F.reverse(F.sort_array(weights)).alias("falling"),
     )
     return _let(given, _fill)
 

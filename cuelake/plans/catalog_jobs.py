@@ -264,7 +264,7 @@ def lang_maps(spark, sf):
 r AS (SELECT project_id, COUNT(*) AS windows, string_agg(h, ',' ORDER BY idx) AS hs FROM w GROUP BY project_id)
 SELECT project_id, windows, 'sha256:' || sha256('{"join_clips":' || CASE WHEN project_id % 2 = 0 THEN 'true' ELSE 'false' END || ',"windows":"sha256:' || sha256(hs) || '"}') AS selection_hash FROM r""")
 def selection_hash(spark, sf):
-    s = fx.selections(spark, sf).withColumns({
+    s = fx.selections(spark, sf)[0].withColumns({
         "start_ms": parse_timecode(F.col("start")), "end_ms": parse_timecode(F.col("end"))
     })
     return intervals.selection_hash(s, F.col("project_id") % 2 == 0)

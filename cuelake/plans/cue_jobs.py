@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as tx
-from cuelake.functions.timecode import chapter_time
 from cuelake.operators import captions, chapters, glossary, intervals, ordered, qa, split, timeline
 from cuelake.operators.ordered import Order, running, unblock
 from cuelake.plans.registry import job
@@ -43,9 +42,8 @@ SELECT m.*, COALESCE(repetition, 0) AS repetition, ROUND(low_confidence / cue_co
        WHEN low_confidence > 0.25 * cue_count OR cue_count * 10000 < source_ms THEN 'CONDITIONAL_PASS' ELSE 'PASS' END AS decision
 FROM m LEFT JOIN r USING (project_id) JOIN dur USING (project_id, language)""")
 def transcript_qa_decision(spark: SparkSession, sf: str) -> DataFrame:
-    c, order = fx.untidy_cues(spark, sf)
-    checks = qa.transcript_checks(c, order, silence_bar_ms=1000, over_long_ms=8000)
-    plain, _ = fx.cues(spark, sf)
+    plain, order = fx.cues(spark, sf)
+    checks = qa.transcript_checks(fx.untidy(plain), order, silence_bar_ms=1000, over_long_ms=8000)
     return qa.transcript_decision(checks, fx.durations(plain))
 
 
@@ -136,14 +134,14 @@ def still_image_timeline(spark, sf):
 
 
 def _planned(spark, sf, trim):
+    """Cue rows with their plan, the source lengths, and the order of both."""
     m, order = _measures(spark, sf)
-    return timeline.freeze_plan(timeline.rendered_timeline(m, order), order, trim), order
+    planned = timeline.freeze_plan(timeline.rendered_timeline(m, order), order, trim)
+    return planned, fx.durations(m), order
 
 
 def _events(spark, sf, trim):
-    planned, order = _planned(spark, sf, trim)
-    m, _ = _measures(spark, sf)
-    source = fx.durations(m)
+    planned, source, order = _planned(spark, sf, trim)
     return timeline.plan_events(planned, source, trim), source, order
 
 
@@ -168,8 +166,8 @@ g AS (SELECT project_id, language, MAX(duration_ms) AS max_silent_span_ms, COUNT
 SELECT s.* EXCLUDE (freeze_ms), COALESCE(total_freeze_ms, 0) AS total_freeze_ms, COALESCE(max_silent_span_ms, 0) AS max_silent_span_ms,
   COALESCE(silent_spans, 0) AS silent_spans FROM s LEFT JOIN t USING (project_id, language) LEFT JOIN g USING (project_id, language)""")
 def sync_report(spark, sf):
-    events, _, order = _events(spark, sf, False)
-    planned, _ = _planned(spark, sf, False)
+    planned, source, order = _planned(spark, sf, False)
+    events = timeline.plan_events(planned, source, False)
     summary = timeline.sync_summary(timeline.drift(planned, order))
     totals = events.groupBy(*TRACK).agg(F.sum("amount_ms").alias("total_freeze_ms"))
     gaps = timeline.silent_spans(planned, order).groupBy(*TRACK).agg(
@@ -208,11 +206,10 @@ SELECT d.project_id, d.language, COUNT(*) FILTER (severity = 'note') AS notes, C
 FROM (SELECT project_id, language FROM dur WHERE language <> 'de') d LEFT JOIN f ON f.project_id = d.project_id AND f.language = d.language
 GROUP BY d.project_id, d.language""")
 def audio_qa_decision(spark, sf):
-    planned, order = _planned(spark, sf, False)
+    planned, source, order = _planned(spark, sf, False)
     spans = timeline.silent_spans(planned, order)
     findings = timeline.audio_findings(timeline.drift(planned, order), spans, max_freeze_ms=1500, silent_bar_ms=6000)
-    m, _ = _measures(spark, sf)
-    dubbed = m.select(*TRACK).distinct().filter(F.col("language") != "de")  # dub-enabled tracks only
+    dubbed = source.select(*TRACK).filter(F.col("language") != "de")  # dub-enabled tracks only
     return qa.decide(findings, dubbed, TRACK)
 
 
@@ -250,9 +247,10 @@ FROM x1 JOIN win USING (project_id, language) WHERE start_ms < we AND end_ms > w
 
 @job("retimed_captions", RETIMED)
 def retimed_captions(spark, sf):
-    windows = timeline.retiming_windows(*_events(spark, sf, False))
-    c, order = _measures(spark, sf)
-    out = timeline.retimed_captions(c, order, windows)
+    planned, source, order = _planned(spark, sf, False)
+    windows = timeline.retiming_windows(timeline.plan_events(planned, source, False), source, order)
+    cues = planned.select(*TRACK, "cue_id", "start_ms", "end_ms", *order.block)
+    out = timeline.retimed_captions(cues, order, windows)
     return out.select(*TRACK, "cue_id", "clip_start_ms", "clip_end_ms", "new_id")
 
 
@@ -533,7 +531,7 @@ n AS (SELECT e.project_id, idx, side, at_ms, arg_min(boundary_ms, abs(boundary_m
 @job("edge_snap", SNAPPED + " SELECT project_id, idx * 2 + side AS edge_id, at_ms, COALESCE(near_ms, at_ms) AS snapped_ms, near_ms IS NOT NULL AS has_candidate FROM n")
 def edge_snap(spark, sf):
     c, _ = fx.cues(spark, sf)
-    s = fx.selections(spark, sf).filter(~F.col("exact"))
+    s = fx.selections(spark, sf)[0].filter(~F.col("exact"))
     t = intervals.parse_timecode
     edges = s.select("project_id", "idx", F.posexplode(F.array(t(F.col("start")), t(F.col("end")))).alias("side", "at_ms"))
     edges = edges.select("project_id", (F.col("idx") * 2 + F.col("side")).alias("edge_id"), "at_ms")
@@ -553,8 +551,8 @@ FROM r LEFT JOIN dur d ON d.project_id = r.project_id)"""
 
 def _segments(spark, sf):
     c, order = fx.cues(spark, sf)
-    segs = intervals.resolve_segments(fx.selections(spark, sf), c, fx.durations(c))
-    return segs, c, order
+    picked, listed = fx.selections(spark, sf)
+    return intervals.resolve_segments(picked, listed, c, fx.durations(c)), c, order
 
 
 @job("resolve_segments", RESOLVED + " SELECT * FROM res")
@@ -570,6 +568,13 @@ def _clip_windows(segs):
     )
 
 
+def arrange_clips(windows, listed: Order):
+    """Clips in list order; cut into blocks only where selections were."""
+    if not listed.block:
+        return windows, Order(("project_id",), ("idx",))
+    return ordered.arrange(windows, ("project_id",), ("idx",))
+
+
 CLIP = """ SELECT x1.project_id, clip, cue_id, GREATEST(start_ms, ws) - ws + off AS clip_start_ms, LEAST(end_ms, we) - ws + off AS clip_end_ms,
   ROW_NUMBER() OVER (PARTITION BY x1.project_id, clip ORDER BY cue_id) - 1 AS clip_cue_id
 FROM x1 JOIN win ON win.project_id = x1.project_id AND start_ms < we AND end_ms > ws"""
@@ -579,7 +584,7 @@ CLIP_COLS = ["project_id", "clip", "cue_id", "clip_start_ms", "clip_end_ms", "cl
 @job("clip_captions", RESOLVED + ", win AS (SELECT project_id, idx AS clip, start_ms AS ws, end_ms AS we, 0 AS off FROM res WHERE status = 'ok')" + CLIP)
 def clip_captions(spark, sf):
     segs, c, order = _segments(spark, sf)
-    windows = intervals.seam_offsets(_clip_windows(segs), join=False)
+    windows = intervals.seam_offsets(_clip_windows(segs), None)
     c = c.select("project_id", "cue_id", "start_ms", "end_ms", *order.block)
     return intervals.clip_captions(c, order, windows).select(*CLIP_COLS)
 
@@ -589,7 +594,8 @@ def clip_captions(spark, sf):
   FROM res WHERE status = 'ok')""" + CLIP)
 def joined_seams(spark, sf):
     segs, c, order = _segments(spark, sf)
-    windows = intervals.seam_offsets(_clip_windows(segs), join=True)
+    windows, listed = arrange_clips(_clip_windows(segs), fx.selections(spark, sf)[1])
+    windows = unblock(intervals.seam_offsets(windows, listed), listed)
     c = c.select("project_id", "cue_id", "start_ms", "end_ms", *order.block)
     return intervals.clip_captions(c, order, windows).select(*CLIP_COLS)
 

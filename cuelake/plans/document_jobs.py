@@ -158,7 +158,7 @@ def playlist_documents(spark, sf):
     keyed = items.select(F.col("playlist_id").cast("string").alias("id"), F.col("enumeration").alias("title"), "ordinal", "video_id")
     first = F.floor((F.col("ordinal") - 1) / docs.CUES_PER_PART) * docs.CUES_PER_PART
     parts = keyed.withColumn("offset", first).groupBy("id", "title", "offset").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", F.col("video_id").cast("string").alias("vid")))).alias("_e")
+        F.sort_array(F.collect_list(F.struct("ordinal", F.col("video_id").cast("string").alias("vid")))).alias("_e")
     )
     entries = F.transform("_e", lambda e: F.struct(e["vid"].alias("id")))
     parts.select("id", "title", entries.alias("entries"), "offset").write.partitionBy("offset").json(path)

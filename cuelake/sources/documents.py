@@ -74,7 +74,7 @@ def write_cue_documents(
     """Documents with their cues in order; ``items`` are the fields of a cue, ``id`` first."""
     part = F.floor(items["id"] / cues_per_part).alias("_part")
     c = cues.select(*keys, part, F.struct(*[v.alias(k) for k, v in items.items()]).alias("_c"))
-    docs = c.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list("_c")).alias(array)).drop("_part")
+    docs = c.groupBy(*keys, "_part").agg(F.sort_array(F.collect_list("_c")).alias(array)).drop("_part")
     for name, value in (header or {}).items():
         docs = docs.withColumn(name, value)
     docs.write.json(path)

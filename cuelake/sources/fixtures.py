@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cuelake.functions.text import squeeze
 from cuelake.operators import ordered
-from cuelake.operators.ordered import Order, arrange, running, unblock
+from cuelake.operators.ledger import FOLD_ROWS
+from cuelake.operators.ordered import Order, arrange, running
 
 CUE_KEYS = ("project_id", "language")
 STATES = [
@@ -57,8 +58,12 @@ def cues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Order]:
 
 
 def untidy_cues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Order]:
-    """The cues with some overlapping and some backwards ones."""
     c, order = cues(spark, sf_dir)
+    return untidy(c), order
+
+
+def untidy(c: DataFrame) -> DataFrame:
+    """The cues with some overlapping and some backwards ones."""
     mark = F.col("project_id") + F.col("cue_id")
     early = F.when(mark % 7 == 0, F.col("start_ms") - 1500).otherwise(F.col("start_ms"))
     swap = mark % 17 == 0
@@ -66,7 +71,7 @@ def untidy_cues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Order]:
         "start_ms": F.when(swap, F.col("_e")).otherwise(F.col("_s")),
         "end_ms": F.when(swap, F.col("_s")).otherwise(F.col("_e")),
     })
-    return c.drop("_s", "_e"), order
+    return c.drop("_s", "_e")
 
 
 def durations(cue_rows: DataFrame) -> DataFrame:
@@ -112,21 +117,22 @@ def event_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Order]:
     return e.withColumn("from_state", state).drop("_prev"), order
 
 
-def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def selections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Order]:
     """Clip windows per project in list order, as timecodes."""
     e = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("project_id"), F.col("event_id").alias("seq")
     )
     e, order = arrange(e, ("project_id",), ("seq",))
-    e = unblock(running(e, order, _rn=ordered.position()), order)
+    e = running(e, order, _rn=ordered.position())
     start = (F.col("seq") % 50) * 1000
     end = start + (F.col("seq") % 7) * 900
-    return e.select(
-        "project_id", (F.col("_rn") - 1).alias("idx"), "seq",
+    out = e.select(
+        "project_id", (F.col("_rn") - 1).alias("idx"), "seq", *order.block,
         _mmss(start).alias("start"), _mmss(end).alias("end"),
         (F.col("seq") % 4 == 0).alias("exact"),
         F.concat(F.lit("seg"), (F.col("seq") % 997).cast("string")).alias("id"),
     )
+    return out, Order(("project_id",), ("idx",), order.block)
 
 
 def _mmss(ms: Column) -> Column:
@@ -193,6 +199,7 @@ def ledger_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Order]:
     o, order = arrange(
         o, ("ledger_id",), ("o_orderdate", "o_orderkey"),
         blocks=[F.unix_micros(F.col("o_orderdate").cast("timestamp")), F.floor(F.col("o_orderkey") / 1_000_000)],
+        rows_per_block=FOLD_ROWS,
     )
     o = running(o, order, seq=ordered.position())
     out = o.select("ledger_id", "seq", "provider", "guarded", "cost_usd", *order.block)
