@@ -1,14 +1,18 @@
 """Split long cues: token-aware text chunks and proportional, capped slice lengths.
 
-Everything is local to one cue row, so no shuffle is needed before the chunks are numbered.
+Everything is local to one cue row, so no shuffle is needed before the chunks are numbered. A fold over
+tokens with ``F.aggregate`` took several times as long, so chunk ends come from a vectorised helper.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuelake.functions.text import script_class, squeeze
 from cuelake.operators import ordered
@@ -21,18 +25,19 @@ SENTENCE_BREAK = r"(?<=[.!?؟۔…])\s+"
 CJK_SENTENCE_BREAK = r"(?<=[。！？])"
 
 
-def _non_empty(parts: Column) -> Column:
-    return F.filter(parts, lambda x: x != "")
+def _parts(text: Column, script: Column, cjk_break: str, other_break: str) -> Column:
+    """Split squeezed text; only CJK breaks can leave an empty part."""
+    cjk = F.filter(F.split(text, cjk_break), lambda x: x != "")
+    none = F.array().cast("array<string>")
+    return F.when(text == "", none).when(script == "cjk", cjk).otherwise(F.split(text, other_break))
 
 
 def sentences(text: Column, script: Column) -> Column:
-    return _non_empty(
-        F.when(script == "cjk", F.split(text, CJK_SENTENCE_BREAK)).otherwise(F.split(text, SENTENCE_BREAK))
-    )
+    return _parts(text, script, CJK_SENTENCE_BREAK, SENTENCE_BREAK)
 
 
 def words(text: Column, script: Column) -> Column:
-    return _non_empty(F.when(script == "cjk", F.split(text, "")).otherwise(F.split(text, " ")))
+    return _parts(text, script, "", " ")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -44,46 +49,38 @@ def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
-def chunk_texts(tokens: Column, n: Column, separator: Column) -> Column:
-    """``n`` non-empty chunks, cut where the running length reaches each n-th of the whole."""
-    chars = F.aggregate(tokens, _long(0), lambda a, t: a + F.length(t))
-    given = F.struct(
-        tokens.alias("tokens"), n.alias("n"), chars.alias("chars"), F.size(tokens).cast("long").alias("size")
-    )
-    return _let(given, lambda g: _cut(g, separator))
+def chunk_ends(tokens: Column, n: Column) -> Column:
+    """Where each of ``n`` chunks ends, from token lengths alone; the texts stay in the JVM.
 
+    A chunk ends with the first token that reaches its share of the whole (halves to even), after at
+    least one token and leaving one for each chunk behind it.
+    """
 
-def _cut(g: Column, separator: Column) -> Column:
-    n = g["n"]
+    def ends(size: np.ndarray, k: int) -> np.ndarray:
+        reached, j = np.cumsum(size, dtype=np.int64), np.arange(k - 1)
+        q, r = np.divmod(reached[-1] * (j + 1), k)
+        share = q + np.where(2 * r == k, q % 2, 2 * r > k)
+        first = np.searchsorted(reached, share) + 1
+        cut = np.minimum(np.maximum.accumulate(first - j) + j, len(size) - (k - 1 - j))
+        return np.concatenate(([0], cut, [len(size)]))
 
-    def goal(k: Column) -> Column:  # chars * (k + 1) / n, halves to even
-        part = g["chars"] * (k + 1)
-        q, twice = F.floor(part / n).cast("long"), (part % n) * 2
-        return q + F.when(twice > n, 1).when(twice < n, 0).otherwise(q % 2)
+    def batch(lengths: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([None if k < 2 else ends(size, int(k)) for size, k in zip(lengths, counts)])
 
-    start = F.struct(
-        _long(0).alias("i"), _long(0).alias("k"), _long(0).alias("sum"), goal(_long(0)).alias("goal"),
-        F.array(_long(0)).alias("ends"),
-    )
+    # a local function travels to the executors by value
+    run = F.pandas_udf(batch, T.ArrayType(T.LongType()))
+    return run(F.when(n > 1, F.transform(tokens, F.length)), n)
 
-    def step(s: Column, t: Column) -> Column:
-        i, done = s["i"] + 1, s["sum"] + F.length(t)
-        full = (done >= s["goal"]) | (g["size"] - i == n - 1 - s["k"])
-        close = (s["k"] < n - 1) & full
-        return F.struct(
-            i.alias("i"), F.when(close, s["k"] + 1).otherwise(s["k"]).alias("k"), done.alias("sum"),
-            F.when(close, goal(s["k"] + 1)).otherwise(s["goal"]).alias("goal"),
-            F.when(close, F.concat(s["ends"], F.array(i))).otherwise(s["ends"]).alias("ends"),
-        )
 
-    ends = F.aggregate(g["tokens"], start, step, lambda s: F.concat(s["ends"], F.array(g["size"])))
+def chunk_texts(tokens: Column, ends: Column, n: Column, separator: Column) -> Column:
+    """The ``n`` chunk texts between consecutive ``ends``."""
 
-    def text(e: Column, k: Column) -> Column:
-        a, b = F.element_at(e, k.cast("int")), F.element_at(e, (k + 1).cast("int"))
-        piece = F.slice(g["tokens"], (a + 1).cast("int"), (b - a).cast("int"))
+    def text(k: Column) -> Column:
+        a, b = F.element_at(ends, k.cast("int")), F.element_at(ends, (k + 1).cast("int"))
+        piece = F.slice(tokens, (a + 1).cast("int"), (b - a).cast("int"))
         return F.call_function("array_join", piece, separator)
 
-    return _let(ends, lambda e: F.transform(F.sequence(_long(1), n), lambda k: text(e, k)))
+    return F.transform(F.sequence(_long(1), n), text)
 
 
 def slice_lengths(weights: Column, span: Column, cap: Column) -> Column:
@@ -160,9 +157,14 @@ def split_long_cues(cues: DataFrame, order: Order, max_ms: int = MAX_CUE_MS) ->
     t_tokens = F.when(F.size("_ts") >= F.col("_n"), F.col("_ts")).otherwise(F.col("_tw"))
     s_tokens = F.when(F.size("_ss") >= F.col("_n"), F.col("_ss")).otherwise(F.col("_sw"))
     one = F.col("_n") == 1
+    c = c.withColumns({"_tt": t_tokens, "_st": s_tokens}).drop("_tw", "_ts", "_sw", "_ss")
+    c = c.withColumns({
+        "_te": chunk_ends(F.col("_tt"), F.col("_n")), "_se": chunk_ends(F.col("_st"), F.col("_n"))
+    })
+    texts = lambda t, e: chunk_texts(F.col(t), F.col(e), F.col("_n"), sep)
     c = c.withColumns({
-        "_tc": F.when(one, F.array("target_text")).otherwise(chunk_texts(t_tokens, F.col("_n"), sep)),
-        "_sc": F.when(one, F.array("source_text")).otherwise(chunk_texts(s_tokens, F.col("_n"), sep)),
+        "_tc": F.when(one, F.array("target_text")).otherwise(texts("_tt", "_te")),
+        "_sc": F.when(one, F.array("source_text")).otherwise(texts("_st", "_se")),
     })
     weights = F.transform(F.col("_tc"), lambda x: F.length(x).cast("long"))
     c = c.withColumn(
