@@ -4,6 +4,8 @@ A plain window puts a whole group into one task. ``arrange`` looks at the group
 every group is small, nothing changes and the window is a plain one. Otherwise the large groups get
 a block column that grows with the order, the windows run per (group, block), and one summary row
 per block, scanned in a second small window, carries sums, extremes and neighbours across blocks.
+The summaries are checkpointed, so a chain of running values stays a chain: each step reads its
+input once more for the summary, and plans do not double.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.session import ensure_checkpoint_dir
+
 ROWS_PER_BLOCK = 1_000_000
 BROADCAST_GROUPS = 100_000
 
@@ -175,8 +179,13 @@ def running(df: DataFrame, order: Order, **specs: Running) -> DataFrame:
     )
     over_blocks = Window.partitionBy(*order.keys).orderBy(*order.block)
     carry = blocks.select(
-        *groups, *[_carried(s, f"_c_{n}", over_blocks).alias(f"_c_{n}") for n, s in specs.items()]
-    )
+        *groups, *[_carried(s, f"_c_{n}", over_blocks).alias(f"_c_{n}") for n, s in specs.items()],
+        F.count(F.lit(1)).over(Window.partitionBy(*order.keys)).alias("_blocks"),
+    ).filter(F.col("_blocks") > 1).drop("_blocks")
+    ensure_checkpoint_dir(df.sparkSession)
+    carry = carry.checkpoint()  # one row per block; without this a chain would plan each step twice
+    if carry.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        carry = F.broadcast(carry)
     joined = local.join(carry, groups, "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
