@@ -260,8 +260,12 @@ def retimed_captions(cues: DataFrame, order: Order, windows: DataFrame) -> DataF
     return out.withColumn("new_id", F.col("new_id") - 1)
 
 
-def respeed_timeline(cues: DataFrame, factor_permille: Column) -> DataFrame:
-    """Uniform playback speed, in thousandths; 1000 leaves the timing as it is."""
-    return cues.withColumns({
-        c: respeed(F.col(c), factor_permille) for c in ("start_ms", "end_ms", "natural_ms")
-    })
+def respeed_timeline(cues: DataFrame, factor_permille: Column, low: int = 500, high: int = 4000) -> DataFrame:
+    """Uniform playback speed, in thousandths; 1000 leaves the timing as it is.
+
+    A factor outside ``low`` to ``high`` is rejected: the timing stays, and ``speed_ok`` is false.
+    """
+    ok = factor_permille.between(low, high)
+    used = F.when(ok, factor_permille).otherwise(1000)
+    timed = {c: respeed(F.col(c), used) for c in ("start_ms", "end_ms", "natural_ms")}
+    return cues.withColumns({**timed, "speed_ok": F.coalesce(ok, F.lit(False))})

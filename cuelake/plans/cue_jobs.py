@@ -256,13 +256,14 @@ def retimed_captions(spark, sf):
 
 @job("respeed_timeline", """
 SELECT project_id, language, cue_id, (start_ms * 2000 + f) // (f * 2) AS start_ms, (end_ms * 2000 + f) // (f * 2) AS end_ms,
-  (natural_ms * 2000 + f) // (f * 2) AS natural_ms
+  (natural_ms * 2000 + f) // (f * 2) AS natural_ms, language <> 'es' AS speed_ok
 FROM (SELECT *, CASE language WHEN 'fr' THEN 850 WHEN 'de' THEN 1250 ELSE 1000 END AS f FROM x1)""")
 def respeed_timeline(spark, sf):
     c, _ = fx.cues(spark, sf)
-    factor = F.when(F.col("language") == "fr", 850).when(F.col("language") == "de", 1250).otherwise(1000)
+    factor = F.when(F.col("language") == "fr", 850).when(F.col("language") == "de", 1250)
+    factor = factor.when(F.col("language") == "es", 99_000).otherwise(1000)
     out = timeline.respeed_timeline(c, factor.cast("long"))
-    return out.select(*TRACK, "cue_id", "start_ms", "end_ms", "natural_ms")
+    return out.select(*TRACK, "cue_id", "start_ms", "end_ms", "natural_ms", "speed_ok")
 
 
 # --- long cues ------------------------------------------------------------------------------------

@@ -83,7 +83,7 @@ def event_documents(spark, sf):
     path = _folder(spark, "events")
     docs.append_events(e.filter(F.col("actor") == "click"), path)
     docs.append_events(e.filter(F.col("actor") != "click"), path)
-    return docs.read_events(spark, path)
+    return docs.read_events(spark, path).withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
 @job("artifact_documents", """
@@ -220,7 +220,8 @@ def stream_project_state(spark, sf):
 def stream_activity(spark, sf):
     out = _folder(spark, "activity")
     st.run_updates(st.activity(st.read_stream(spark, _event_files(spark, sf)), late="400 days"), out)
-    return st.newest(spark, out, ["window_start", "kind"])
+    rows = st.newest(spark, out, ["window_start", "kind"])
+    return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @job("activity_sessions", """

@@ -84,7 +84,7 @@ def write_cue_documents(
 
 def append_events(events: DataFrame, path: str) -> None:
     """Append one JSON object per line with sorted keys."""
-    line = F.to_json(F.struct(*[F.col(c) for c in sorted(events.columns)]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"})
+    line = F.to_json(F.struct(*[F.col(c) for c in sorted(events.columns)]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
     events.select(line.alias("value")).write.mode("append").text(path)
 
 

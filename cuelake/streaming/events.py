@@ -7,6 +7,7 @@ replaces its own output; the newest row per key is the current answer.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -116,6 +117,8 @@ def pair_runs_stream(records: DataFrame) -> DataFrame:
     )
 
 
-def retained(rows: DataFrame, as_of: object, hours: int = 24) -> DataFrame:
-    """Log rows not older than ``hours`` before ``as_of``."""
-    return rows.filter(F.col("time") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(hours)} HOURS"))
+def retained(rows: DataFrame, as_of: datetime, hours: int = 24) -> DataFrame:
+    """Log rows not older than ``hours`` before ``as_of``, a time of the same kind as the rows' own."""
+    kind = dict(rows.dtypes)["time"]
+    now = F.lit(as_of.isoformat()).cast(kind) if kind == "timestamp_ntz" else F.lit(as_of)
+    return rows.filter(F.col("time") >= now - F.expr(f"INTERVAL {int(hours)} HOURS"))

@@ -184,7 +184,20 @@ def test_audio_findings(spark):
 
 def test_respeed(spark):
     df, _ = random_cues(spark, 1, 5)
-    same = tl.respeed_timeline(df, F.lit(1000)).collect()
-    assert same == df.collect()
+    same = tl.respeed_timeline(df, F.lit(1000))
+    assert same.filter("speed_ok").drop("speed_ok").collect() == df.collect()
+    bad = tl.respeed_timeline(df, F.lit(99_000))
+    assert bad.filter("not speed_ok").drop("speed_ok").collect() == df.collect()
     half = tl.respeed_timeline(df, F.lit(2000)).orderBy("cue_id").collect()
     assert [r.start_ms for r in half] == [(r.start_ms + 1) // 2 for r in df.orderBy("cue_id").collect()]
+
+
+def test_a_large_track_is_spread_by_block(spark):
+    df, _ = random_cues(spark, 5, 90)
+    df, order = arrange(df, TRACK, ["cue_id"], dense=True, rows_per_block=20)
+    rendered = tl.rendered_timeline(df, order)
+    joined = rendered.join(source(spark, 5000), TRACK)
+    plan = tl.freeze_plan(joined, order, trim=True)._jdf.queryExecution().executedPlan().toString()
+    assert "_block0" in plan and plan.count("Exchange hashpartitioning") <= 4
+    window = plan[plan.index("Window"):]
+    assert "_block0" in window.splitlines()[0]
