@@ -27,12 +27,15 @@ def local_session(app: str = "cuelake", cores: str = "8", partitions: int = 8) -
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where that is unset, as in tests, a fresh temporary folder takes its place.
+    Only in local mode, as in tests, may it be unset: a fresh temporary folder takes its place. On a cluster each
+    machine would write to a disk of its own, so an unset folder is an error there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="cuelake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
