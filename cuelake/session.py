@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     if folder is None:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="cuelake-")
         spark.conf.set("spark.checkpoint.dir", folder)
