@@ -34,11 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     WITH hashed AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
     quint AS (
         SELECT page_id, body, hex,
-            list_transform(range(8), k -> ('0x' || substr(hex, 1 + 5 * k::INT, 5))::INT) AS parts
+            list_transform(range(8), lambda k: ('0x' || substr(hex, 1 + 5 * k::INT, 5))::INT) AS parts
         FROM hashed
     ),
     digests AS (
-        SELECT page_id, body, list_aggregate(list_transform(range(32), k -> substr(
+        SELECT page_id, body, list_aggregate(list_transform(range(32), lambda k: substr(
             'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
             1 + ((parts[1 + (k // 4)::INT] >> (15 - 5 * (k % 4)::INT)) & 31)::INT, 1)), 'string_agg', '') AS digest
         FROM quint
