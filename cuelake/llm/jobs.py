@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import packing, suffixtree, warc
+from cuelake.llm import langid, licences, linedup, packing, suffixtree, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
@@ -58,6 +58,39 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@job(
+    "op4_line_dedup",
+    """
+    WITH lines AS (
+        SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+    ),
+    keyed AS (
+        SELECT doc_id, parts, list_transform(parts, lambda x: translate(
+            trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS keys
+        FROM lines
+    ),
+    common AS (
+        SELECT key FROM (SELECT unnest(list_distinct(keys)) AS key FROM keyed)
+        WHERE length(key) >= 1 GROUP BY key HAVING count(*) >= 10
+    ),
+    placed AS (
+        SELECT doc_id, parts, keys, unnest(range(1, len(parts) + 1)) AS k FROM keyed
+    ),
+    judged AS (
+        SELECT doc_id, k, parts[k] AS line, common.key IS NOT NULL AS gone
+        FROM placed LEFT JOIN common ON placed.keys[placed.k] = common.key
+    )
+    SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+    FROM judged GROUP BY doc_id
+    """,
+)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten or more documents share."""
+    return linedup.drop_common_lines(table(spark, sf_dir, "documents"), min_docs=10, least_chars=1)
+
+
 @job("op5_suffix_tree")
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of all documents, a tenth of them held out."""
@@ -70,3 +103,63 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), size=1024).select(
         "doc_id", "piece", "start", "length", F.col("ids_crc32"), "sequence_id", "offset"
     )
+
+
+def _licence_sql() -> str:
+    """The native form written out in SQL: same patterns, same known digests."""
+
+    def form(text: str) -> str:
+        out = f"regexp_replace(lower({text}), '{licences.COPYRIGHT_LINE}', ' ', 'g')"
+        out = f"' ' || trim(regexp_replace({out}, '{licences.MARKS}', ' ', 'g')) || ' '"
+        for variant, word in licences.SPELLINGS:
+            out = f"replace({out}, ' {variant} ', ' {word} ')"
+        return f"trim({out})"
+
+    known = ", ".join(f"('{digest}', '{name}')" for digest, name in licences.known_digests())
+    return f"""
+    WITH known(digest, licence) AS (VALUES {known}),
+    units AS (
+        SELECT doc_id, TRUE AS whole, {form("text")} AS form FROM documents
+        UNION ALL
+        SELECT DISTINCT doc_id, FALSE, {form("line")}
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+    ),
+    hits AS (SELECT doc_id, whole, licence FROM units LEFT JOIN known ON sha256(form) = digest)
+    SELECT doc_id, max(licence) FILTER (whole) AS text_licence,
+        string_agg(DISTINCT licence, ',' ORDER BY licence) FILTER (NOT whole) AS line_licences
+    FROM hits GROUP BY doc_id
+    """
+
+
+@job("op8_licences", _licence_sql())
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that a document's entire text or one of its lines is a copy of."""
+    return licences.find_licences(table(spark, sf_dir, "documents"))
+
+
+@job(
+    "op9_topk",
+    """
+    WITH usable AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    ),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+            list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+        FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+    )
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+    FROM scored QUALIFY rank <= 20
+    """,
+)
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best neighbours of every twentieth vector."""
+    return topk.nearest(table(spark, sf_dir, "embeddings"), k=20, scale=64, every=20)
+
+
+@job("op10_language")
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, a quarter of them held out."""
+    return langid.languages(table(spark, sf_dir, "documents"), divisor=4, held=2)
