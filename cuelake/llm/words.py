@@ -10,8 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Texts are taken together up to this many bytes; longer ones are cut at white space.
+#: Texts are taken together up to this many bytes and texts; longer ones are cut at white space.
 CHUNK_BYTES = 1 << 20
+CHUNK_TEXTS = 512
 BLANKS = b" \t\n\x0b\x0c\r"
 
 _BASE = 0x9E3779B97F4A7C15
@@ -66,19 +67,26 @@ def pieces(text: bytes, limit: int = CHUNK_BYTES) -> Iterator[bytes]:
     yield text[at:]
 
 
-def hashes(texts: list[bytes], kind: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of its text), in the order of the texts."""
+def spans(texts: list[bytes], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, start of each word, its end, index of its text)."""
     joined = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
-    if not len(joined):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
     edges = np.flatnonzero(np.diff(np.concatenate(([False], kind[joined], [False]))))
-    start, end = edges[::2], edges[1::2]
+    first = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    return joined, edges[::2], edges[1::2], np.searchsorted(first, edges[::2], side="right") - 1
+
+
+def hash_spans(joined: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span."""
     sums = np.zeros(len(joined) + 1, dtype=np.uint64)
     np.cumsum(_VALUES[joined] * _power_table(_BASE, len(joined))[: len(joined)], out=sums[1:])
-    value = (sums[end] - sums[start]) * _power_table(_INVERSE, len(joined))[start]
-    value = mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    first = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-    return value, np.searchsorted(first, start, side="right") - 1
+    value = (sums[end] - sums[start]) * _power_table(_INVERSE, len(joined) + 1)[start]
+    return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def hashes(texts: list[bytes], kind: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, index of its text), in the order of the texts."""
+    joined, start, end, owner = spans(texts, kind)
+    return hash_spans(joined, start, end), owner
 
 
 def by_text(texts: list[bytes | None], kind: np.ndarray = SPACED) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -90,7 +98,7 @@ def by_text(texts: list[bytes | None], kind: np.ndarray = SPACED) -> Iterator[tu
     size = first = 0
     for k, text in enumerate(texts):
         text = text or b""
-        if group and size + len(text) > CHUNK_BYTES:
+        if group and (size + len(text) > CHUNK_BYTES or len(group) == CHUNK_TEXTS):
             yield first, _split(group, kind)
             group, size, first = [], 0, k
         if len(text) > CHUNK_BYTES:
