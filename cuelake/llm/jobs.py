@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import langid, licences, linedup, packing, suffixtree, topk, warc
+from cuelake.llm import langid, licences, linedup, neardup, packing, suffixtree, tiling, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
@@ -58,6 +58,20 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@job("op2_string_tiling")
+def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the items: tiles of 4 words or more cover 0.6 of the item."""
+    return tiling.leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), seed_words=4, coverage=0.6
+    ).select("doc_id", "item_id", "coverage", "tiles")
+
+
+@job("op3_dart_minhash")
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document: five-word shingles, weighted similarity of 0.8 or more."""
+    return neardup.classes(table(spark, sf_dir, "documents"), least=0.8).select("doc_id", "class_id")
+
+
 @job(
     "op4_line_dedup",
     """
@@ -97,6 +111,14 @@ def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.scores(table(spark, sf_dir, "documents"), hold_out=10)
 
 
+@job("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, a third of them held out of learning."""
+    return toxicity.toxicity(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), divisor=3, held=1, bar=0.7
+    )
+
+
 @job("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 tokens."""

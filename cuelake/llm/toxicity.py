@@ -35,8 +35,8 @@ from cuelake.llm.jobfolder import column_bytes, payload, remainder
 WINDOW, STRIDE = 32, 24
 #: Sizes: states of each direction, parts of an embedding, buckets of character n-grams, words with an embedding.
 STATES, WIDTH, GRAM_BITS, KNOWN_WORDS = 8, 8, 16, 20_000
-#: Windows that are scored at once.
-AT_ONCE = 4096
+#: Windows, and bytes and texts, that are scored at once.
+AT_ONCE, GROUP_BYTES, GROUP_TEXTS = 2048, 1 << 22, 4096
 
 
 @dataclass
@@ -135,6 +135,7 @@ class Network:
         """Logits of windows (word index, -1 for padding); all states as well, if learning needs them."""
         p, n, length = self.p, len(index), index.shape[1]
         there = index >= 0
+        padded = ~there.all(axis=0)
         states = np.zeros((length, n, 2 * STATES), np.float32)
         trace = {}
         for way, part in (("f", slice(0, STATES)), ("b", slice(STATES, 2 * STATES))):
@@ -143,17 +144,25 @@ class Network:
             for t in range(length) if way == "f" else range(length - 1, -1, -1):
                 x = given[index[:, t]]
                 u = h @ p[f"turn_{way}"]
-                gates = 1 / (1 + np.exp(-(x[:, : 2 * STATES] + u[:, : 2 * STATES])))
+                gates = x[:, : 2 * STATES] + u[:, : 2 * STATES]
+                np.negative(gates, out=gates)
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
                 z, r = gates[:, :STATES], gates[:, STATES:]
                 new = np.tanh(x[:, 2 * STATES :] + r * u[:, 2 * STATES :])
-                after = h + z * (new - h)
-                after[~there[:, t]] = h[~there[:, t]]
+                after = new - h
+                after *= z
+                after += h
+                if padded[t]:
+                    after[~there[:, t]] = h[~there[:, t]]
                 if keep:
                     trace[way, t] = (h, u, z, r, new)
                 h = after
                 states[t, :, part] = h
         look = states @ p["look"]
-        look[~there.T] = -1e9
+        if padded.any():
+            look[~there.T] = -1e9
         weight = np.exp(look - look.max(axis=0))
         weight *= there.T
         weight /= np.maximum(weight.sum(axis=0), 1e-9)
@@ -344,7 +353,7 @@ def _scorer(shared):
             at = 0
             while at < len(texts):
                 group, size = [], 0
-                while at + len(group) < len(texts) and len(group) < words.CHUNK_TEXTS and (not group or size < words.CHUNK_BYTES):
+                while at + len(group) < len(texts) and len(group) < GROUP_TEXTS and (not group or size < GROUP_BYTES):
                     group.append(texts[at + len(group)])
                     size += len(group[-1])
                 logit = _worst(net, group)

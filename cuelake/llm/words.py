@@ -40,6 +40,8 @@ SPACED = np.array([b not in BLANKS for b in range(256)])
 #: Runs of letters, digits and bytes beyond ASCII: punctuation separates.
 PLAIN = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
+#: Powers of a hash's base are kept up to this many; a longer stretch of text computes its own.
+KEPT_POWERS = 1 << 23
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -49,7 +51,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
         table = np.full(max(n, CHUNK_BYTES + 4096), base, dtype=np.uint64)
         table[0] = 1
         table = np.multiply.accumulate(table)
-        if n <= CHUNK_BYTES + 4096:
+        if n <= KEPT_POWERS:
             _powers[base] = table
     return table
 
