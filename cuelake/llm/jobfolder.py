@@ -46,4 +46,14 @@ def crc(data: bytes) -> int:
 
 
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+    """A text or binary column of a batch as bytes, null as empty."""
+    return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc): each row as a struct next to its number.
+
+    Rows are numbered as they lie in the table's files, so each reading of the same files gives the same numbers;
+    what an operator finds about ``row`` can so be brought back to the whole row, whatever its columns are called.
+    """
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))

@@ -102,7 +102,7 @@ def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that ten or more documents share."""
-    return linedup.drop_common_lines(table(spark, sf_dir, "documents"), min_docs=10, least_chars=1)
+    return linedup.line_report(table(spark, sf_dir, "documents"), min_docs=10, least_chars=1)
 
 
 @job("op5_suffix_tree")

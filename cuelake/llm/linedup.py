@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm.jobfolder import column_bytes, kept, new_folder, payload
+from cuelake.llm.jobfolder import column_bytes, kept, new_folder, numbered, payload
 
 HASH = ["hi", "lo"]
 LINES = "hi long, lo long, row long, line int"
@@ -74,7 +74,7 @@ def _line_batch(digests: list[bytes], owners: list[int], places: list[int]) -> p
     )
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text as bytes): rows numbered as they lie in the table, the same in each reading."""
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", payload("text").alias("text"))
 
@@ -141,37 +141,37 @@ class LineRuns:
         return out
 
 
-def _rebuild(id_type: str, texts: bool):
-    """Rows of (doc_id, n_lines, n_dropped, kept_sha256, kept text if wanted) from (doc_id, text, dropped lines).
+def split_by_keys(text: bytes, drop: list[int] | None) -> tuple[int, list[bytes]]:
+    """(number of lines, lines that stay): ``drop`` names the first line of each key that goes."""
+    lines = text.split(b"\n")
+    if not drop:
+        return len(lines), lines
+    keys = {key_of(lines[k]) for k in drop}
+    return len(lines), [line for line in lines if key_of(line) not in keys]
 
-    ``drop`` names the first line of each dropped key in its text; all lines of these keys go.
-    """
 
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            drops = batch.column(batch.schema.get_field_index("drop")).to_pylist()
-            total, dropped, digests, out = [], [], [], []
-            for text, drop in zip(column_bytes(batch, "text"), drops, strict=True):
-                lines = text.split(b"\n")
-                stay = lines
-                if drop:
-                    keys = {key_of(lines[k]) for k in drop}
-                    stay = [line for line in lines if key_of(line) not in keys]
-                joined = b"\n".join(stay)
-                total.append(len(lines))
-                dropped.append(len(lines) - len(stay))
-                digests.append(hashlib.sha256(joined).hexdigest())
-                if texts:
-                    out.append(joined)
-            columns = [ids, pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digests, pa.string())]
-            names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
-            if texts:
-                columns.append(pa.array(out, pa.binary()))
-                names.append("kept_text")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return rebuild
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        drops = batch.column(batch.schema.get_field_index("drop")).to_pylist()
+        total, dropped, digests = [], [], []
+        for text, drop in zip(column_bytes(batch, "text"), drops, strict=True):
+            n, stay = split_by_keys(text, drop)
+            total.append(n)
+            dropped.append(n - len(stay))
+            digests.append(hashlib.sha256(b"\n".join(stay)).hexdigest())
+        yield pa.RecordBatch.from_arrays([
+            batch.column(batch.schema.get_field_index("doc_id")), pa.array(total, pa.int64()),
+            pa.array(dropped, pa.int64()), pa.array(digests, pa.string()),
+        ], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+
+
+def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        drops = batch.column(batch.schema.get_field_index("drop")).to_pylist()
+        texts = [b"\n".join(split_by_keys(t, d)[1]) for t, d in zip(column_bytes(batch, "text"), drops, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(batch.schema.get_field_index("doc")), pa.array(texts, pa.binary())], ["doc", "text"]
+        )
 
 
 def common_keys(texts: DataFrame, min_docs: int, least_chars: int, batches: int, fan_in: int) -> DataFrame:
@@ -183,19 +183,38 @@ def common_keys(texts: DataFrame, min_docs: int, least_chars: int, batches: int,
     return kept(store.settled(), "common-lines")
 
 
-def drop_common_lines(
-    docs: DataFrame, min_docs: int = 10, least_chars: int = 1, batches: int = 4, fan_in: int = 3, texts: bool = False
+def _drops(docs: DataFrame, min_docs: int, least_chars: int, batches: int, fan_in: int) -> DataFrame:
+    """(row, drop): first lines of the keys that go, for texts that hold some."""
+    rows = texts_of(docs)
+    common = common_keys(rows, min_docs, least_chars, batches, fan_in)
+    hits = distinct_lines(rows, least_chars).join(common, HASH, "left_semi")
+    return hits.groupBy("row").agg(F.collect_list("line").alias("drop"))
+
+
+def line_report(
+    docs: DataFrame, min_docs: int = 10, least_chars: int = 1, batches: int = 4, fan_in: int = 3
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_lines, n_dropped, kept_sha256 (and kept_text as bytes).
+    """Per row of ``docs``: doc_id, n_lines, n_dropped, kept_sha256 of the text that stays.
 
     batches: in how many turns the table enters the store. fan_in: runs on a level that are merged into one.
     """
-    rows = numbered(docs)
-    common = common_keys(rows, min_docs, least_chars, batches, fan_in)
-    hits = (
-        distinct_lines(rows, least_chars).join(common, HASH, "left_semi")
-        .groupBy("row").agg(F.collect_list("line").alias("drop"))
-    )
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {id_type}, n_lines long, n_dropped long, kept_sha256 string" + ", kept_text binary" * texts
-    return rows.join(hits, "row", "left").select("doc_id", "text", "drop").mapInArrow(_rebuild(id_type, texts), out)
+    met = texts_of(docs).join(_drops(docs, min_docs, least_chars, batches, fan_in), "row", "left")
+    return met.select("doc_id", "text", "drop").mapInArrow(
+        _digest, f"doc_id {id_type}, n_lines long, n_dropped long, kept_sha256 string"
+    )
+
+
+def without_common_lines(
+    docs: DataFrame, min_docs: int = 10, least_chars: int = 1, batches: int = 4, fan_in: int = 3
+) -> DataFrame:
+    """The rows of ``docs`` with what stays of their texts; n_chars, where there is one, follows the text.
+
+    A null text stays null.
+    """
+    met = numbered(docs).join(_drops(docs, min_docs, least_chars, batches, fan_in), "row", "left")
+    doc_type = met.schema["doc"].dataType.simpleString()
+    out = met.select("doc", payload("doc.text").alias("text"), "drop").mapInArrow(_rewrite, f"doc {doc_type}, text binary")
+    text = F.when(F.col("doc.text").isNotNull(), F.col("text").cast("string"))
+    new = {"text": text, "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return out.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

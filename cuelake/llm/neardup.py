@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm import words
 from cuelake.llm.components import components
-from cuelake.llm.jobfolder import column_bytes, cut, kept, payload
+from cuelake.llm.jobfolder import column_bytes, cut, kept, numbered, payload
 from cuelake.llm.tiling import windows
 
 SHINGLE = 5
@@ -272,3 +272,9 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     return signed.select("row", "doc_id", "hi", "lo").join(of_text, ["hi", "lo"]).select(
         "row", "doc_id", "class_id", (F.col("row") == F.col("lead.row")).alias("first")
     )
+
+
+def one_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stand for their class (least id, then first row), with all their columns."""
+    stay = kept(classes(docs, least).filter("first").select("row"), "class-rows")
+    return numbered(docs).join(stay, "row", "left_semi").select(*[F.col("doc")[c].alias(c) for c in docs.columns])

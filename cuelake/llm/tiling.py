@@ -18,12 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.llm import words
-from cuelake.llm.jobfolder import column_bytes, kept, payload
+from cuelake.llm.jobfolder import column_bytes, kept, numbered, payload
 
 #: Bits of the seed table, two of them set a seed: 8 MB whatever the benchmark's size.
 FILTER_BITS = 26
@@ -139,9 +138,8 @@ def _touched(shared, seed_words: int):
 
     def touch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: np.ndarray = shared.value
-        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            ids, rows = (batch.column(batch.schema.get_field_index(x)) for x in ("doc_id", "row"))
             for first, group in words.by_text(column_bytes(batch, "text"), words.PLAIN):
                 every = np.concatenate(group)
                 value = windows(every, seed_words)  # windows across two texts are left out below
@@ -155,9 +153,8 @@ def _touched(shared, seed_words: int):
                 for k in np.unique(owner):
                     own = np.unique(value[at[owner == k]]).view(np.int64)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([row + int(k)]), ids.slice(first + int(k), 1), pa.array([group[k].tobytes()]),
+                        rows.slice(first + int(k), 1), ids.slice(first + int(k), 1), pa.array([group[k].tobytes()]),
                         pa.array([own], pa.list_(pa.int64()))], ["row", "doc_id", "tokens", "seeds"])
-                row += len(group)
 
     return touch
 
@@ -187,7 +184,7 @@ def _judge(least: int, coverage: float):
 def leaks(docs: DataFrame, items: DataFrame, seed_words: int = 4, coverage: float = 0.6) -> DataFrame:
     """(row, doc_id, item_id, coverage, tiles) of the pairs whose tiles cover ``coverage`` of the item.
 
-    docs: doc_id, text. items: item_id, text. seed_words: least words of a tile. row tells repeated ids apart.
+    docs: doc_id, text. items: item_id, text. seed_words: least words of a tile. row: number of the document's row in its files.
     """
     spark = docs.sparkSession
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
@@ -197,7 +194,7 @@ def leaks(docs: DataFrame, items: DataFrame, seed_words: int = 4, coverage: floa
     found = kept(seeds(tests, seed_words), "benchmark-seeds")
     shared = spark.sparkContext.broadcast(seed_table(found))
     touched = kept(
-        docs.select("doc_id", payload("text").alias("text")).mapInArrow(
+        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", payload("text").alias("text")).mapInArrow(
             _touched(shared, seed_words), f"row long, doc_id {id_type}, tokens binary, seeds array<long>"
         ),
         "touched-documents",
@@ -219,3 +216,9 @@ def leaks(docs: DataFrame, items: DataFrame, seed_words: int = 4, coverage: floa
     return met.select("row", "doc_id", "tokens", "item_id", "item_tokens").mapInArrow(
         _judge(seed_words, coverage), f"row long, doc_id {id_type}, item_id {item_type}, coverage double, tiles int"
     )
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, seed_words: int = 4, coverage: float = 0.6) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns."""
+    gone = kept(leaks(docs, items, seed_words, coverage).select("row").distinct(), "leaky-rows")
+    return numbered(docs).join(gone, "row", "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])

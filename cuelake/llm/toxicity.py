@@ -344,25 +344,39 @@ def sample_labels(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes:
     return [x or b"" for x in table["text"].to_pylist()], table["mark"].to_numpy() > 0
 
 
+def _groups(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    at = 0
+    while at < len(texts):
+        group, size = [], 0
+        while at + len(group) < len(texts) and len(group) < GROUP_TEXTS and (not group or size < GROUP_BYTES):
+            group.append(texts[at + len(group)])
+            size += len(group[-1])
+        yield at, group
+        at += len(group)
+
+
 def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = shared.value
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            texts = column_bytes(batch, "text")
-            at = 0
-            while at < len(texts):
-                group, size = [], 0
-                while at + len(group) < len(texts) and len(group) < GROUP_TEXTS and (not group or size < GROUP_BYTES):
-                    group.append(texts[at + len(group)])
-                    size += len(group[-1])
-                logit = _worst(net, group)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(group)), pa.array(net.score(logit))], ["doc_id", "score"])
-                at += len(group)
+            for at, group in _groups(column_bytes(batch, "text")):
+                score = net.score(_worst(net, group))
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(group)), pa.array(score)], ["doc_id", "score"])
 
     return score
 
 
+def _passer(shared, bar: float):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net: Network = shared.value
+        for batch in batches:
+            for at, group in _groups(column_bytes(batch, "text")):
+                yield batch.slice(at, len(group)).filter(pa.array(net.score(_worst(net, group)) < bar))
+
+    return keep
+
+
 def _worst(net: Network, group: list[bytes]) -> np.ndarray:
     """Logits of a group; a long text is read in stretches that overlap by more than a window."""
     out = np.full(len(group), -np.inf)
@@ -384,6 +398,14 @@ def score_texts(docs: DataFrame, net: Network) -> DataFrame:
     return docs.select("doc_id", payload("text").alias("text")).mapInArrow(_scorer(shared), f"doc_id {id_type}, score double")
 
 
+def without_toxic(docs: DataFrame, net: Network | None, bar: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``bar``, with all their columns."""
+    if net is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    return docs.mapInArrow(_passer(shared, bar), docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, bar: float = 0.7, sample: int = 2500, sample_bytes: int = 1 << 15) -> Network | None:
     """The network learned from a bounded sample of the labelled documents; None without both kinds of labels."""
     texts, toxic = sample_labels(docs, labels, sample, sample_bytes)
