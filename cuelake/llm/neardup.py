@@ -7,8 +7,9 @@ keep the same one with the probability of their weighted Jaccard similarity. Dar
 only as far as a text needs for all its coordinates, so a long text costs little more than one look per shingle.
 
 Signatures are cut into bands; texts that share a band meet. Within a meeting not all pairs are made: each text is
-compared with the meeting's most connected text first, and only where texts of different classes remain after that
-are they compared with one another. Every comparison computes the exact similarity from the texts.
+compared with the meeting's most connected text first. Where texts of different classes remain in a meeting after
+that, they are packed into blocks of a few hundred, blocks that share a meeting are compared as matrices, and only
+links that join two classes leave the task. Every comparison computes the exact similarity from the texts.
 
 Words are runs of letters, digits and bytes beyond ASCII, A-Z lower-cased. Defined cases: a text of fewer words
 than a shingle is one shingle; texts without words are alike if their bytes are, null being empty. Texts with equal
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ SHINGLE = 5
 BANDS, BAND_ROWS = 40, 6
 #: Ranks are thrown in stretches of this width, so that a text of few shingles is done in few steps.
 STRETCH = 16.0
+#: Texts and shingles of a block, and columns of its matrix that are multiplied at once.
+BLOCK_TEXTS, BLOCK_SHINGLES, COLUMNS = 256, 1 << 19, 4096
 #: Bits of the table that tells which rows' texts are needed: 8 MB at any size.
 ROW_BITS = 26
 
@@ -213,19 +217,174 @@ def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return met.select("a", "b", "text_a", "text_b").mapInArrow(_compare(least), "a long, b long")
 
 
-def _meetings(members: DataFrame) -> DataFrame:
-    """(key, hub) of the bands where texts meet: hub is the one that meets most others over all its bands."""
+def _meetings(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, node, size) of the bands where texts meet, and (key, hub).
+
+    hub is the text that meets most others over all its bands.
+    """
     sizes = kept(members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "band-sizes")
     met = kept(members.join(sizes, "key"), "band-members")
     known = kept(met.groupBy("node").agg(F.sum("size").alias("known")), "band-known")
     ranked = met.join(known, "node")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("known", (-F.col("node")).alias("order"))).alias("top"))
-    hubs = kept(hubs.select("key", (-F.col("top.order")).alias("hub")), "band-hubs")
-    return met.select("key", "node"), hubs
+    return met, kept(hubs.select("key", (-F.col("top.order")).alias("hub")), "band-hubs")
+
+
+def _unary(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Weighted sets as plain ones: a shingle of weight 3 is three elements, so that common parts can be counted."""
+    out = []
+    for element, weight in sets:
+        turn = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+        spread = np.repeat(element, weight)
+        out.append(np.where(turn > 0, words.mix(spread + turn.astype(np.uint64)), spread))
+    return out
+
+
+def _blocks(block_texts: int):
+    """Texts in the order they come, packed: (block, nodes, labels, sizes of the sets, their elements)."""
+
+    def out(block: int, held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        sizes = np.array([len(x[2]) for x in held], np.int64)
+        return pa.RecordBatch.from_arrays([
+            pa.array([block]), pa.array([[x[0] for x in held]], pa.list_(pa.int64())),
+            pa.array([[x[1] for x in held]], pa.list_(pa.int64())), pa.array([sizes.tobytes()]),
+            pa.array([np.concatenate([x[2] for x in held]).tobytes()]),
+        ], ["block", "nodes", "labels", "sizes", "elements"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            nodes, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for node, label, text in zip(nodes, labels, column_bytes(batch, "text"), strict=True):
+                held.append((node, label, _unary([_set_of(text)])[0]))
+                size += len(held[-1][2])
+                if len(held) == block_texts or size >= BLOCK_SHINGLES:
+                    yield out(block, held)
+                    block, held, size = block + 1, [], 0
+        if held:
+            yield out(block, held)
 
+    return pack
 
-def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(row, doc_id, class_id, first) of every row: first marks the row that stands for its class."""
+
+def common_parts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``a`` shares with each of ``b``.
+
+    Elements that few sets hold are counted pair by pair, those that many hold by a matrix product.
+    """
+    out = np.zeros((len(a), len(b)))
+    x, y = np.concatenate(a), np.concatenate(b)
+    shared = np.intersect1d(x, y)
+    if not len(shared):
+        return out
+    owners = []
+    for every, sets in ((x, a), (y, b)):
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(shared, every)
+        at[at == len(shared)] = 0
+        inside = np.flatnonzero(shared[at] == every)
+        order = inside[np.argsort(at[inside], kind="stable")]
+        owners.append((at[order], owner[order]))
+    (of_x, own_x), (of_y, own_y) = owners
+    in_x, in_y = np.bincount(of_x, minlength=len(shared)), np.bincount(of_y, minlength=len(shared))
+    first_x, first_y = np.cumsum(in_x) - in_x, np.cumsum(in_y) - in_y
+    many = in_x * in_y >= 512
+    few = np.flatnonzero(~many)
+    for part in np.array_split(few, max(1, int((in_x[few] * in_y[few]).sum()) >> 21)):
+        n = in_x[part] * in_y[part]
+        turn = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(in_y[part], n)
+        i = own_x[np.repeat(first_x[part], n) + turn // wide]
+        j = own_y[np.repeat(first_y[part], n) + turn % wide]
+        out += np.bincount(i * len(b) + j, minlength=out.size).reshape(out.shape)
+    column = np.cumsum(many) - 1
+    for at in range(0, int(many.sum()), COLUMNS):
+        sides = []
+        for of, own, rows in ((of_x, own_x, len(a)), (of_y, own_y, len(b))):
+            on = many[of] & (column[of] >= at) & (column[of] < at + COLUMNS)
+            side = np.zeros((rows, COLUMNS), np.float32)
+            side[own[on], column[of[on]] - at] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _join_blocks(least: float):
+    """Links between texts of different classes of two blocks, as many as are needed to join the classes."""
+
+    def sides(row: dict, side: str) -> tuple[list[int], np.ndarray, list[np.ndarray], np.ndarray]:
+        sizes = np.frombuffer(row[f"sizes_{side}"], np.int64)
+        elements = np.frombuffer(row[f"elements_{side}"], np.uint64)
+        return row[f"nodes_{side}"], np.array(row[f"labels_{side}"]), np.split(elements, np.cumsum(sizes)[:-1]), sizes
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                nodes_a, labels_a, sets_a, sizes_a = sides(row, "a")
+                nodes_b, labels_b, sets_b, sizes_b = sides(row, "b")
+                both = common_parts(sets_a, sets_b)
+                alike = both >= least * (sizes_a[:, None] + sizes_b[None, :] - both) - 1e-9
+                parent: dict[int, int] = {}
+
+                def top(x: int, parent: dict[int, int] = parent) -> int:
+                    while parent.setdefault(x, x) != x:
+                        x = parent[x]
+                    return x
+
+                for i, j in zip(*np.nonzero(alike & (labels_a[:, None] != labels_b[None, :])), strict=True):
+                    x, y = top(int(labels_a[i])), top(int(labels_b[j]))
+                    if x != y:
+                        parent[x] = y
+                        found.append((nodes_a[i], nodes_b[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return join
+
+
+def _across_classes(met: DataFrame, labels: DataFrame, texts: DataFrame, least: float, block_texts: int) -> DataFrame:
+    """Links (a, b) that join classes whose texts share a band."""
+    spark = met.sparkSession
+    placed = kept(
+        met.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label")),
+        "band-classes",
+    )
+    mixed = cut(placed.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).filter("mixed").select("key"))
+    left = kept(placed.join(mixed, "key", "left_semi"), "mixed-bands")
+    nodes = left.groupBy("node").agg(F.max("label").alias("label"), F.max(F.struct("size", "key")).alias("home"))
+    nodes = kept(nodes, "mixed-texts")
+    count = nodes.count()
+    if not count:
+        return spark.createDataFrame([], "a long, b long")
+    shared = spark.sparkContext.broadcast(_row_table(nodes.select("node")))
+    some = texts.select("row", "text").mapInArrow(_needed(shared), "row long, text binary")
+    tasks = -(-count // (4 * block_texts))
+    # texts of one large meeting become neighbours, and so few blocks share a band
+    dealt = nodes.join(some.withColumnRenamed("row", "node"), "node").repartitionByRange(tasks, "home", "node")
+    blocks = kept(
+        dealt.sortWithinPartitions("home", "node").select("node", "label", "text").mapInArrow(
+            _blocks(block_texts), "block long, nodes array<long>, labels array<long>, sizes binary, elements binary"
+        ),
+        "text-blocks",
+    )
+    place = kept(blocks.select("block", F.explode("nodes").alias("node")), "block-of-text")
+    meets = kept(left.join(place, "node").select("key", "block").distinct(), "block-bands")
+    pairs = meets.select("key", F.col("block").alias("a")).join(meets.select("key", F.col("block").alias("b")), "key")
+    pairs = kept(pairs.filter("a <= b").select("a", "b").distinct(), "block-pairs")
+    for side in "ab":
+        pairs = pairs.join(blocks.select(
+            F.col("block").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("nodes", "labels", "sizes", "elements")]
+        ), side)
+    parallel = max(1, min(pairs.count(), 4 * spark.sparkContext.defaultParallelism))
+    return pairs.repartition(parallel, "a", "b").mapInArrow(_join_blocks(least), "a long, b long")
+
+
+def classes(docs: DataFrame, least: float = 0.8, block_texts: int = BLOCK_TEXTS) -> DataFrame:
+    """(row, doc_id, class_id, first) of every row: first marks the row that stands for its class.
+
+    least: similarity of a link. block_texts: texts that a task compares at once.
+    """
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", payload("text").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed = kept(
@@ -239,32 +398,15 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
         ),
         "texts",
     )
-    members, hubs = _meetings(nodes.select("node", F.explode("bands").alias("key")))
+    met, hubs = _meetings(nodes.select("node", F.explode("bands").alias("key")))
     pairs = kept(
-        members.join(hubs, "key").filter(F.col("node") != F.col("hub"))
+        met.join(hubs, "key").filter(F.col("node") != F.col("hub"))
         .select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(),
         "near-pairs",
     )
     links = kept(linked(pairs, texts, least), "near-links")
-    labels = components(links)
-    # bands in which more than one class is left: their texts meet those of the other classes, too
-    placed = kept(
-        members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")),
-        "band-classes",
-    )
-    mixed = cut(placed.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).filter("mixed").select("key"))
-    left = placed.join(mixed, "key", "left_semi")
-    more = (
-        left.select("key", F.col("node").alias("a"), F.col("label").alias("label_a"))
-        .join(left.select("key", F.col("node").alias("b"), F.col("label").alias("label_b")), "key")
-        .filter(F.col("label_a") < F.col("label_b"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = kept(more.join(seen, ["a", "b"], "left_anti"), "near-pairs")
-    if not more.isEmpty():
-        links = links.unionByName(linked(more, texts, least))
-        labels = components(links)
+    more = kept(_across_classes(met, components(links), texts, least, block_texts), "near-links")
+    labels = components(links.unionByName(more))
     named = nodes.select("hi", "lo", "node", "least_id", "lead").join(labels, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
     heads = kept(named.groupBy("label").agg(F.min("least_id").alias("class_id"), F.min("lead").alias("lead")), "classes")

@@ -89,6 +89,23 @@ def test_cases(spark):
     assert neardup.one_of_each(empty(spark)).count() == 0
 
 
+def test_common_parts_of_sets():
+    rng = np.random.default_rng(4)
+    few = [np.unique(rng.integers(0, 400, rng.integers(1, 60))).astype(np.uint64) for _ in range(50)]
+    many = [np.unique(rng.integers(0, 70, 60)).astype(np.uint64) for _ in range(40)]
+    for a, b in ((few, many), (many, many), (few, few[:3])):
+        assert (neardup.common_parts(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+
+
+def test_a_large_family_around_the_threshold(spark):
+    """Many copies of one text, most of them less alike than 0.8 to one another, in small blocks."""
+    rng = random.Random(8)
+    base = prose(2, 100)
+    rows = [(k, edited(base, rng, rng.choice([0.01, 0.02, 0.03, 0.04]))) for k in range(150)]
+    got = neardup.classes(documents(spark, [(i, t, None) for i, t in rows]), block_texts=16)
+    assert sorted(((r.doc_id, r.class_id) for r in got.collect()), key=repr) == plain_classes(rows)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (7, 3), (7, 8), (10, 11), (11, 12), (12, 10), (12, 20)], "a long, b long")
     got = {r.node: r.label for r in components(links).collect()}
