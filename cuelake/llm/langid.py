@@ -91,13 +91,14 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 15) -> tuple[np.ndarray, np.n
 
 
 def fit(
-    train: DataFrame, sample_rows: int = 2000, max_languages: int = 500, per_language: int = 4, rejected_share: float = 0.005
+    train: DataFrame, sample_rows: int = 2000, max_languages: int = 500, per_language: int = 4,
+    inner_share: float = 0.99, slack: float = 1.5,
 ) -> Centroids:
     """Centroids from (text: binary, lang) rows.
 
     sample_rows: about how many rows are sampled, the same number for each language. max_languages: the most
-    frequent so many are learned. per_language: centroids of each. rejected_share: share of each cluster's sample
-    rows that lies beyond its reach.
+    frequent so many are learned. per_language: centroids of each. A cluster reaches ``slack`` times as far
+    (1 - cosine) as the nearest ``inner_share`` of its sample rows.
     """
     counted = train.filter(F.col("lang").isNotNull()).groupBy("lang").count()
     sizes = {r["lang"]: r["count"] for r in counted.orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
@@ -135,7 +136,7 @@ def fit(
             inside = (x[owner == c] @ centre[c]) if (owner == c).any() else np.ones(1)
             langs.append(lang)
             centres.append(centre[c])
-            reach.append(float(np.quantile(inside, rejected_share)))
+            reach.append(1 - slack * (1 - float(np.quantile(inside, 1 - inner_share))))
     return Centroids(langs, np.stack(centres), idf, np.array(reach))
 
 

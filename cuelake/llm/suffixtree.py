@@ -180,7 +180,7 @@ def _grow(tree: Tree, shallow_counts: np.ndarray) -> None:
         whole = context.counts + tree.prior
         own = (longer.counts + rest[longer.prefix] * inherited) / whole[longer.prefix]
         gain = np.bincount(longer.prefix, weights=longer.counts * np.log(own / inherited), minlength=size)
-        gain += (context.counts - listed) * np.log(rest / whole)
+        gain = gain + (context.counts - listed) * np.log(rest / whole)
         price_of = price * (1 + np.bincount(longer.prefix, minlength=size))
         context.kept, context.rest = gain > price_of, rest
         chance = np.where(context.kept[longer.prefix], own, inherited)

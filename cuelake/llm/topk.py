@@ -58,7 +58,8 @@ def lay_out(vectors: DataFrame, scale: int = 64, every: int = 20, range_rows: in
         F.col("vec_id").cast("long").alias("vec_id"),
         F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long")).alias("v"),
     )
-    strongest = F.array_position("v", F.array_max(F.transform("v", F.abs))).alias("lead")
+    size = F.transform("v", lambda x: F.abs(x.cast("double")))
+    strongest = F.array_position(size, F.array_max(size)).alias("lead")
     rows = rows.select("vec_id", "v", strongest)
     count = rows.count()
     parts = max(1, -(-count // range_rows))

@@ -17,7 +17,7 @@ def plain(rows, k, every):
     out = []
     for q, (qi, qv) in enumerate(usable):
         if qi % every == 0:
-            scores = [(-sum(a * b for a, b in zip(qv, v, strict=False)), i) for c, (i, v) in enumerate(usable) if c != q]
+            scores = [(-min(max(sum(a * b for a, b in zip(qv, v, strict=False)), -(2**63)), 2**63 - 1), i) for c, (i, v) in enumerate(usable) if c != q]
             out += [(qi, rank, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:k], 1)]
     return sorted(out)
 
@@ -29,7 +29,7 @@ def got(df):
 @pytest.mark.parametrize("range_rows", [7, 64, 8192])
 def test_against_all_pairs(spark, range_rows):
     rng = random.Random(range_rows)
-    rows = [(k, [rng.choice([-0.5, 0, 0.25, rng.gauss(0, 0.3)]) for _ in range(6)]) for k in range(300)]
+    rows = [(k, [rng.choice([-0.5, 0.0, 0.25, rng.gauss(0, 0.3)]) for _ in range(6)]) for k in range(300)]
     assert got(topk.nearest(vectors(spark, rows), 20, 64, 20, range_rows)) == plain(rows, 20, 20)
 
 
