@@ -218,7 +218,7 @@ def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _meetings(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, node, size) of the bands where texts meet, and (key, hub).
+    """(key, node) of the bands where texts meet, and (key, hub).
 
     hub is the text that meets most others over all its bands.
     """
@@ -227,7 +227,7 @@ def _meetings(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = kept(met.groupBy("node").agg(F.sum("size").alias("known")), "band-known")
     ranked = met.join(known, "node")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("known", (-F.col("node")).alias("order"))).alias("top"))
-    return met, kept(hubs.select("key", (-F.col("top.order")).alias("hub")), "band-hubs")
+    return met.select("key", "node"), kept(hubs.select("key", (-F.col("top.order")).alias("hub")), "band-hubs")
 
 
 def _unary(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
@@ -309,21 +309,25 @@ def common_parts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _join_blocks(least: float):
-    """Links between texts of different classes of two blocks, as many as are needed to join the classes."""
+def _side(row: dict, side: str) -> tuple[list[int], np.ndarray, list[np.ndarray], np.ndarray]:
+    sizes = np.frombuffer(row[f"sizes{side}"], np.int64)
+    elements = np.frombuffer(row[f"elements{side}"], np.uint64)
+    return row[f"nodes{side}"], np.array(row[f"labels{side}"]), np.split(elements, np.cumsum(sizes)[:-1]), sizes
 
-    def sides(row: dict, side: str) -> tuple[list[int], np.ndarray, list[np.ndarray], np.ndarray]:
-        sizes = np.frombuffer(row[f"sizes_{side}"], np.int64)
-        elements = np.frombuffer(row[f"elements_{side}"], np.uint64)
-        return row[f"nodes_{side}"], np.array(row[f"labels_{side}"]), np.split(elements, np.cumsum(sizes)[:-1]), sizes
+
+def _join_blocks(least: float, side: str):
+    """Links between texts of different classes of two blocks, as many as are needed to join the classes.
+
+    ``side``: suffix of the second block's columns, empty for a block with itself.
+    """
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                nodes_a, labels_a, sets_a, sizes_a = sides(row, "a")
-                nodes_b, labels_b, sets_b, sizes_b = sides(row, "b")
+                nodes_a, labels_a, sets_a, sizes_a = _side(row, "")
+                nodes_b, labels_b, sets_b, sizes_b = _side(row, side)
                 both = common_parts(sets_a, sets_b)
                 alike = both >= least * (sizes_a[:, None] + sizes_b[None, :] - both) - 1e-9
                 parent: dict[int, int] = {}
@@ -343,41 +347,47 @@ def _join_blocks(least: float):
     return join
 
 
-def _across_classes(met: DataFrame, labels: DataFrame, texts: DataFrame, least: float, block_texts: int) -> DataFrame:
-    """Links (a, b) that join classes whose texts share a band."""
+def _across_classes(
+    met: DataFrame, pairs: DataFrame, labels: DataFrame, texts: DataFrame, least: float, block_texts: int
+) -> DataFrame:
+    """Links (a, b) that join classes whose texts share a band.
+
+    met: (key, node) of all meetings. pairs: each node with its hubs. labels: classes so far.
+    """
     spark = met.sparkSession
     placed = kept(
-        met.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label")),
+        met.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")),
         "band-classes",
     )
     mixed = cut(placed.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).filter("mixed").select("key"))
     left = kept(placed.join(mixed, "key", "left_semi"), "mixed-bands")
-    nodes = left.groupBy("node").agg(F.max("label").alias("label"), F.max(F.struct("size", "key")).alias("home"))
-    nodes = kept(nodes, "mixed-texts")
+    # who meets whom, however indirectly: texts of such a company become neighbours, so that few blocks share a band
+    company = components(pairs.join(mixed, "key", "left_semi").select("a", "b")).withColumnRenamed("label", "company")
+    nodes = left.groupBy("node").agg(F.max("label").alias("label"), F.min("key").alias("home"))
+    nodes = kept(nodes.join(company, "node", "left"), "mixed-texts")
     count = nodes.count()
     if not count:
         return spark.createDataFrame([], "a long, b long")
     shared = spark.sparkContext.broadcast(_row_table(nodes.select("node")))
     some = texts.select("row", "text").mapInArrow(_needed(shared), "row long, text binary")
     tasks = -(-count // (4 * block_texts))
-    # texts of one large meeting become neighbours, and so few blocks share a band
-    dealt = nodes.join(some.withColumnRenamed("row", "node"), "node").repartitionByRange(tasks, "home", "node")
+    order = ["company", "label", "home", "node"]
+    dealt = nodes.join(some.withColumnRenamed("row", "node"), "node").repartitionByRange(tasks, *order)
     blocks = kept(
-        dealt.sortWithinPartitions("home", "node").select("node", "label", "text").mapInArrow(
+        dealt.sortWithinPartitions(*order).select("node", "label", "text").mapInArrow(
             _blocks(block_texts), "block long, nodes array<long>, labels array<long>, sizes binary, elements binary"
         ),
         "text-blocks",
     )
+    parts = ["nodes", "labels", "sizes", "elements"]
+    inside = blocks.select(*parts).mapInArrow(_join_blocks(least, ""), "a long, b long")
     place = kept(blocks.select("block", F.explode("nodes").alias("node")), "block-of-text")
     meets = kept(left.join(place, "node").select("key", "block").distinct(), "block-bands")
-    pairs = meets.select("key", F.col("block").alias("a")).join(meets.select("key", F.col("block").alias("b")), "key")
-    pairs = kept(pairs.filter("a <= b").select("a", "b").distinct(), "block-pairs")
-    for side in "ab":
-        pairs = pairs.join(blocks.select(
-            F.col("block").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("nodes", "labels", "sizes", "elements")]
-        ), side)
-    parallel = max(1, min(pairs.count(), 4 * spark.sparkContext.defaultParallelism))
-    return pairs.repartition(parallel, "a", "b").mapInArrow(_join_blocks(least), "a long, b long")
+    twos = meets.join(meets.select("key", F.col("block").alias("other")), "key").filter("block < other")
+    twos = kept(twos.select("block", "other").distinct(), "block-pairs")
+    twos = twos.join(blocks.select("block", *parts), "block")
+    twos = twos.join(blocks.select(F.col("block").alias("other"), *[F.col(c).alias(f"{c}_2") for c in parts]), "other")
+    return inside.unionByName(twos.drop("block", "other").mapInArrow(_join_blocks(least, "_2"), "a long, b long"))
 
 
 def classes(docs: DataFrame, least: float = 0.8, block_texts: int = BLOCK_TEXTS) -> DataFrame:
@@ -399,13 +409,10 @@ def classes(docs: DataFrame, least: float = 0.8, block_texts: int = BLOCK_TEXTS)
         "texts",
     )
     met, hubs = _meetings(nodes.select("node", F.explode("bands").alias("key")))
-    pairs = kept(
-        met.join(hubs, "key").filter(F.col("node") != F.col("hub"))
-        .select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(),
-        "near-pairs",
-    )
-    links = kept(linked(pairs, texts, least), "near-links")
-    more = kept(_across_classes(met, components(links), texts, least, block_texts), "near-links")
+    by_hub = met.join(hubs, "key").filter(F.col("node") != F.col("hub")).select("key", F.col("hub").alias("a"), F.col("node").alias("b"))
+    by_hub = kept(by_hub, "near-pairs")
+    links = kept(linked(by_hub.select("a", "b").distinct(), texts, least), "near-links")
+    more = kept(_across_classes(met, by_hub, components(links), texts, least, block_texts), "near-links")
     labels = components(links.unionByName(more))
     named = nodes.select("hi", "lo", "node", "least_id", "lead").join(labels, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
