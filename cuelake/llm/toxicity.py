@@ -62,18 +62,17 @@ def read_words(texts: list[bytes]) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
     place = np.cumsum(length + 2) - (length + 2)
     inside = np.repeat(place + 1 - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
     padded[inside] = joined[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
-    whole = length + 2
-    grams, of = [], []
-    for n in (3, 4, 5):
-        count = np.maximum(whole - n + 1, 0)
-        who = np.repeat(np.arange(len(whole)), count)
-        begin = np.repeat(place - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        grams.append(words.hash_spans(padded, begin, begin + n) >> np.uint64(64 - GRAM_BITS))
-        of.append(who)
-    order = np.argsort(np.concatenate(of), kind="stable")
-    gram = np.concatenate(grams)[order].astype(np.int64)
-    first = np.searchsorted(np.concatenate(of)[order], np.arange(len(whole)))
-    return Vocabulary(value, gram, first), index, owner
+    counts = [np.maximum(length + 3 - n, 0) for n in (3, 4, 5)]
+    number = counts[0] + counts[1] + counts[2]
+    first = np.cumsum(number) - number
+    gram = np.empty(int(number.sum()), np.int32)
+    before = first.copy()
+    for n, count in zip((3, 4, 5), counts, strict=True):
+        turn = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        begin = np.repeat(place, count) + turn
+        gram[np.repeat(before, count) + turn] = words.hash_spans(padded, begin, begin + n) >> np.uint64(64 - GRAM_BITS)
+        before += count
+    return Vocabulary(value, gram, first), index.astype(np.int32), owner
 
 
 def windows_of(index: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +85,7 @@ def windows_of(index: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.nda
     offset = np.minimum(turn * STRIDE, np.maximum(size[text] - WINDOW, 0))
     place = offset[:, None] + np.arange(WINDOW)
     there = place < size[text][:, None]
-    out = np.full(place.shape, -1, np.int64)
+    out = np.full(place.shape, -1, np.int32)
     out[there] = index[(begin[text][:, None] + place)[there]]
     return out, text
 
@@ -250,6 +249,7 @@ def _typical(vocabulary: Vocabulary, index: np.ndarray, owner: np.ndarray, toxic
         return np.where(yes >= 5, ratio, -1.0)
 
     number = np.diff(np.append(vocabulary.first, len(vocabulary.grams)))
+    index = index.astype(np.int64)
     own = odds(index, owner, len(number))
     seen = np.unique(index * len(toxic) + owner)
     word, text = seen // len(toxic), seen % len(toxic)
@@ -278,7 +278,7 @@ def learn(
     rng = np.random.default_rng(seed)
     vocabulary, index, owner = read_words(texts)
     windows, text = windows_of(index, owner, len(texts))
-    in_texts = np.bincount(np.unique(index * len(texts) + owner) // len(texts), minlength=len(vocabulary.hash))
+    in_texts = np.bincount(np.unique(index.astype(np.int64) * len(texts) + owner) // len(texts), minlength=len(vocabulary.hash))
     common = np.flatnonzero(in_texts >= 5)
     common = common[np.argsort(-in_texts[common], kind="stable")][:KNOWN_WORDS]
     net = Network.fresh(np.sort(vocabulary.hash[common]), bar, seed)
@@ -419,7 +419,7 @@ def without_toxic(docs: DataFrame, net: Network | None, bar: float = 0.7) -> Dat
     return docs.mapInArrow(_passer(shared, bar), docs.schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, bar: float = 0.7, sample: int = 2500, sample_bytes: int = 1 << 15) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, bar: float = 0.7, sample: int = 1500, sample_bytes: int = 1 << 14) -> Network | None:
     """The network learned from a bounded sample of the labelled documents; None without both kinds of labels."""
     texts, toxic = sample_labels(docs, labels, sample, sample_bytes)
     if toxic.all() or not toxic.any():
