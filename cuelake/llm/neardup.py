@@ -361,10 +361,13 @@ def _across_classes(
     )
     mixed = cut(placed.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).filter("mixed").select("key"))
     left = kept(placed.join(mixed, "key", "left_semi"), "mixed-bands")
-    # who meets whom, however indirectly: texts of such a company become neighbours, so that few blocks share a band
-    company = components(pairs.join(mixed, "key", "left_semi").select("a", "b")).withColumnRenamed("label", "company")
+    # texts that mostly meet the same hub become neighbours, so that few blocks share a band
+    company = pairs.groupBy(F.col("b").alias("node"), "a").agg(F.count("*").alias("bands")).groupBy("node").agg(
+        (-F.max(F.struct("bands", (-F.col("a")).alias("order")))["order"]).alias("company")
+    )
     nodes = left.groupBy("node").agg(F.max("label").alias("label"), F.min("key").alias("home"))
-    nodes = kept(nodes.join(company, "node", "left"), "mixed-texts")
+    nodes = nodes.join(company, "node", "left").withColumn("company", F.coalesce("company", "node"))
+    nodes = kept(nodes, "mixed-texts")
     count = nodes.count()
     if not count:
         return spark.createDataFrame([], "a long, b long")
