@@ -61,9 +61,18 @@ def char_count(text: Column) -> Column:
 
 
 def units_per_minute(text: Column, script: Column, span_ms: Column) -> Column:
-    """Words per minute, or characters per minute for CJK; whole units, rounded down."""
-    units = F.when(script == "cjk", char_count(text)).otherwise(word_count(text))
-    return F.when(span_ms > 0, F.floor(units * 60000 / span_ms)).cast("long")
+    """Words per minute, or characters per minute for CJK; whole units, rounded down, for display."""
+    return F.when(span_ms > 0, F.floor(reading_units(text, script) * 60000 / span_ms)).cast("long")
+
+
+def reading_units(text: Column, script: Column) -> Column:
+    """Words, or characters for CJK."""
+    return F.when(script == "cjk", char_count(text)).otherwise(word_count(text))
+
+
+def reads_faster(text: Column, script: Column, span_ms: Column, bar: Column) -> Column:
+    """Whether a minute at this rate holds more than ``bar`` units, in whole numbers; false without a span."""
+    return (span_ms > 0) & F.coalesce(reading_units(text, script) * 60000 > bar * span_ms, F.lit(False))
 
 
 def wrap_lines(text: Column, script: Column) -> Column:

@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 
 
 def parse_timecode(text: Column) -> Column:
-    """``HH:MM:SS(.mmm)``, ``MM:SS`` or plain seconds to milliseconds; null when invalid."""
+    """``HH:MM:SS(.mmm)``, ``MM:SS`` or plain seconds to milliseconds; null when invalid.
+
+    Numbers of more than nine digits (leading zeros aside) are invalid: no video lasts that long.
+    """
     t = F.trim(text)
-    clock = r"^(?:(\d+):)?(\d+):(\d+(?:\.\d+)?)$"
-    plain = r"^(\d+(?:\.\d+)?)$"
-    hours = F.coalesce(F.nullif(F.regexp_extract(t, clock, 1), F.lit("")).cast("long"), F.lit(0))
-    minutes = F.nullif(F.regexp_extract(t, clock, 2), F.lit("")).cast("long")
-    seconds = F.nullif(F.regexp_extract(t, clock, 3), F.lit("")).cast("decimal(18,3)")
-    whole = F.nullif(F.regexp_extract(t, plain, 1), F.lit("")).cast("decimal(18,3)")
+    clock = r"^(?:0*(\d{1,9}):)?0*(\d{1,9}):0*(\d{1,9}(?:\.\d+)?)$"
+    plain = r"^0*(\d{1,9}(?:\.\d+)?)$"
+
+    def number(pattern: str, group: int, kind: str) -> Column:
+        return F.nullif(F.regexp_extract(t, pattern, group), F.lit("")).try_cast(kind)
+
+    hours = F.coalesce(number(clock, 1, "long"), F.lit(0))
+    minutes = number(clock, 2, "long")
+    seconds = number(clock, 3, "decimal(18,3)")
+    whole = number(plain, 1, "decimal(18,3)")
     as_clock = F.when(
         (minutes < 60) & (seconds < 60),
         (hours * 3600 + minutes * 60) * 1000 + (seconds * 1000).cast("long"),

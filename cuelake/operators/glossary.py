@@ -31,10 +31,11 @@ def contains_join(
 ) -> DataFrame:
     """Pairs of cue and term where the cue's ``text`` column contains the term, each pair once.
 
-    A term list is broadcast only when counted to be small. A larger one is joined on the term's
+    Blank terms match nothing. A term list is broadcast only when counted to be small. A larger one is joined on the term's
     first characters, which the cue must contain as well, and then checked in full.
     """
     hit = F.contains(F.col(text), F.col("term"))
+    terms = terms.filter(F.length("term") > 0)
     if terms.limit(broadcast_terms + 1).count() <= broadcast_terms:
         t = F.broadcast(terms.withColumnRenamed("language", "_lang") if by_language else terms)
         return cues.join(t, hit & (F.col("language") == F.col("_lang")) if by_language else hit).drop("_lang")

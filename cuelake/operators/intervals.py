@@ -94,6 +94,7 @@ def resolve_segments(
     s = selections.withColumns({
         "req_start_ms": parse_timecode(F.col("start")), "req_end_ms": parse_timecode(F.col("end"))
     })
+    s = s.withColumn("exact", F.coalesce("exact", F.lit(False)))  # snapping is the default
     edges = s.filter(~F.col("exact")).select("project_id", F.explode(F.array("req_start_ms", "req_end_ms")).alias("at_ms"))
     snapped = snap_edges(edges.distinct(), cue_boundaries(cues), radius_ms).filter("has_candidate")
     for side in ("start", "end"):
@@ -146,17 +147,24 @@ def selection_hash(windows: DataFrame, join_clips: Column, fan_in: int = HASHES_
     """Hash per selection over its windows in list order and the join switch.
 
     Window hashes are combined ``fan_in`` at a time, level by level, so no row holds a whole
-    selection; up to ``fan_in`` windows take one level.
+    selection; up to ``fan_in`` windows take one level. A selection that has come down to its first
+    node is carried on unchanged while longer ones of the table go through more levels, so its hash
+    depends on its own windows only.
     """
     one = canonical_hash(F.col("end_ms"), F.col("id"), F.col("start_ms"))
     h = windows.select("project_id", "idx", one.alias("h"), F.lit(1).cast("long").alias("windows"))
     top = h.agg(F.max("idx")).first()[0] or 0
+    first = True
     while True:
         rows = F.sort_array(F.collect_list(F.struct("idx", "h")))
         joined = F.array_join(F.transform(rows, lambda r: r["h"]), ",")
+        node = F.concat(F.lit("sha256:"), F.sha2(joined, 256))
+        # on later levels a node without siblings is the root already
+        node = node if first else F.when(F.max("idx") == 0, F.min("h")).otherwise(node)
         h = h.groupBy("project_id", F.floor(F.col("idx") / fan_in).alias("idx")).agg(
-            F.concat(F.lit("sha256:"), F.sha2(joined, 256)).alias("h"), F.sum("windows").alias("windows")
+            node.alias("h"), F.sum("windows").alias("windows")
         )
+        first = False
         top = top // fan_in
         if top == 0:
             break

@@ -1,6 +1,7 @@
 """Spend ledgers: status, and admission of calls under a ceiling.
 
-A refused call costs nothing, so admission is not a running sum. Ledgers of ordinary size are folded
+A refused call costs nothing, so admission is not a running sum. A guarded call without a cost, or
+with one below 0, is refused: a refund is no call, and what it would free depends on later calls. Ledgers of ordinary size are folded
 row by row inside one aggregate. A large ledger is admitted in rounds instead, each one distributed
 running sum: with between 2^k and 2^(k+1) cents left, every call below 2^k is admitted until less
 than 2^k is left, and one larger call ends the round, because it leaves less than 2^k. The rounds
@@ -45,7 +46,7 @@ def _fold(calls: DataFrame, ceiling_cents: int) -> DataFrame:
     start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<boolean>").alias("ok"))
 
     def step(s: Column, call: Column) -> Column:
-        fits = s["spent"] + call["cents"] <= ceiling_cents
+        fits = F.coalesce((call["cents"] >= 0) & (s["spent"] + call["cents"] <= ceiling_cents), F.lit(False))
         return F.struct(
             F.when(call["guarded"] & fits, s["spent"] + call["cents"]).otherwise(s["spent"]).alias("spent"),
             F.concat(s["ok"], F.array(~call["guarded"] | fits)).alias("ok"),
@@ -68,7 +69,7 @@ def _rounds(calls: DataFrame, order: Order, ceiling_cents: int) -> DataFrame:
     while not state.filter("not done").isEmpty():
         todo = state.filter("not done")
         open_calls = calls.join(todo.drop("rounds", "done"), "ledger_id").filter(
-            (F.col("seq") > F.col("after")) & (F.col("cents") <= F.col("left"))
+            (F.col("seq") > F.col("after")) & (F.col("cents") >= 0) & (F.col("cents") <= F.col("left"))
         )
         below = F.pow(F.lit(2.0), F.length(F.bin("left")) - 1).cast("long")
         small = F.col("cents") < below
@@ -97,4 +98,5 @@ def _rounds(calls: DataFrame, order: Order, ceiling_cents: int) -> DataFrame:
         lambda r: (F.col("seq") > r["after"]) & (F.col("seq") <= r["upto"])
         & ((F.col("cents") < r["below"]) | (F.col("seq") == r["big"])),
     )
-    return c.withColumn("admitted", admitted).select(*calls.columns, "admitted")
+    costs = F.coalesce(F.col("cents") >= 0, F.lit(False))
+    return c.withColumn("admitted", costs & F.coalesce(admitted, F.lit(False))).select(*calls.columns, "admitted")

@@ -80,16 +80,16 @@ def arrange(
 
     ``dense`` says that ``by[0]`` counts 0, 1, 2, … inside each group (cue ids): the check is then a
     pushed-down filter and the block a division. Otherwise group sizes are counted once, and the
-    groups above ``rows_per_block`` are cut at equal widths of ``by[0]`` (an integer or timestamp),
-    or at the given ``blocks``, which must never fall along the order.
+    groups above ``rows_per_block`` are cut along ``by[0]`` (an integer or timestamp) into blocks of
+    about that size, or at the given ``blocks``, which must never fall along the order.
     """
     keys, by = tuple(keys), tuple(by)
     if dense:
         if df.filter(F.col(by[0]) >= rows_per_block).isEmpty():
             return df, Order(keys, by)
-        _spread_by_block(df)
         block = F.floor(F.col(by[0]) / F.lit(rows_per_block))
-        return df.withColumn("_block0", block), Order(keys, by, ("_block0",))
+        df = df.withColumn("_block0", block)
+        return df.repartition(*keys, "_block0"), Order(keys, by, ("_block0",))
 
     first = F.col(by[0])
     if dict(df.dtypes)[by[0]].startswith("timestamp"):
@@ -101,25 +101,55 @@ def arrange(
     found = large.limit(BROADCAST_GROUPS + 1).count()
     if found == 0:
         return df, Order(keys, by)
-    _spread_by_block(df)
     df = df.join(F.broadcast(large) if found <= BROADCAST_GROUPS else large, list(keys), "left")
     if blocks is None:
-        pieces = F.ceil(F.col("_n") / F.lit(rows_per_block))
-        width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces)
-        blocks = [F.floor((first - F.col("_lo")) / width)]
+        return _equal_blocks(df.withColumn("_at", first), keys, by, rows_per_block)
     names = tuple(f"_block{i}" for i in range(len(blocks)))
     cut = [F.when(F.col("_n").isNotNull(), b).alias(n) for b, n in zip(blocks, names)]
     df = df.select("*", *cut).drop("_n", "_lo", "_hi")
-    return df, Order(keys, by, names)
+    # rows that lie together per group are good enough for a window over (group, block), so a large
+    # group would stay in one task after the join: deal them by both
+    return df.repartition(*keys, *names), Order(keys, by, names)
 
 
-def _spread_by_block(df: DataFrame) -> None:
-    """Let a window over (group, block) shuffle by both, also right after a join on the group alone.
+def _equal_blocks(
+    df: DataFrame, keys: tuple[str, ...], by: tuple[str, ...], rows_per_block: int
+) -> tuple[DataFrame, Order]:
+    """Cut large groups (those with ``_n``, ``_lo``, ``_hi``; place ``_at``) into blocks of at most about a bound.
 
-    By default Spark takes rows that lie together per group as good enough for (group, block), and
-    a large group would stay in one task.
+    Slices of equal width are counted, and only slices above the bound are sliced again, so that a
+    clump of close values is found whatever else the group holds. Neighbouring small slices then
+    share a block. Rows of one value of the order column are never parted: more of these than the
+    bound stay together.
     """
-    df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForDistribution", "true")
+    ensure_checkpoint_dir(df.sparkSession)
+    slices_of = lambda n: F.ceil(n * 2 / F.lit(rows_per_block))
+    large = F.col("_n").isNotNull()
+    # where each row's slice begins, and how wide and full it is; a step narrows only the full ones
+    rows = df.withColumns({
+        "_from": F.when(large, F.col("_lo")), "_wide": F.when(large, F.col("_hi") - F.col("_lo") + 1), "_in": F.col("_n"),
+    }).drop("_n", "_lo", "_hi")
+    while True:
+        full = (F.col("_in") > rows_per_block) & (F.col("_wide") > 1)
+        width = F.greatest(F.ceil(F.col("_wide") / slices_of(F.col("_in"))), F.lit(1))
+        begin = F.when(full, F.col("_from") + F.floor((F.col("_at") - F.col("_from")) / width) * width).otherwise(F.col("_from"))
+        rows = rows.withColumns({"_next": begin, "_wide": F.when(full, width).otherwise(F.col("_wide"))})
+        rows = rows.withColumn("_from", F.col("_next")).drop("_next", "_in")
+        counted = rows.filter(F.col("_from").isNotNull()).groupBy(*keys, "_from", "_wide").agg(F.count(F.lit(1)).alias("_in"))
+        counted = counted.checkpoint()  # at most a few slices per block's worth of rows
+        if counted.filter((F.col("_in") > rows_per_block) & (F.col("_wide") > 1)).isEmpty():
+            break
+        rows = rows.join(counted, [*keys, "_from", "_wide"], "left")
+    along = Window.partitionBy(*keys).orderBy("_from")
+    before = F.coalesce(F.sum("_in").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a slice above half the bound is a block of its own; smaller ones fill blocks up to the next such slice
+    alone = (F.col("_in") * 2 > rows_per_block).cast("long")
+    own = F.sum(alone).over(along) + F.coalesce(F.sum(alone).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counted.select(*keys, "_from", "_wide", own.alias("_block0"), F.floor(before / rows_per_block * 2).alias("_block1"))
+    placed = placed.withColumn("_block1", F.when(F.col("_block0") % 2 == 1, F.lit(0)).otherwise(F.col("_block1"))).checkpoint()
+    out = rows.join(placed, [*keys, "_from", "_wide"], "left").drop("_from", "_wide", "_at")
+    names = ("_block0", "_block1")
+    return out.repartition(*keys, *names), Order(keys, by, names)
 
 
 def _local(spec: Running, window, wrap: bool) -> Column:

@@ -35,6 +35,7 @@ EDGE_SCHEMA = (
     "current_state string, next_state string, reports array<string>, gate string, per_language boolean, "
     "needs_rights boolean, with_dubs boolean"
 )
+# Rights that allow distribution
 DISTRIBUTABLE = ["self-authored", "licensed", "fair-use-claimed"]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.functions.text import MAX_WPM, script_class, units_per_minute, word_count
+from cuelake.functions.text import MAX_WPM, reads_faster, script_class, units_per_minute, word_count
 from cuelake.operators import ordered
 from cuelake.operators.ordered import Order, running
 
@@ -160,7 +160,7 @@ def caption_checks(
         "backwards": span <= 0,
         "very_long": span > very_long_ms,
     })
-    return c.withColumn("too_fast", F.coalesce(F.col("rate") > bar, F.lit(False)))
+    return c.withColumn("too_fast", F.coalesce(reads_faster(F.col("target_text"), script, span, bar), F.lit(False)))
 
 
 def caption_decision(checks: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -228,17 +228,32 @@ def fold_gloss(report: DataFrame, gloss_tracks: DataFrame, findings: DataFrame)
 
 # --- media ----------------------------------------------------------------------------------------
 
+def _final_categories(probe: DataFrame, tolerance_ms: int) -> Column:
+    """What is wrong with a rendered file: streams first, then its length against the dub's."""
+    video = F.when(~F.col("has_video"), "missing-video") if "has_video" in probe.columns else F.lit(None).cast("string")
+    drift = F.abs(F.col("container_ms") - F.col("dub_ms")) > tolerance_ms
+    return F.array_compact(F.array(
+        video, F.when(~F.col("has_audio"), "missing-stream"), F.when(drift, "av-drift")
+    ))
+
+
 def final_findings(probe: DataFrame, tolerance_ms: int = 1000) -> DataFrame:
-    """Container against dub length, and missing audio."""
+    """A row per finding: missing video, missing audio, container against dub length."""
     p = probe.withColumn("av_drift_ms", F.col("container_ms") - F.col("dub_ms"))
-    category = F.when(~F.col("has_audio"), "missing-stream").when(
-        F.abs("av_drift_ms") > tolerance_ms, "av-drift"
-    )
-    return p.withColumn("category", category).filter(F.col("category").isNotNull()).withColumn(
+    return p.withColumn("category", F.explode(_final_categories(probe, tolerance_ms))).withColumn(
         "severity", F.lit("blocker")
     )
 
 
+def final_verdicts(probe: DataFrame, tolerance_ms: int = 1000) -> DataFrame:
+    """Each file with its drift, its ``categories`` and its decision, from its own row alone."""
+    found = _final_categories(probe, tolerance_ms)
+    return probe.withColumns({
+        "av_drift_ms": F.col("container_ms") - F.col("dub_ms"), "categories": found,
+        "decision": F.when(F.size(found) > 0, "FAIL").otherwise("PASS"),
+    })
+
+
 def pick_attempt(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """First attempt without problems, else the one with fewest problems, with a warning."""
     best = F.min(F.struct((F.col("problems") > 0).alias("bad"), F.when(F.col("problems") > 0, F.col("problems")).otherwise(0).alias("p"), F.col("attempt")))

@@ -372,9 +372,9 @@ def srt_roundtrip(spark, sf):
 @job("caption_qa", r"""
 +WITH r AS (SELECT *, trim(target_text) = '' AS empty, CASE WHEN trim(regexp_replace(target_text, '\s+', ' ', 'g')) = '' THEN 0
     ELSE len(string_split(trim(regexp_replace(target_text, '\s+', ' ', 'g')), ' ')) END AS n, end_ms - start_ms AS span FROM x1b),
-f AS (SELECT *, CASE WHEN span > 0 THEN n * 60000 // span END AS rate FROM r),
+f AS (SELECT *, CASE WHEN span > 0 THEN n * 60000 // span END AS rate, span > 0 AND n > 180 * (span / 60000.0) AS fast FROM r),
 m AS (SELECT project_id, language, COUNT(*) AS cue_count, COALESCE(MAX(rate), 0) AS max_rate, CAST(SUM(empty::INT) AS BIGINT) AS empty, CAST(SUM((span <= 0)::INT) AS BIGINT) AS backwards,
-  CAST(SUM(COALESCE(rate > 180, false)::INT) AS BIGINT) AS too_fast, CAST(SUM((span > 7000)::INT) AS BIGINT) AS very_long FROM f GROUP BY project_id, language)
+  CAST(SUM(fast::INT) AS BIGINT) AS too_fast, CAST(SUM((span > 7000)::INT) AS BIGINT) AS very_long FROM f GROUP BY project_id, language)
 SELECT *, 'latin' AS script_class, CASE WHEN empty + backwards > 0 THEN 'FAIL' WHEN too_fast > 0 THEN 'CONDITIONAL_PASS' ELSE 'PASS' END AS decision FROM m""")
 def caption_qa(spark, sf):
     c, _ = fx.untidy_cues(spark, sf)

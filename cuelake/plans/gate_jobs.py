@@ -46,17 +46,17 @@ def lineage(spark, sf):
 
 APPROVED = ACTIVE + """,
 ap AS (SELECT *, CASE WHEN approval_id % 3 = 0 THEN created_at + INTERVAL 1000 DAY END AS expires_at FROM x6),
-st AS (SELECT approval_id, COUNT(*) AS stale_hashes FROM (SELECT approval_id, project_id, unnest(artifact_hashes) AS h FROM ap) b
+stale AS (SELECT approval_id, COUNT(*) AS stale_hashes FROM (SELECT approval_id, project_id, unnest(artifact_hashes) AS h FROM ap) b
   WHERE NOT EXISTS (SELECT 1 FROM act WHERE act.project_id = b.project_id AND act.sha256 = b.h) GROUP BY approval_id),
 av AS (SELECT approval_id, project_id, gate, decision, COALESCE(stale_hashes, 0) AS stale_hashes,
-  decision = 'APPROVED' AND COALESCE(expires_at > TIMESTAMP '1999-01-01', true) AND COALESCE(stale_hashes, 0) = 0 AS valid
-  FROM ap LEFT JOIN st USING (approval_id))"""
+  decision = 'APPROVED' AND COALESCE(expires_at > TIMESTAMP '1999-01-01', true) AND approval_id % 11 <> 0 AND COALESCE(stale_hashes, 0) = 0 AS valid
+  FROM ap LEFT JOIN stale USING (approval_id))"""
 
 
 def _approvals(spark, sf):
     a = fx.approvals(spark, sf)
     expires = F.when(F.col("approval_id") % 3 == 0, F.col("created_at") + F.expr("INTERVAL 1000 DAYS"))
-    a = a.withColumns({"expires_at": expires, "invalidated_at": F.lit(None).cast("timestamp")})
+    a = a.withColumns({"expires_at": expires, "invalidated_at": F.when(F.col("approval_id") % 11 == 0, F.col("created_at"))})
     active = pv.active_artifacts(fx.artifacts(spark, sf)[0])
     return pv.approval_states(a, active, F.lit("1999-01-01").cast("timestamp"))
 
@@ -83,6 +83,7 @@ def _tracks(spark, sf):
     }).drop("pos")
 
 
+# Approval gates and report types
 GATES = ["transcript_qa", "translation_qa", "audio_qa", "final_qa", "rights"]
 REPORTS = ["transcript-qa", "translation-qa", "glossary", "caption", "audio-sync", "final"]
 
@@ -94,7 +95,7 @@ def _gate_inputs(spark, sf):
     report = F.element_at(F.array(*[F.lit(r) for r in REPORTS]), (seq % 6 + 1).cast("int"))
     verdict = F.when(seq % 7 == 0, "FAIL").when(seq % 5 == 0, "CONDITIONAL_PASS").otherwise("PASS")
     reports = pv.latest_reports(events.select("project_id", "seq", report.alias("report_type"), verdict.alias("decision")))
-    a = fx.approvals(spark, sf).filter(F.col("decision") == "APPROVED")
+    a = _approvals(spark, sf).filter("valid")  # stale, expired and invalidated ones open no gate
     gate = F.element_at(F.array(*[F.lit(g) for g in GATES]), F.substring("gate", 1, 1).cast("int"))
     code = F.element_at(F.array(*[F.lit(c) for c in TRACK_CODES]), (F.col("approval_id") % 4 + 1).cast("int"))
     per_language = gate.isin("translation_qa", "audio_qa")
@@ -115,8 +116,8 @@ EDGE_ROWS = ", ".join(
     f"('{a}', '{b}', {_sql_list(r)}::VARCHAR[], {repr(g) if g else 'NULL'}, {str(l).lower()}, {str(n).lower()}, {'NULL' if d is None else str(d).lower()})"
     for a, b, r, g, l, n, d in pv.EDGES
 )
-GATE_SQL = f"""
-+WITH st AS (SELECT user_id AS project_id, arg_max(to_state, seq) AS current_state FROM (SELECT project_id AS user_id, seq, to_state FROM x4) GROUP BY 1),
+GATE_SQL = APPROVED + f""",
+st AS (SELECT user_id AS project_id, arg_max(to_state, seq) AS current_state FROM (SELECT project_id AS user_id, seq, to_state FROM x4) GROUP BY 1),
 tr AS (SELECT project_id, language, language = src AS skip, language <> src AND language <> 'en' AS auto, (project_id + pos) % 5 < 2 AS dub
   FROM (SELECT project_id, unnest({_sql_list(TRACK_CODES)}) AS language, unnest([0, 1, 2, 3]) AS pos, (['fa','en','fr'])[project_id % 3 + 1] AS src FROM st)),
 edge AS (SELECT * FROM (VALUES {EDGE_ROWS}) e(current_state, next_state, reports, gate, per_language, needs_rights, with_dubs)),
@@ -124,7 +125,7 @@ nx AS (SELECT s.project_id, s.current_state, next_state, reports, gate, per_lang
   LEFT JOIN edge e ON e.current_state = s.current_state AND (with_dubs IS NULL OR with_dubs = dubs)),
 rp AS (SELECT project_id, ({_sql_list(REPORTS)})[seq % 6 + 1] AS report_type, arg_max(CASE WHEN seq % 7 = 0 THEN 'FAIL' WHEN seq % 5 = 0 THEN 'CONDITIONAL_PASS' ELSE 'PASS' END, seq) AS decision FROM x4 GROUP BY 1, 2),
 va AS (SELECT DISTINCT project_id, g AS gate, CASE WHEN g IN ('translation_qa', 'audio_qa') THEN ({_sql_list(TRACK_CODES)})[approval_id % 4 + 1] ELSE '' END AS language
-  FROM (SELECT *, ({_sql_list(GATES)})[CAST(substr(gate, 1, 1) AS INT)] AS g FROM x6 WHERE decision = 'APPROVED')),
+  FROM (SELECT *, ({_sql_list(GATES)})[CAST(substr(gate, 1, 1) AS INT)] AS g FROM av WHERE valid)),
 bl AS (SELECT project_id, 'report' AS kind, r AS detail FROM (SELECT project_id, unnest(reports) AS r FROM nx) n
     WHERE NOT EXISTS (SELECT 1 FROM rp WHERE rp.project_id = n.project_id AND rp.report_type = n.r AND decision <> 'FAIL')
   UNION ALL SELECT n.project_id, 'approval', gate || ':' || language FROM nx n JOIN tr USING (project_id) WHERE per_language AND NOT skip AND NOT auto AND (gate <> 'audio_qa' OR dub)
@@ -277,11 +278,8 @@ def batch_summary(spark, sf):
 SELECT *, CASE category WHEN '' THEN 'PASS' ELSE 'FAIL' END AS decision FROM f""")
 def final_qa(spark, sf):
     p = fx.media_probe(spark, sf)
-    found = qa.final_findings(p)
-    decided = qa.decide(found, p.select("project_id"), ["project_id"]).select("project_id", "decision")
-    named = p.select("project_id", (F.col("container_ms") - F.col("dub_ms")).alias("av_drift_ms"))
-    named = named.join(found.select("project_id", "category"), "project_id", "left").fillna("", ["category"])
-    return named.join(decided, "project_id")
+    first = F.coalesce(F.try_element_at("categories", F.lit(1)), F.lit(""))
+    return qa.final_verdicts(p).select("project_id", first.alias("category"), "av_drift_ms", "decision")
 
 
 # --- ledgers --------------------------------------------------------------------------------------

@@ -165,7 +165,7 @@ def read_batch_list(spark: SparkSession, path: str, multi_line: bool = False) ->
     """Videos of a batch list; a list without videos is an error."""
     videos = read_json(spark, path, schemas.BATCH_LIST, multi_line).select(F.inline("videos"))
     if videos.isEmpty():
-        raise ValueError("expected a non-empty 'videos' array")
+        raise ValueError(f"the batch list {path} names no video")
     return videos
 
 

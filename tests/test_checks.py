@@ -115,6 +115,27 @@ def test_contains_join_by_gram_equals_broadcast(spark):
     assert a.count() == b.count() and a.exceptAll(b).isEmpty()
 
 
+@pytest.mark.parametrize("limit", [0, 100])
+def test_blank_terms_match_nothing(spark, limit):
+    cues = spark.createDataFrame([(1, "abc def"), (2, "")], "id long, text string")
+    terms = spark.createDataFrame([("",), (None,), ("def",)], "term string")
+    got = glossary.contains_join(cues, terms, "text", by_language=False, broadcast_terms=limit)
+    assert [(r.id, r.term) for r in got.collect()] == [(1, "def")]
+
+
+def test_a_rate_just_over_the_bar_is_too_fast(spark):
+    rows = [(1, "en", 0, " ".join(["w"] * 30), 0, 9967), (1, "en", 1, " ".join(["w"] * 30), 0, 10_000)]
+    df = spark.createDataFrame(rows, "project_id long, language string, cue_id long, target_text string, start_ms long, end_ms long")
+    assert {r.cue_id: (r.rate, r.too_fast) for r in qa.caption_checks(df, 180).collect()} == {0: (180, True), 1: (180, False)}
+
+
+def test_all_findings_of_a_file(spark):
+    df = spark.createDataFrame([(1, 9000, 5000, False, False), (2, 100, 100, True, True)], "project_id long, container_ms long, dub_ms long, has_audio boolean, has_video boolean")
+    assert sorted(r.category for r in qa.final_findings(df).collect()) == ["av-drift", "missing-stream", "missing-video"]
+    got = {r.project_id: (r.categories, r.decision) for r in qa.final_verdicts(df).collect()}
+    assert got == {1: (["missing-video", "missing-stream", "av-drift"], "FAIL"), 2: ([], "PASS")}
+
+
 def test_translation_and_gloss_findings(spark):
     c = cues(spark, [(0, 1, "a b c", "a b c", None), (1, 2, "x", "x", None), (2, 3, "y", " ", None)])
     assert {(r.cue_id, r.category) for r in qa.translation_findings(c).collect()} == {(0, "identical-to-source"), (2, "empty-target")}

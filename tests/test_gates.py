@@ -256,6 +256,38 @@ def test_selection_hash_levels_agree_on_change(spark):
     assert h(rows, fan_in=3) == h(rows, fan_in=3) != h(rows[:-1] + [(9, 15)], fan_in=3)
 
 
+def test_a_selections_hash_depends_on_itself_alone(spark):
+    windows = lambda p, n: [(p, i, f"s{i}", i, i + 5) for i in range(n)]
+
+    def h(rows, fan_in):
+        s = spark.createDataFrame(rows, "project_id long, idx long, id string, start_ms long, end_ms long")
+        return {r.project_id: r.selection_hash for r in intervals.selection_hash(s, F.lit(True), fan_in).collect()}
+
+    for fan_in in (2, 4, 4096):
+        together = h(windows(1, 3) + windows(2, 20) + windows(3, 1) + windows(4, 70), fan_in)
+        assert together == {p: h(windows(p, n), fan_in)[p] for p, n in ((1, 3), (2, 20), (3, 1), (4, 70))}
+        assert len(set(together.values())) == 4
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_refunds_and_missing_costs_are_refused_alike(spark, seed):
+    rng = random.Random(seed)
+    data = [
+        (ledger_id, i, rng.random() < 0.9, rng.choice([None, 0, -50, 50, 100, 30, 1]))
+        for ledger_id in range(4) for i in range(rng.choice([3, 25, 60]))
+    ]
+    df = spark.createDataFrame(data, "ledger_id long, seq long, guarded boolean, cents long")
+    want, spent = {}, {}
+    for ledger_id, seq, guarded, cents in data:
+        ok = not guarded or (cents is not None and cents >= 0 and spent.get(ledger_id, 0) + cents <= 100)
+        want[ledger_id, seq] = ok
+        if guarded and ok:
+            spent[ledger_id] = spent.get(ledger_id, 0) + cents
+    for size in (5, 1000):
+        cut, order = arrange(df, ["ledger_id"], ["seq"], rows_per_block=size)
+        assert {(r.ledger_id, r.seq): r.admitted for r in ledger.admit(cut, order, 100).collect()} == want
+
+
 def test_run_pairs_across_blocks(spark):
     rows = [(1, "dub", i, k, rc) for i, (k, rc) in enumerate([("start", 0), ("end", 2), ("start", 0), ("start", 0), ("end", 0), ("end", 0), ("start", 0)])]
     df = spark.createDataFrame(rows, "project_id long, cmd string, seq long, kind string, rc long")

@@ -55,3 +55,31 @@ def test_no_block_holds_a_whole_large_group(rows):
     cut, o = arrange(rows, ["k"], ["o"], rows_per_block=40)
     biggest = cut.groupBy(*o.keys, *o.block).count().agg(F.max("count")).first()[0]
     assert biggest <= 41
+
+
+@pytest.mark.parametrize("far", [10**6, 10**15])
+def test_a_clump_is_split(spark, far):
+    clump = spark.range(1000).select(F.lit(1).alias("k"), (F.lit(500) + F.col("id")).alias("o"), F.col("id").alias("v"))
+    ends = spark.createDataFrame([(1, 0, 1), (1, far, 2), (2, 5, 3)], "k int, o long, v long")
+    df = clump.unionByName(ends)
+    cut, o = arrange(df, ["k"], ["o"], rows_per_block=100)
+    assert cut.groupBy(*o.keys, *o.block).count().agg(F.max("count")).first()[0] <= 200
+    plain, o1 = arrange(df, ["k"], ["o"])
+    assert _all(plain, o1) == _all(cut, o)
+
+
+def test_ties_stay_together(spark):
+    df = spark.range(900).select(
+        F.lit(1).alias("k"), F.when(F.col("id") < 300, 7).otherwise(F.col("id") % 50).cast("long").alias("o"), F.col("id").alias("v")
+    )
+    cut, o = arrange(df, ["k"], ["o", "v"], rows_per_block=100)
+    assert cut.groupBy("k", "o").agg(F.countDistinct(F.struct(*o.block)).alias("n")).agg(F.max("n")).first()[0] == 1
+    by = lambda d, order: sorted(map(tuple, unblock(running(d, order, p=ordered.position(), s=ordered.total(F.col("v"))), order).collect()))
+    plain, o1 = arrange(df, ["k"], ["o", "v"])
+    assert by(plain, o1) == by(cut, o)
+
+
+def test_the_sessions_settings_are_left_alone(spark, rows):
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForDistribution")
+    _all(*arrange(rows, ["k"], ["o"], rows_per_block=40))
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForDistribution") == before

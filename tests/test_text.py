@@ -19,6 +19,11 @@ def test_timecodes(spark):
     assert values(spark, bad, tc.parse_timecode(F.col("x"))) == [None] * len(bad)
 
 
+def test_long_digit_runs_are_invalid(spark):
+    df = spark.createDataFrame([("1" * 23,), ("9" * 30 + ":00:01",), ("00:" + "1" * 25,), ("0" * 20 + "5",), ("1.123456789012345678901",)], "t string")
+    assert [r.ms for r in df.select(tc.parse_timecode(F.col("t")).alias("ms")).collect()] == [None, None, None, 5000, 1123]
+
+
 def test_rendered_times(spark):
     assert values(spark, [3723004], tc.srt_time(F.col("x")), "x long") == ["01:02:03,004"]
     assert values(spark, [63200], tc.vtt_time(F.col("x")), "x long") == ["00:01:03.200"]
