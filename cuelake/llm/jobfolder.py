@@ -41,6 +41,11 @@ def payload(column: str) -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def lowered(column: str) -> Column:
+    """The bytes of a text column in lower case, accented letters included, null as empty."""
+    return F.coalesce(F.lower(F.col(column).cast("string")).cast("binary"), F.lit(b""))
+
+
 def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 

@@ -11,7 +11,7 @@ compared with the meeting's most connected text first. Where texts of different
 that, they are packed into blocks of a few hundred, blocks that share a meeting are compared as matrices, and only
 links that join two classes leave the task. Every comparison computes the exact similarity from the texts.
 
-Words are runs of letters, digits and bytes beyond ASCII, A-Z lower-cased. Defined cases: a text of fewer words
+Words are runs of letters, digits and bytes beyond ASCII, in lower case. Defined cases: a text of fewer words
 than a shingle is one shingle; texts without words are alike if their bytes are, null being empty. Texts with equal
 words are one class without comparison. A row is a document, also where ids repeat. class_id is the least doc_id of
 the class, null ids aside. Other columns are ignored. The table should come from files, so that its rows have the
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm import words
 from cuelake.llm.components import components
-from cuelake.llm.jobfolder import column_bytes, cut, kept, numbered, payload
+from cuelake.llm.jobfolder import column_bytes, cut, kept, lowered, numbered
 from cuelake.llm.tiling import windows
 
 SHINGLE = 5
@@ -398,7 +398,7 @@ def classes(docs: DataFrame, least: float = 0.8, block_texts: int = BLOCK_TEXTS)
 
     least: similarity of a link. block_texts: texts that a task compares at once.
     """
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", payload("text").alias("text"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", lowered("text").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed = kept(
         texts.mapInArrow(_sign, f"row long, doc_id {id_type}, hi long, lo long, bands array<long>"), "signatures"

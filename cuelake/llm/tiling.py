@@ -7,7 +7,7 @@ passage whose parts were reordered is still covered. A pair is a leak if its til
 A fixed-size bit table of the items' seeds, sent to all tasks, spares most documents the join; it only ever lets
 too many through.
 
-Words are runs of letters, digits and bytes beyond ASCII, with A-Z lower-cased. Defined cases: null and empty
+Words are runs of letters, digits and bytes beyond ASCII, in lower case. Defined cases: null and empty
 texts have no words; items of fewer than ``seed_words`` words never match. Rows of repeated ids give pairs of their
 own. An empty side gives no pairs. Other columns are ignored.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.llm import words
-from cuelake.llm.jobfolder import column_bytes, kept, numbered, payload
+from cuelake.llm.jobfolder import column_bytes, kept, lowered, numbered
 
 #: Bits of the seed table, two of them set a seed: 8 MB whatever the benchmark's size.
 FILTER_BITS = 26
@@ -189,12 +189,12 @@ def leaks(docs: DataFrame, items: DataFrame, seed_words: int = 4, coverage: floa
     spark = docs.sparkSession
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     tests = kept(items.select(
-        F.monotonically_increasing_id().alias("item"), "item_id", payload("text").alias("text")
+        F.monotonically_increasing_id().alias("item"), "item_id", lowered("text").alias("text")
     ), "benchmark")
     found = kept(seeds(tests, seed_words), "benchmark-seeds")
     shared = spark.sparkContext.broadcast(seed_table(found))
     touched = kept(
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", payload("text").alias("text")).mapInArrow(
+        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", lowered("text").alias("text")).mapInArrow(
             _touched(shared, seed_words), f"row long, doc_id {id_type}, tokens binary, seeds array<long>"
         ),
         "touched-documents",

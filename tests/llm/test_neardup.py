@@ -8,7 +8,7 @@ from tests.llm.tables import cases, documents, empty, prose
 
 
 def set_of(text):
-    return neardup._set_of((text or "").encode())
+    return neardup._set_of((text or "").lower().encode())
 
 
 def plain_classes(rows):

@@ -64,6 +64,11 @@ def test_exact_reordered_and_partial_passages(spark):
     assert got == [(1, 7, 1.0), (2, 7, 1.0), (5, 7, 1.0), (5, 7, 1.0)]
 
 
+def test_case_of_accented_letters(spark):
+    docs = documents(spark, [(1, "DÉJÀ VU, ÇA ÉTÉ ÉCRIT ÉVIDEMMENT", None)])
+    assert found(tiling.leaks(docs, items(spark, [(7, "Déjà vu ça été écrit évidemment")]))) == [(1, 7, 1.0)]
+
+
 def test_against_all_pairs(spark):
     texts = {k: prose(k, 50) for k in range(30)}
     bench = {100 + k: " ".join(prose(k, 50).split()[5 : 20 + k]) for k in range(12)} | {200: prose(77)}
