@@ -18,6 +18,19 @@ def load_status(recorded: DataFrame, videos: DataFrame) -> DataFrame:
     return s.withColumn("status", F.when(status == "running", "pending").otherwise(status))
 
 
+def units(runs: DataFrame) -> DataFrame:
+    """``(video_id, stage, language)`` of all that a run has to do, from ``(video_id, language)``.
+
+    The stages before translation run once per video and carry the empty language.
+    """
+    once = runs.select("video_id").distinct().select(
+        "video_id", F.explode(F.array(*[F.lit(s) for s in STAGES if s not in SCOPED])).alias("stage"), F.lit("").alias("language")
+    )
+    each = runs.select("video_id", "language").distinct()
+    each = each.select("video_id", F.explode(F.array(*[F.lit(s) for s in SCOPED])).alias("stage"), "language")
+    return once.unionByName(each)
+
+
 def resume_plan(grid: DataFrame, status: DataFrame) -> DataFrame:
     """Units of ``grid`` that still must run: not done, or done without a non-empty artifact."""
     done = status.filter((F.col("status") == "done") & (F.col("artifact_bytes") > 0))
@@ -45,6 +58,14 @@ def batch_outcomes(rollup: DataFrame) -> DataFrame:
     )
 
 
+def batch_results(outcomes: DataFrame) -> DataFrame:
+    """``(batch_id, video_id, result, error)`` of the finished videos: ``succeeded``, or ``failed`` with its stage."""
+    result = F.when(F.col("failed_stages") > 0, "failed").when(F.col("succeeded"), "succeeded")
+    return outcomes.select(
+        "batch_id", "video_id", result.alias("result"), F.coalesce("first_failed", F.lit("")).alias("error")
+    ).filter(F.col("result").isNotNull())
+
+
 def batch_summary(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("total"),

@@ -117,6 +117,29 @@ def drift(planned: DataFrame, order: Order, tolerance_ms: int = DRIFT_TOLERANCE_
     return _judge(p.withColumn("drift_ms", d), F.col("drift_ms"), tolerance_ms).drop("_net")
 
 
+def no_drift(measures: DataFrame) -> DataFrame:
+    """Over a still image no cue can be out of step."""
+    m = measures.withColumns({"drift_ms": F.lit(0).cast("long"), "freeze_ms": F.lit(0).cast("long"), "trim_ms": F.lit(0).cast("long")})
+    return _judge(m, F.col("drift_ms"), DRIFT_TOLERANCE_MS)
+
+
+def stretch_factor(natural_ms: Column, slot_ms: Column) -> Column:
+    """Natural length over the slot's, to four places, halves up; computed in whole numbers."""
+    slot = F.greatest(F.lit(1), slot_ms)
+    return F.floor((natural_ms * 20_000 + slot) / (2 * slot)) / 10_000.0
+
+
+def sync_cues(drifts: DataFrame) -> DataFrame:
+    """The per-cue rows of a sync report."""
+    return drifts.select(
+        *TRACK, "cue_id", "start_ms", "end_ms", "rendered_start_ms", "rendered_end_ms",
+        F.col("cumulative_ms").alias("drift_ms"),
+        stretch_factor(F.col("natural_ms"), F.col("end_ms") - F.col("start_ms")).alias("stretch_factor"),
+        "over_tolerance", (F.col("freeze_ms") > 0).alias("freeze_planned"), "freeze_ms",
+        (F.col("trim_ms") > 0).alias("trim_planned"), "trim_ms",
+    )
+
+
 def drift_with_resets(
     measures: DataFrame, order: Order, tolerance_ms: int = DRIFT_TOLERANCE_MS,
     natural_pause_ms: int = NATURAL_PAUSE_MS,

@@ -177,6 +177,76 @@ def sync_report(spark, sf):
     return out.fillna(0, ["total_freeze_ms", "max_silent_span_ms", "silent_spans"])
 
 
+def _sync_report(planned, source, order, drifts, trim):
+    """Summary with the totals of the plan (none for a still image) and the silent spans."""
+    out = timeline.sync_summary(drifts)
+    if source is not None:
+        amount = lambda kind, name: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("amount_ms"))), F.lit(0)).alias(name)
+        totals = timeline.plan_events(planned, source, trim).groupBy(*TRACK).agg(
+            amount("freeze", "total_freeze_ms"), amount("trim", "total_trim_ms")
+        )
+        out = out.join(totals, list(TRACK), "left")
+    else:
+        out = out.withColumns({"total_freeze_ms": F.lit(0).cast("long"), "total_trim_ms": F.lit(0).cast("long")})
+    gaps = timeline.silent_spans(planned, order).groupBy(*TRACK).agg(
+        F.max("duration_ms").alias("max_silent_span_ms"), F.count(F.lit(1)).alias("silent_spans")
+    )
+    return out.join(gaps, list(TRACK), "left").fillna(0, ["total_freeze_ms", "total_trim_ms", "max_silent_span_ms", "silent_spans"])
+
+
+@job("sync_report_trim", f"""
++WITH s AS ({SUMMARY} FROM trim_drift GROUP BY project_id, language),
+t AS (SELECT project_id, language, COALESCE(SUM(amount_ms) FILTER (kind = 'freeze'), 0)::BIGINT AS total_freeze_ms,
+  COALESCE(SUM(amount_ms) FILTER (kind = 'trim'), 0)::BIGINT AS total_trim_ms FROM plan_trim GROUP BY project_id, language),
+g AS (SELECT project_id, language, MAX(duration_ms) AS max_silent_span_ms, COUNT(*) AS silent_spans FROM spans GROUP BY project_id, language)
+SELECT s.*, COALESCE(total_freeze_ms, 0) AS total_freeze_ms, COALESCE(total_trim_ms, 0) AS total_trim_ms, COALESCE(max_silent_span_ms, 0) AS max_silent_span_ms,
+  COALESCE(silent_spans, 0) AS silent_spans FROM s LEFT JOIN t USING (project_id, language) LEFT JOIN g USING (project_id, language)""")
+def sync_report_trim(spark, sf):
+    planned, source, order = _planned(spark, sf, True)
+    return _sync_report(planned, source, order, timeline.drift(planned, order), True)
+
+
+STILL_SPANS = """
+st AS (SELECT *, rendered_end_ms - natural_ms AS rendered_start_ms FROM (
+  SELECT *, CAST(SUM(lead_ms + natural_ms) OVER (PARTITION BY project_id, language ORDER BY cue_id) AS BIGINT) AS rendered_end_ms FROM (
+    SELECT *, CASE WHEN LAG(end_ms) OVER w IS NULL THEN GREATEST(0, start_ms) WHEN start_ms - LAG(end_ms) OVER w >= 700 THEN start_ms - LAG(end_ms) OVER w ELSE 0 END AS lead_ms
+    FROM x1 WINDOW w AS (PARTITION BY project_id, language ORDER BY cue_id)))),
+gap AS (SELECT project_id, language, rendered_start_ms - p AS duration_ms
+  FROM (SELECT *, COALESCE(MAX(rendered_end_ms) OVER (PARTITION BY project_id, language ORDER BY cue_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM st WHERE keep_source OR natural_ms > 1) a
+  WHERE rendered_start_ms - p >= 250 AND NOT EXISTS (SELECT 1 FROM st k WHERE k.project_id = a.project_id AND k.language = a.language AND k.keep_source
+    AND k.rendered_start_ms <= a.rendered_start_ms AND a.p <= k.rendered_end_ms))"""
+
+
+@job("sync_report_still_image", f"""
++WITH {STILL_SPANS},
+g AS (SELECT project_id, language, MAX(duration_ms) AS max_silent_span_ms, COUNT(*) AS silent_spans FROM gap GROUP BY project_id, language)
+SELECT project_id, language, 0::BIGINT AS max_abs_drift_ms, 0::BIGINT AS cumulative_offset_ms, 0::BIGINT AS cues_over_tolerance, -1::BIGINT AS first_over_tolerance,
+  cues, 0::BIGINT AS total_freeze_ms, 0::BIGINT AS total_trim_ms, COALESCE(max_silent_span_ms, 0) AS max_silent_span_ms, COALESCE(silent_spans, 0) AS silent_spans
+FROM (SELECT project_id, language, COUNT(*) AS cues FROM st GROUP BY project_id, language) c LEFT JOIN g USING (project_id, language)""")
+def sync_report_still_image(spark, sf):
+    m, order = _measures(spark, sf)
+    still = timeline.still_image_timeline(m, order)
+    return _sync_report(still, None, order, timeline.no_drift(still), False)
+
+
+SYNC_CUES = """SELECT project_id, language, cue_id, start_ms, end_ms, rendered_start_ms, rendered_end_ms, cumulative_ms AS drift_ms,
+  ((natural_ms * 20000 + GREATEST(1, end_ms - start_ms)) // (2 * GREATEST(1, end_ms - start_ms))) / 10000.0::DOUBLE AS stretch_factor,
+  over_tolerance, freeze_ms > 0 AS freeze_planned, freeze_ms, trim_ms > 0 AS trim_planned, trim_ms"""
+
+
+@job("sync_cues", f"{SYNC_CUES} FROM hold_drift")
+def sync_cues(spark, sf):
+    planned, _, order = _planned(spark, sf, False)
+    return timeline.sync_cues(timeline.drift(planned, order))
+
+
+@job("sync_cues_trim", f"{SYNC_CUES} FROM trim_drift")
+def sync_cues_trim(spark, sf):
+    planned, _, order = _planned(spark, sf, True)
+    return timeline.sync_cues(timeline.drift(planned, order))
+
+
 @job("sync_report_reset", f"{SUMMARY} FROM reset_drift GROUP BY project_id, language")
 def sync_report_reset(spark, sf):
     m, order = _measures(spark, sf)

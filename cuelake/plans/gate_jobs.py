@@ -245,14 +245,18 @@ def run_status(spark, sf):
     return runs.load_status(rolled, s.select("video_id").distinct())
 
 
-@job("resume_plan", """
-SELECT g.* FROM (SELECT video_id, language, unnest(range(6)) AS stage FROM (SELECT DISTINCT video_id, language FROM x11)) g
-WHERE NOT EXISTS (SELECT 1 FROM x11 s WHERE s.video_id = g.video_id AND s.language = g.language AND s.stage = g.stage AND status = 'done' AND artifact_bytes > 0)""")
+@job("resume_plan", f"""
++WITH n AS (SELECT * REPLACE (({_sql_list(runs.STAGES)})[stage + 1] AS stage) FROM x11),
+s AS (SELECT * REPLACE (CASE WHEN stage IN ('download', 'extract_audio', 'transcribe') THEN '' ELSE language END AS language) FROM n),
+g AS (SELECT DISTINCT video_id, unnest(['download', 'extract_audio', 'transcribe']) AS stage, '' AS language FROM x11
+  UNION ALL SELECT DISTINCT video_id, unnest(['translate', 'dub', 'mux']), language FROM x11)
+SELECT g.* FROM g
+WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.video_id = g.video_id AND s.language = g.language AND s.stage = g.stage AND status = 'done' AND artifact_bytes > 0)""")
 def resume_plan(spark, sf):
     s = fx.run_status(spark, sf)
-    stages = F.explode(F.array(*[F.lit(i).cast("long") for i in range(6)]))
-    grid = s.select("video_id", "language").distinct().withColumn("stage", stages)
-    return runs.resume_plan(grid, s)
+    s = s.withColumn("stage", F.element_at(F.array(*[F.lit(x) for x in runs.STAGES]), (F.col("stage") + 1).cast("int")))
+    scoped = F.when(F.col("stage").isin(runs.SCOPED), F.col("language")).otherwise("")
+    return runs.resume_plan(runs.units(s), s.withColumn("language", scoped))
 
 
 ROLLUP = """
@@ -273,6 +277,16 @@ def batch_summary(spark, sf):
     return runs.batch_summary(o.withColumn("batch_id", F.floor(F.col("video_id") / 100)))
 
 
+@job("batch_results", ROLLUP + f"""
+, v AS (SELECT video_id, bool_and(status = 'done') AS ok, COALESCE(MIN(({_sql_list(runs.STAGES)})[stage + 1]) FILTER (status = 'failed'), '') AS error FROM r GROUP BY video_id)
+SELECT video_id // 100 AS batch_id, video_id, CASE WHEN error <> '' THEN 'failed' ELSE 'succeeded' END AS result, error FROM v WHERE ok OR error <> ''""")
+def batch_results(spark, sf):
+    rolled = runs.stage_rollup(fx.run_status(spark, sf))
+    name = F.element_at(F.array(*[F.lit(x) for x in runs.STAGES]), (F.col("stage") + 1).cast("int"))
+    o = runs.batch_outcomes(rolled.withColumn("stage", name))
+    return runs.batch_results(o.withColumn("batch_id", F.floor(F.col("video_id") / 100)))
+
+
 @job("final_qa", """
 +WITH f AS (SELECT project_id, CASE WHEN NOT has_audio THEN 'missing-stream' WHEN abs(container_ms - dub_ms) > 1000 THEN 'av-drift' ELSE '' END AS category, container_ms - dub_ms AS av_drift_ms FROM x10)
 SELECT *, CASE category WHEN '' THEN 'PASS' ELSE 'FAIL' END AS decision FROM f""")

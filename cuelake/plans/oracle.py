@@ -92,7 +92,7 @@ FROM orders""",
 SELECT l_orderkey AS video_id, CAST(l_linenumber % 6 AS BIGINT) AS stage, l_returnflag AS language,
        CASE CAST(MIN(l_quantity) AS INT) % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'done' ELSE 'failed' END AS status,
        CASE WHEN MIN(l_discount) = 0 THEN 0 ELSE MIN(l_partkey) END AS artifact_bytes
-FROM lineitem GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY l_orderkey, l_linenumber % 6, l_returnflag"),
+FROM lineitem GROUP BY l_orderkey, l_linenumber % 6, l_returnflag""",
     "x12": """
 SELECT s_suppkey AS channel_id, CAST(s_nationkey AS BIGINT) AS language, s_suppkey % 3 = 0 AS is_default, s_suppkey AS ord
 FROM supplier""",
@@ -151,6 +151,10 @@ VIEWS["hold_drift"] = """
 SELECT *, ABS(cumulative_ms) > 150 AS over_tolerance FROM (
   SELECT *, CAST(rendered_start_ms - (start_ms + SUM(freeze_ms - trim_ms) OVER (PARTITION BY project_id, language ORDER BY cue_id)) AS BIGINT) AS cumulative_ms
   FROM hold)"""
+VIEWS["trim_drift"] = """
+SELECT *, ABS(cumulative_ms) > 150 AS over_tolerance FROM (
+  SELECT *, CAST(rendered_start_ms - (start_ms + SUM(freeze_ms - trim_ms) OVER (PARTITION BY project_id, language ORDER BY cue_id)) AS BIGINT) AS cumulative_ms
+  FROM trimmed)"""
 VIEWS["reset_drift"] = """
 SELECT *, ABS(cumulative_ms) > 150 AS over_tolerance FROM (
   SELECT *, CAST(SUM(drift_ms) OVER (PARTITION BY project_id, language, isl ORDER BY cue_id) AS BIGINT) AS cumulative_ms
