@@ -15,7 +15,8 @@ HEADLINES = [
     "wrapped_srt", "caption_qa", "glossary_check", "resolve_segments", "clip_captions", "artifact_versions",
     "active_artifacts", "approval_validity", "next_action", "state_history", "transition_audit", "event_counts",
     "stage_rollup", "resume_plan", "catalog_enriched", "playlist_merge", "language_plan", "final_qa",
-    "budget_admission",
+    "budget_admission", "sync_report_trim", "sync_cues", "batch_results", "lineage", "stream_project_state",
+    "stream_activity", "transcript_documents", "glossary_documents", "srt_roundtrip", "activity_sessions",
 ]
 
 

@@ -196,6 +196,27 @@ def report_documents(spark, sf):
     return docs.read_reports(spark, path).select("project_id", "report_type", "language", "cue_id", "category", "severity")
 
 
+GLOSSARY_SQL = """
+SELECT p_brand AS glossary_id, t.language, p_name AS term, list_filter([t.rendering, t.alias], lambda x: x <> '') AS renderings, p_size % 2 = 0 AS must_appear
+FROM part, LATERAL (VALUES ('fr', p_type, concat('A ', p_type)), ('de', p_brand, '')) t(language, rendering, alias)"""
+
+
+@job("glossary_documents", GLOSSARY_SQL)
+def glossary_documents(spark, sf):
+    p = fx.table(spark, sf, "part")
+    target = lambda rendering, alias: F.struct(F.col(rendering).alias("rendering"), F.array(alias).alias("aliases"))
+    term = F.struct(
+        F.col("p_name").alias("source"),
+        F.create_map(F.lit("fr"), target("p_type", F.concat(F.lit("A "), "p_type")), F.lit("de"), target("p_brand", F.lit(""))).alias("targets"),
+        (F.col("p_size") % 2 == 0).alias("must_appear"),
+    )
+    part = F.floor(F.col("p_partkey") / 1000).alias("part")  # a document holds a thousand terms at most
+    d = p.groupBy(F.col("p_brand").alias("glossary_id"), part).agg(F.collect_list(term).alias("terms")).drop("part")
+    path = _folder(spark, "glossaries")
+    d.withColumn("source_language", F.lit("en")).write.json(path)
+    return docs.read_glossaries(spark, path)
+
+
 # --- streams --------------------------------------------------------------------------------------
 
 def _event_files(spark, sf, repeated: bool = False) -> str:
