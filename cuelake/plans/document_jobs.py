@@ -197,7 +197,7 @@ def report_documents(spark, sf):
 
 
 GLOSSARY_SQL = """
-SELECT p_brand AS glossary_id, t.language, p_name AS term, list_filter([t.rendering, t.alias], lambda x: x <> '') AS renderings, p_size % 2 = 0 AS must_appear
+SELECT p_brand AS glossary_id, t.language, p_name AS term, array_to_string(list_filter([t.rendering, t.alias], lambda x: x <> ''), '|') AS renderings, p_size % 2 = 0 AS must_appear
 FROM part, LATERAL (VALUES ('fr', p_type, concat('A ', p_type)), ('de', p_brand, '')) t(language, rendering, alias)"""
 
 
@@ -214,7 +214,7 @@ def glossary_documents(spark, sf):
     d = p.groupBy(F.col("p_brand").alias("glossary_id"), part).agg(F.collect_list(term).alias("terms")).drop("part")
     path = _folder(spark, "glossaries")
     d.withColumn("source_language", F.lit("en")).write.json(path)
-    return docs.read_glossaries(spark, path)
+    return docs.read_glossaries(spark, path).withColumn("renderings", F.array_join("renderings", "|"))
 
 
 # --- streams --------------------------------------------------------------------------------------
