@@ -83,11 +83,35 @@ def cue_boundaries(cues: DataFrame) -> DataFrame:
     return cues.select("project_id", F.explode(F.array("start_ms", "end_ms")).alias("boundary_ms"))
 
 
+def selection_rows(requests: DataFrame, source: DataFrame) -> DataFrame:
+    """Windows ``(project_id, idx, id, start, end, exact)`` of clip requests ``(project_id, segments, snap_edges)``.
+
+    ``segments`` is an array of ``(id, start, end, exact)``. Without one (null) the whole video is the
+    only window; an empty one gives a row without times, which ``resolve_segments`` rejects. With
+    ``snap_edges`` false every window of the request is taken as given.
+    """
+    ends = source.groupBy("project_id").agg(F.max("source_ms").alias("_ms"))
+    text = F.format_string("%d.%03d", F.floor(F.col("_ms") / 1000), F.col("_ms") % 1000)
+    whole = requests.filter(F.col("segments").isNull()).join(ends, "project_id", "left").select(
+        "project_id", F.lit(0).cast("long").alias("idx"), F.lit("whole").alias("id"), F.lit("0").alias("start"),
+        F.when(F.col("_ms").isNotNull(), text).alias("end"), F.lit(True).alias("exact"),
+    )
+    given = requests.filter(F.col("segments").isNotNull()).select(
+        "project_id", F.coalesce("snap_edges", F.lit(True)).alias("_snap"), F.posexplode_outer("segments").alias("idx", "_s")
+    ).select(
+        "project_id", F.coalesce("idx", F.lit(0)).cast("long").alias("idx"), "_s.id", "_s.start", "_s.end",
+        (F.coalesce("_s.exact", F.lit(False)) | ~F.col("_snap")).alias("exact"),
+    )
+    return whole.unionByName(given)
+
+
 def resolve_segments(
     selections: DataFrame, order: Order, cues: DataFrame, source: DataFrame, radius_ms: int = SNAP_RADIUS_MS
 ) -> DataFrame:
     """Clip windows as given to checked windows in milliseconds, list order kept.
 
+    A row without id and times stands for an empty selection.
+
     ``status`` is ``ok`` or the first reason to reject the window; the notes say whether a window
     starts before the one listed before it and whether it overlaps one that starts no later.
     """
@@ -116,6 +140,7 @@ def resolve_segments(
     s = ordered.unblock(running(s, timed, _reach=ordered.highest(F.col("end_ms"), current=False)), timed)
     status = (
         F.when(F.col("source_ms").isNull(), "unknown-project")
+        .when(F.col("id").isNull() & F.col("start").isNull() & F.col("end").isNull(), "empty-selection")
         .when(F.col("req_start_ms").isNull() | F.col("req_end_ms").isNull(), "bad-timecode")
         .when(F.col("_uses").isNotNull(), "duplicate-id")
         .when(F.col("end_ms") <= F.col("start_ms"), "end-not-after-start")

@@ -256,6 +256,21 @@ def test_selection_hash_levels_agree_on_change(spark):
     assert h(rows, fan_in=3) == h(rows, fan_in=3) != h(rows[:-1] + [(9, 15)], fan_in=3)
 
 
+def test_whole_empty_and_unsnapped_selections(spark):
+    seg = "array<struct<id:string,start:string,end:string,exact:boolean>>"
+    req = spark.createDataFrame(
+        [(1, None, None), (2, [], None), (3, [("a", "1.1", "5", None)], None), (4, [("a", "1.1", "5", None)], False)],
+        f"project_id long, segments {seg}, snap_edges boolean",
+    )
+    source = spark.createDataFrame([(p, 9_500) for p in (1, 2, 3, 4)], "project_id long, source_ms long")
+    cues = spark.createDataFrame([(p, 1_000, 5_000) for p in (1, 2, 3, 4)], "project_id long, start_ms long, end_ms long")
+    rows, order = arrange(intervals.selection_rows(req, source), ["project_id"], ["idx"])
+    got = {r.project_id: (r.id, r.start_ms, r.end_ms, r.status) for r in intervals.resolve_segments(rows, order, cues, source).collect()}
+    assert got == {
+        1: ("whole", 0, 9_500, "ok"), 2: (None, None, None, "empty-selection"), 3: ("a", 1_000, 5_000, "ok"), 4: ("a", 1_100, 5_000, "ok"),
+    }
+
+
 def test_a_selections_hash_depends_on_itself_alone(spark):
     windows = lambda p, n: [(p, i, f"s{i}", i, i + 5) for i in range(n)]
 
