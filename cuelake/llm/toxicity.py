@@ -9,7 +9,7 @@ Labels hold for documents, not windows, so learning alternates: the network's ow
 worst windows (at first, of the words most typical of toxic documents) is what the next round learns from. Part of
 the sample is kept out of learning and sets the logit that becomes a score of ``bar``.
 
-The network learns on the driver from a bounded sample of labelled rows (``sample`` toxic and twice as many other
+The network learns in one task from a bounded sample of labelled rows (``sample`` toxic and twice as many other
 ones, of texts up to ``sample_bytes``); Spark scores all documents.
 
 Defined cases: a null or empty text, or one without words, is one window of padding and gets the score of that. A
@@ -21,6 +21,7 @@ ignored.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -337,8 +338,8 @@ def _cut(logit: np.ndarray, toxic: np.ndarray) -> float:
     return max(0.0, float((logit[order[k]] + below) / 2))
 
 
-def sample_labels(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int, seed: int = 3) -> tuple[list[bytes], np.ndarray]:
-    """(texts, toxic) of about ``sample`` toxic and twice as many other labelled rows, in the order of their ids.
+def sample_labels(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int, seed: int = 3) -> DataFrame | None:
+    """(doc_id, mark, text) of about ``sample`` toxic and twice as many other labelled rows; None without both kinds.
 
     labels: doc_id, toxic. Only the sampled ids, which are that few, are sent to the tasks that read the texts.
     """
@@ -347,14 +348,26 @@ def sample_labels(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes:
     )
     sizes = {r["mark"]: r["count"] for r in marks.groupBy("mark").count().collect()}
     if len(sizes) < 2:
-        return [], np.zeros(0, bool)
+        return None
     share = {1: min(1.0, sample / sizes[1]), 0: min(1.0, 2 * sample / sizes[0])}
     limit = F.when(F.col("mark") == 1, F.lit(share[1])).otherwise(F.lit(share[0]))
     picked = marks.filter((F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0) < limit)
     texts = docs.select("doc_id", payload("text").alias("text")).filter(F.octet_length("text") <= sample_bytes)
-    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("mark").alias("mark"), F.min("text").alias("text"))
-    table = rows.orderBy("doc_id").toArrow()
-    return [x or b"" for x in table["text"].to_pylist()], table["mark"].to_numpy() > 0
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("mark").alias("mark"), F.min("text").alias("text"))
+
+
+def _learner(bar: float):
+    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(
+            (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)),
+            key=lambda row: row[0],
+        )
+        toxic = np.array([mark > 0 for _, mark, _ in rows], bool)
+        if toxic.any() and not toxic.all():
+            net = learn([text for _, _, text in rows], toxic, bar)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)])], ["network"])
+
+    return teach
 
 
 def _groups(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -421,10 +434,11 @@ def without_toxic(docs: DataFrame, net: Network | None, bar: float = 0.7) -> Dat
 
 def fit(docs: DataFrame, labels: DataFrame, bar: float = 0.7, sample: int = 1500, sample_bytes: int = 1 << 14) -> Network | None:
     """The network learned from a bounded sample of the labelled documents; None without both kinds of labels."""
-    texts, toxic = sample_labels(docs, labels, sample, sample_bytes)
-    if toxic.all() or not toxic.any():
+    rows = sample_labels(docs, labels, sample, sample_bytes)
+    if rows is None:
         return None
-    return learn(texts, toxic, bar)
+    found = rows.select("doc_id", "mark", "text").repartition(1).mapInArrow(_learner(bar), "network binary").collect()
+    return pickle.loads(found[0]["network"]) if found else None  # noqa: S301 - written by the task above
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, divisor: int = 3, held: int = 1, bar: float = 0.7) -> DataFrame:
