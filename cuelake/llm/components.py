@@ -9,21 +9,35 @@ from cuelake.llm.jobfolder import cut
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) of every end of ``links`` (a, b): label is the least node of its component.
+    """(node, label) of every end of ``links`` (a, b): nodes of one component have one label, a node of it.
 
-    Each round takes the least label among a node's neighbours, then the label's own label. Labels are read back
-    from the shared folder, so a node with very many links is split like any skewed join side.
+    Each b first joins the least of its a's; only the a's, which are few where links point from hubs, take part in
+    the rounds. There a node takes the least label among its neighbours, then that label's own label. Labels are
+    read back from the shared folder, so a node with very many links is split like any skewed join side.
     """
+    links = cut(links.select("a", "b").filter("a <> b").distinct())
+    main = cut(links.groupBy("b").agg(F.min("a").alias("main")))
+    hubs = cut(links.select(F.col("a").alias("node")).distinct())
+    tied = links.join(main, "b").filter("a <> main").select("main", "a")
+    both = main.join(hubs.withColumnRenamed("node", "b"), "b").select("main", F.col("b").alias("a"))
+    labels = _least_labels(hubs, tied.unionByName(both).distinct())
+    of_main = main.join(hubs.withColumnRenamed("node", "b"), "b", "left_anti").join(
+        labels.withColumnRenamed("node", "main"), "main"
+    )
+    return cut(labels.unionByName(of_main.select(F.col("b").alias("node"), "label")))
+
+
+def _least_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     edges = cut(
-        links.select(F.col("a").alias("node"), F.col("b").alias("other"))
-        .unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct()
+        links.select(F.col("main").alias("node"), F.col("a").alias("other"))
+        .unionByName(links.select(F.col("a").alias("node"), F.col("main").alias("other"))).distinct()
     )
-    labels = cut(edges.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
+    labels = cut(nodes.select("node", F.col("node").alias("label")))
     while True:
         near = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(
             F.min("label").alias("near")
         )
-        nearer = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
+        nearer = labels.join(near, "node", "left").select("node", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("further"))
         moved = cut(nearer.join(jump, "new").select("node", "label", F.least("new", "further").alias("new")))
         labels = moved.select("node", F.col("new").alias("label"))

@@ -39,6 +39,8 @@ SHINGLE = 5
 BANDS, BAND_ROWS = 40, 6
 #: Ranks are thrown in stretches of this width, so that a text of few shingles is done in few steps.
 STRETCH = 16.0
+#: Texts that are signed at once.
+TOGETHER = 64
 #: Texts and shingles of a block, and columns of its matrix that are multiplied at once.
 BLOCK_TEXTS, BLOCK_SHINGLES, COLUMNS = 256, 1 << 19, 4096
 #: Bits of the table that tells which rows' texts are needed: 8 MB at any size.
@@ -139,7 +141,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = column_bytes(batch, "text")
         for first, group in words.by_text(texts, words.PLAIN):
             sets = [shingles(tokens) for tokens in group]
-            keys = band_keys(signatures(sets)).view(np.int64)
+            few = [sets[k : k + TOGETHER] for k in range(0, len(sets), TOGETHER)]
+            keys = np.concatenate([band_keys(signatures(some)) for some in few]).view(np.int64)
             content = [
                 xxhash.xxh3_128_digest(b"w" + tokens.tobytes() if len(tokens) else b"t" + texts[first + k])
                 for k, tokens in enumerate(group)
@@ -361,10 +364,8 @@ def _across_classes(
     )
     mixed = cut(placed.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).filter("mixed").select("key"))
     left = kept(placed.join(mixed, "key", "left_semi"), "mixed-bands")
-    # texts that mostly meet the same hub become neighbours, so that few blocks share a band
-    company = pairs.groupBy(F.col("b").alias("node"), "a").agg(F.count("*").alias("bands")).groupBy("node").agg(
-        (-F.max(F.struct("bands", (-F.col("a")).alias("order")))["order"]).alias("company")
-    )
+    # who meets whom, however indirectly: texts of such a company become neighbours, so that few blocks share a band
+    company = components(pairs.join(mixed, "key", "left_semi")).withColumnRenamed("label", "company")
     nodes = left.groupBy("node").agg(F.max("label").alias("label"), F.min("key").alias("home"))
     nodes = nodes.join(company, "node", "left").withColumn("company", F.coalesce("company", "node"))
     nodes = kept(nodes, "mixed-texts")
