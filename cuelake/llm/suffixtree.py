@@ -1,10 +1,12 @@
 """Language-model scores of documents from a probabilistic suffix tree over words.
 
-Corpus passes on Spark count words, then word sequences level by level: a sequence is a candidate if its share of
-the corpus reaches ``min_share`` (the tree's least probability), so each level has at most 1 / min_share of them,
-and a longer one can only reach it if its parts do. A context stays in the tree when its next-word distribution
-diverges enough from that of its longest kept suffix. Scores use, at each word, the deepest kept suffix of what
-came before; rare words, whose counts no task could hold, meet the word counts in a join.
+Corpus passes on Spark count words, then word sequences level by level: a sequence is a candidate if it was seen
+``least`` times, whatever the size of the corpus; a longer one can only be if its parts are. Each level stays a table
+in the shared folder. A context stays in the tree when its next-word distribution diverges enough from that of its
+longest kept suffix, which grouped sums decide. A word's probability is that of its longest listed sequence, times a
+factor for each kept context that is longer; as logarithms, both are sums of one weight per sequence. Scores add the
+weights of all sequences of a text: those of common sequences are sent to all tasks, the others meet the texts in a
+join, as do the counts of rare words.
 
 Defined cases: a null or empty text has one token, its end. A null id counts as the empty text for the held-out
 rule. Repeated rows are documents of their own. Without training rows all counts are 0 and scores follow the base
@@ -16,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +31,17 @@ from cuelake.llm.jobfolder import column_bytes, kept, remainder
 
 #: The token after the last word of every text.
 END = np.uint64(0x5DEECE66D1CE4E5B)
-#: Share of all tokens from which a word's count is sent to every task: at most 1 / WORD_SHARE words.
+#: Share of all tokens from which a word's count, or a sequence's weight, is sent to every task: at most 1 / WORD_SHARE
+#: words, and as many sequences of each length.
 WORD_SHARE = 1e-6
 #: Rows of counts that a task gathers before it hands them on.
 GATHERED = 1 << 22
+#: Bits of a table that tells which keys a join would surely not find: as many per key, within these bounds.
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 8, 1 << 12, 1 << 28
 
 COUNTS = "key long, n long"
+PARTS = "prefix long, suffix long, n long"
+SEQUENCES = "key long, " + PARTS
 
 
 @dataclass
@@ -43,26 +51,76 @@ class Level:
     keys: np.ndarray
     counts: np.ndarray
     prefix: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    suffix: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     kept: np.ndarray = field(default_factory=lambda: np.empty(0, bool))
     rest: np.ndarray = field(default_factory=lambda: np.empty(0))
 
 
 @dataclass
 class Tree:
-    """What scoring needs: frequent words with counts, the levels and the totals."""
+    """What scoring needs: frequent words with counts, the totals, and the tables of sequences.
+
+    sequences: per length (key, n, and from two words on prefix, suffix) of what was seen often enough. contexts: per
+    length but the last (prefix, rest, whole, fall) of the kept ones. weights: (key, n, weight) of sequences.
+    """
 
     words: np.ndarray
     word_counts: np.ndarray
-    levels: list[Level]
     total: int
     distinct: int
     alpha: float
     prior: float
+    sequences: list[DataFrame] = field(default_factory=list)
+    contexts: list[DataFrame] = field(default_factory=list)
+    weights: DataFrame | None = None
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return (count + self.alpha) / (self.total + self.alpha * (self.distinct + 1))
 
+    @cached_property
+    def levels(self) -> list[Level]:
+        """All sequences of a small tree, gathered for a look at it; scoring doesn't need this."""
+        out: list[Level] = []
+        places: dict[int, int] = {}
+        for k, table in enumerate(self.sequences):
+            rows = table.toArrow().to_pydict()
+            if not k:
+                place = np.array(rows["key"], np.int64).view(np.uint64)
+            else:
+                # the last word is the sequence's suffix, shortened to one word
+                last = rows["suffix"]
+                for shorter in reversed(suffixes[1:]):
+                    last = [shorter[x] for x in last]
+                place = np.array(
+                    [(places[a] << 32) | first[b] for a, b in zip(rows["prefix"], last, strict=True)], np.int64
+                )
+            order = np.argsort(place)
+            keys = np.array(rows["key"], np.int64)[order]
+            places = {key: at for at, key in enumerate(keys.tolist())}
+            if not k:
+                first, suffixes = places, [{}]
+            else:
+                suffixes.append(dict(zip(rows["key"], rows["suffix"], strict=True)))
+            level = Level(place[order], np.array(rows["n"], np.int64)[order])
+            level.prefix = np.full(len(keys), -1, np.int64) if not k else level.keys >> 32
+            level.kept, level.rest = np.zeros(len(keys), bool), level.counts + self.prior
+            if k < len(self.contexts):
+                for r in self.contexts[k].collect():
+                    level.kept[places[r.prefix]], level.rest[places[r.prefix]] = True, r.rest
+            out.append(level)
+        return out
+
+
+@dataclass
+class Shared:
+    """What every scoring task holds: common words with their base, common sequences with weights, keys of others."""
+
+    words: np.ndarray
+    base: np.ndarray
+    keys: np.ndarray
+    weights: np.ndarray
+    others: np.ndarray
+    depth: int
+
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Index of each wanted key in the sorted keys, -1 where it is absent."""
@@ -73,19 +131,33 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def deeper(levels: list[Level], shallow: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
-    """For level 2, 3, ...: index of the sequence that ends at each token, -1 where it is none of the level's.
+def sequence_key(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Key of the sequence whose parts without the last and without the first word have these keys."""
+    return words.mix(prefix * np.uint64(0x9FB21C651E98DF25) + suffix)
 
-    ``shallow``: the tokens' indices on level 1; ``place``: their places in their own texts.
-    """
-    above = shallow
-    for k, level in enumerate(levels[1:], start=1):
-        before = np.concatenate(([-1], above[:-1]))
-        open_ = (before >= 0) & (shallow >= 0) & (place >= k)
-        here = np.full(len(shallow), -1, np.int64)
-        here[open_] = find(level.keys, (before[open_] << 32) | shallow[open_])
-        above = here
-        yield here
+
+def grown(shorter: np.ndarray) -> np.ndarray:
+    """Keys of the sequences that end at each token and are one word longer than those of ``shorter``."""
+    return sequence_key(np.concatenate((np.zeros(1, np.uint64), shorter[:-1])), shorter)
+
+
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """Bits that are set for every key (any other key may meet a set bit, too); its size is bounded."""
+    size = LEAST_BITS
+    n = keys.count()
+    while size < min(n * BITS_PER_KEY, MOST_BITS):
+        size *= 2
+    place = F.shiftrightunsigned(F.col("key"), 6).bitwiseAND(F.lit(size // 64 - 1))
+    bits = keys.groupBy(place.alias("place")).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63L as int)))").alias("bits"))
+    rows = bits.toArrow()
+    table = np.zeros(size // 64, np.uint64)
+    table[rows["place"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return table
+
+
+def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    cell = table[(keys >> np.uint64(6)) & np.uint64(len(table) - 1)]
+    return (cell >> (keys & np.uint64(63))) & np.uint64(1) != 0
 
 
 def tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -101,18 +173,22 @@ def tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         yield first, out, np.arange(ends[-1]) - np.repeat(ends - lengths, lengths), lengths
 
 
-def _summed(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Counts of equal keys, handed on whenever many keys have gathered."""
+def _summed(parts: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Counts of equal keys (first column), handed on with the named columns whenever many keys have gathered."""
 
-    def out(keys: list[np.ndarray]) -> pa.RecordBatch:
-        key, n = np.unique(np.concatenate(keys), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+    def out(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        key, first, n = np.unique(columns[0], return_index=True, return_counts=True)
+        columns = [c[first] for c in columns[-len(names) :]]
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(c.view(np.int64)) for c in columns), pa.array(n.astype(np.int64))], [*names, "n"]
+        )
 
-    held: list[np.ndarray] = []
+    held: list[list[np.ndarray]] = []
     size = 0
     for part in parts:
         held.append(part)
-        size += len(part)
+        size += len(part[0])
         if size >= GATHERED:
             yield out(held)
             held, size = [], 0
@@ -121,176 +197,214 @@ def _summed(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _summed(value for batch in batches for _, value, _, _ in tokens(batch))
+    yield from _summed(([value] for batch in batches for _, value, _, _ in tokens(batch)), ["key"])
+
 
+def _counter(shared, length: int):
+    """Counts sequences of ``length`` words whose two parts may be listed."""
 
-def _counter(shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels: list[Level] = shared.value
+        listed: np.ndarray = shared.value
 
-        def parts() -> Iterator[np.ndarray]:
+        def parts() -> Iterator[list[np.ndarray]]:
             for batch in batches:
                 for _, value, place, _ in tokens(batch):
-                    shallow = find(levels[0].keys, value)
-                    above = [shallow, *deeper(levels, shallow, place)]
-                    prefix = np.concatenate(([-1], above[-1][:-1]))
-                    open_ = (prefix >= 0) & (shallow >= 0) & (place >= len(levels))
-                    if len(levels) > 1:  # the new sequence without its first word is one of the last level, too
-                        open_ &= above[-1] >= 0
-                    yield ((prefix[open_] << 32) | shallow[open_]).view(np.uint64)
+                    suffix = value
+                    for _ in range(length - 2):
+                        suffix = grown(suffix)
+                    on = may_hold(listed, suffix)
+                    at = np.flatnonzero(on[1:] & on[:-1] & (place[1:] >= length - 1)) + 1
+                    yield [sequence_key(suffix[at - 1], suffix[at]), suffix[at - 1], suffix[at]]
 
-        yield from _summed(parts())
+        yield from _summed(parts(), ["prefix", "suffix"])
 
     return count
 
 
-def _collected(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of at least ``least`` occurrences, sorted, with their counts: a bounded share of the corpus."""
-    table = counts.filter(F.col("n") >= F.lit(least)).toArrow()
-    key, n = table["key"].to_numpy(), table["n"].to_numpy()
-    return key, n
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = [batch.column(k).to_numpy().view(np.uint64) for k in range(2)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(sequence_key(*parts).view(np.int64)), *batch.columns], ["key", "prefix", "suffix", "n"]
+        )
 
 
-def _link(levels: list[Level]) -> None:
-    """Prefix and suffix indices of every sequence."""
-    for k, level in enumerate(levels):
-        if not k:
-            level.prefix = level.suffix = np.full(len(level.keys), -1, np.int64)
-            continue
-        level.prefix, last = level.keys >> 32, level.keys & 0xFFFFFFFF
-        if k == 1:
-            level.suffix = last
-        else:
-            level.suffix = find(levels[k - 1].keys, (levels[k - 1].suffix[level.prefix] << 32) | last)
+def _settled(df: DataFrame, name: str) -> DataFrame:
+    """``kept``, and the shuffles that led to it may go from the disk: Spark's cleaner follows the JVM's collector."""
+    out = kept(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
-def _grow(tree: Tree, shallow_counts: np.ndarray) -> None:
-    """Keep the contexts whose next words diverge from those of their longest kept suffix.
+def _grow(tree: Tree, words_listed: DataFrame) -> None:
+    """Keep the contexts whose next words diverge from those of their longest kept suffix; weights of sequences.
 
     The gain is the log-likelihood that a context adds over its suffix; each listed next word has to earn half the
     log of the corpus size, the usual price of a parameter.
     """
     price = 0.5 * math.log(tree.total + 2)
-    chance = tree.base(shallow_counts.astype(float))
-    for context, longer in zip(tree.levels, tree.levels[1:], strict=False):
-        size = len(context.keys)
-        inherited = chance[longer.suffix]
-        listed = np.bincount(longer.prefix, weights=longer.counts, minlength=size)
-        rest = context.counts - listed + tree.prior
-        whole = context.counts + tree.prior
-        own = (longer.counts + rest[longer.prefix] * inherited) / whole[longer.prefix]
-        gain = np.bincount(longer.prefix, weights=longer.counts * np.log(own / inherited), minlength=size)
-        gain = gain + (context.counts - listed) * np.log(rest / whole)
-        price_of = price * (1 + np.bincount(longer.prefix, minlength=size))
-        context.kept, context.rest = gain > price_of, rest
-        chance = np.where(context.kept[longer.prefix], own, inherited)
-    tree.levels[-1].kept = np.zeros(len(tree.levels[-1].keys), bool)
+    base = (F.col("n") + F.lit(tree.alpha)) / F.lit(tree.total + tree.alpha * (tree.distinct + 1))
+    level = words_listed.select("key", "n", F.log(base).alias("chance"))
+    weights = []
+    for longer in tree.sequences[1:]:
+        listed = longer.groupBy("prefix").agg(F.sum("n").alias("listed"), F.count("n").alias("n_next"))
+        stats = _settled(
+            listed.join(level.select(F.col("key").alias("prefix"), F.col("n").alias("n_context")), "prefix").select(
+                "prefix", "n_context", "n_next", (F.col("n_context") - F.col("listed")).alias("unlisted"),
+                (F.col("n_context") - F.col("listed") + F.lit(tree.prior)).alias("rest"),
+                (F.col("n_context") + F.lit(tree.prior)).alias("whole"),
+            ),
+            "contexts",
+        )
+        inherited = level.select(F.col("key").alias("suffix"), F.col("chance").alias("inherited"))
+        own = F.log((F.col("n") + F.col("rest") * F.exp("inherited")) / F.col("whole"))
+        nexts = _settled(
+            longer.join(inherited, "suffix").join(stats.select("prefix", "rest", "whole"), "prefix").select(
+                "key", "prefix", "n", "inherited", own.alias("own")
+            ),
+            "next-words",
+        )
+        fall = F.log(F.col("rest") / F.col("whole"))
+        gains = nexts.groupBy("prefix").agg(F.sum(F.col("n") * (F.col("own") - F.col("inherited"))).alias("gain"))
+        context = _settled(
+            stats.join(gains, "prefix")
+            .filter(F.col("gain") + F.col("unlisted") * fall > F.lit(price) * (1 + F.col("n_next")))
+            .select("prefix", "n_context", "rest", "whole", fall.alias("fall")),
+            "kept-contexts",
+        )
+        tree.contexts.append(context)
+        on = F.col("fall").isNotNull()
+        level = _settled(
+            nexts.join(context.select("prefix", "fall"), "prefix", "left").select(
+                "key", "n", F.when(on, F.col("own")).otherwise(F.col("inherited")).alias("chance"),
+                (F.col("own") - F.col("inherited") - F.col("fall")).alias("weight"),
+            ),
+            "chances",
+        )
+        weights.append(context.select(F.col("prefix").alias("key"), F.col("n_context").alias("n"), F.col("fall").alias("weight")))
+        weights.append(level.filter(F.col("weight").isNotNull()).select("key", "n", "weight"))
+    whole = weights[0]
+    for part in weights[1:]:
+        whole = whole.unionByName(part)
+    tree.weights = _settled(whole.select("key", "n", (F.col("weight") / F.lit(math.log(10))).alias("weight")), "weights")
 
 
 def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = shared.value
+        known: Shared = shared.value
         row = TaskContext.get().partitionId() << 40
-        known = np.log10(tree.base(tree.word_counts.astype(float)))
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for first, value, place, lengths in tokens(batch):
                 n = len(lengths)
                 owner = np.repeat(np.arange(n), lengths)
-                word = find(tree.words, value)
+                word = find(known.words, value)
                 common = word >= 0
                 base = np.zeros(len(value))
-                base[common] = known[word[common]]
-                chance = _chance(tree, value, place, 10.0**base)
-                rare, tf = np.empty((2, 0), np.int64), np.empty(0, np.int64)
-                if not common.all():
-                    rare, tf = np.unique(
-                        np.stack([owner[~common], value[~common].view(np.int64)]), axis=1, return_counts=True
-                    )
-                m = rare.shape[1]
+                base[common] = known.base[word[common]]
+                gained = np.zeros(n)
+                met = [(owner[~common], value[~common], np.zeros(int((~common).sum()), bool))]
+                sequence = value
+                for length in range(1, known.depth + 2):
+                    if length > 1:
+                        sequence = grown(sequence)
+                    on = np.flatnonzero(place >= length - 1)
+                    key, by = sequence[on], owner[on]
+                    at = find(known.keys, key)
+                    here = at >= 0
+                    gained += np.bincount(by[here], weights=known.weights[at[here]], minlength=n)
+                    far = may_hold(known.others, key) & ~here
+                    met.append((by[far], _weight_key(key[far]), np.ones(int(far.sum()), bool)))
+                by, key, is_weight = (np.concatenate(c) for c in zip(*met, strict=True))
+                order = np.lexsort((is_weight, key, by))
+                by, key, is_weight = by[order], key[order], is_weight[order]
+                change = np.ones(len(by), bool)
+                change[1:] = (by[1:] != by[:-1]) | (key[1:] != key[:-1]) | (is_weight[1:] != is_weight[:-1])
+                start = np.flatnonzero(change)
+                tf = np.diff(np.append(start, len(by)))
+                by, key, is_weight = by[start], key[start], is_weight[start]
+                m = len(start)
                 rows = row + np.arange(n)
                 row += n
-                sums = [np.bincount(owner, weights=w, minlength=n) for w in (common, base, np.log10(chance))]
+                sums = [np.bincount(owner, weights=w, minlength=n) for w in (common, base)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate((rows, rows[rare[0]]))),
-                    pa.array(np.concatenate((words.mix(rows.view(np.uint64)).view(np.int64), rare[1]))),
+                    pa.array(np.concatenate((rows, rows[by]))),
+                    pa.array(np.concatenate((words.mix(rows.view(np.uint64)), key)).view(np.int64)),
                     pa.array(np.concatenate((np.zeros(n, np.int64), tf))),
                     pa.concat_arrays([ids.slice(first, n), pa.nulls(m, ids.type)]),
                     pa.array(np.concatenate((lengths, np.zeros(m, np.int64)))),
                     pa.array(np.concatenate((sums[0].astype(np.int64), np.zeros(m, np.int64)))),
                     pa.array(np.concatenate((sums[1], np.zeros(m)))),
-                    pa.array(np.concatenate((sums[2], np.zeros(m)))),
+                    pa.array(np.concatenate((gained, np.zeros(m)))),
                     pa.array(np.arange(n + m) < n),
-                ], ["row", "word", "tf", "doc_id", "n_tokens", "n_known", "base", "partial", "is_doc"])
+                    pa.array(np.concatenate((np.zeros(n, bool), is_weight))),
+                ], ["row", "word", "tf", "doc_id", "n_tokens", "n_known", "base", "gained", "is_doc", "is_weight"])
 
     return score
 
 
-def _chance(tree: Tree, value: np.ndarray, place: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """Probability of each token at the deepest kept suffix of what stands before it in its text.
-
-    ``chance`` holds the root's probabilities, 1 for rare words: their own probability is a factor that comes later.
-    """
-    shallow = find(tree.levels[0].keys, value)
-    above = shallow
-    for context, longer, here in zip(
-        tree.levels, tree.levels[1:], deeper(tree.levels, shallow, place), strict=False
-    ):
-        state = np.concatenate(([-1], above[:-1]))
-        state[place == 0] = -1
-        on = np.flatnonzero(state >= 0)
-        on = on[context.kept[state[on]]]
-        at, there = state[on], here[on]
-        seen = np.zeros(len(on))
-        seen[there >= 0] = longer.counts[there[there >= 0]]
-        chance[on] = (seen + context.rest[at] * chance[on]) / (context.counts[at] + tree.prior)
-        above = here
-    return chance
+def _weight_key(key: np.ndarray) -> np.ndarray:
+    """Keys of weights in the join, apart from those of word counts."""
+    return ~key
 
 
 def fit(
-    train: DataFrame, depth: int = 3, min_share: float = 4e-6, alpha: float = 0.1, prior: float = 1.0
+    train: DataFrame, depth: int = 3, least: int = 2, min_share: float = 0.0, alpha: float = 0.1, prior: float = 1.0
 ) -> tuple[Tree, DataFrame]:
     """The tree over the texts of ``train`` (text: binary), and the table of all word counts.
 
-    depth: most words in a context. min_share: share of all tokens that a sequence needs to be looked at; a level
-    holds at most 1 / min_share sequences, which is what reaches the driver. alpha: added to each count at the root.
-    prior: words' worth of the shorter context that each context's distribution starts from.
+    depth: most words in a context. least: occurrences that a sequence needs to be looked at. min_share: share of all
+    tokens that it needs as well, for a smaller tree. alpha: added to each count at the root. prior: words' worth of
+    the shorter context that each context's distribution starts from.
     """
     spark = train.sparkSession
     texts = train.select("text")
     counts = kept(texts.mapInArrow(_count_words, COUNTS).groupBy("key").agg(F.sum("n").alias("n")), "word-counts")
     total, distinct = counts.agg(F.sum("n"), F.count("n")).first()
     total = total or 0
-    least = max(2.0, min_share * total)
-    key, n = _collected(counts, max(1.0, WORD_SHARE * total))
-    order = np.argsort(key.view(np.uint64))
-    tree = Tree(key.view(np.uint64)[order], n[order], [], total, distinct, alpha, prior)
-    top = tree.word_counts >= least
-    levels = [Level(tree.words[top], tree.word_counts[top])]
-    for _ in range(depth):
-        shared = spark.sparkContext.broadcast(levels)
-        grown = texts.mapInArrow(_counter(shared), COUNTS).groupBy("key").agg(F.sum("n").alias("n"))
-        key, n = _collected(grown, least)
-        order = np.argsort(key)
-        levels.append(Level(key[order], n[order]))
-    tree.levels = levels
-    _link(levels)
-    _grow(tree, levels[0].counts)
+    bar = max(float(least), min_share * total)
+    common = counts.filter(F.col("n") >= F.lit(max(1.0, WORD_SHARE * total))).toArrow()
+    key = common["key"].to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    tree = Tree(key[order], common["n"].to_numpy()[order], total, distinct, alpha, prior)
+    tree.sequences = [counts.filter(F.col("n") >= F.lit(bar))]
+    for length in range(2, depth + 2):
+        shared = spark.sparkContext.broadcast(bit_table(tree.sequences[-1]))
+        summed = texts.mapInArrow(_counter(shared, length), PARTS).groupBy("prefix", "suffix").agg(F.sum("n").alias("n"))
+        listed = summed.filter(F.col("n") >= F.lit(bar)).mapInArrow(_keyed, SEQUENCES)
+        tree.sequences.append(_settled(listed, "sequences"))
+    _grow(tree, tree.sequences[0])
     return tree, counts
 
 
+def _shared(tree: Tree, bar: float) -> Shared:
+    often = tree.weights.filter(F.col("n") >= F.lit(bar)).groupBy("key").agg(F.sum("weight").alias("weight")).toArrow()
+    key = often["key"].to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return Shared(
+        tree.words, np.log10(tree.base(tree.word_counts.astype(float))), key[order],
+        often["weight"].to_numpy()[order], bit_table(tree.weights.filter(F.col("n") < F.lit(bar)).select("key")),
+        len(tree.sequences) - 1,
+    )
+
+
 def score_texts(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text: binary)."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    bar = max(1.0, WORD_SHARE * tree.total)
+    shared = docs.sparkSession.sparkContext.broadcast(_shared(tree, bar))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", "text").mapInArrow(
         _scorer(shared),
-        f"row long, word long, tf long, doc_id {id_type}, n_tokens long, n_known long, base double, partial double, "
-        "is_doc boolean",
+        f"row long, word long, tf long, doc_id {id_type}, n_tokens long, n_known long, base double, gained double, "
+        "is_doc boolean, is_weight boolean",
+    )
+    rare = counts.filter(F.col("n") < F.lit(bar)).select(
+        F.col("key").alias("word"), F.lit(False).alias("is_weight"), F.col("n").alias("seen"), F.lit(0.0).alias("weight")
+    )
+    far = tree.weights.filter(F.col("n") < F.lit(bar)).select(  # up to two rows of a key: their sum counts
+        F.bitwise_not("key").alias("word"), F.lit(True).alias("is_weight"), F.lit(0).cast("long").alias("seen"), "weight"
     )
-    rare = counts.filter(F.col("n") < F.lit(max(1.0, WORD_SHARE * tree.total)))
-    joined = scored.join(rare.select(F.col("key").alias("word"), F.col("n").alias("seen")), "word", "left")
+    joined = scored.join(rare.unionByName(far), ["word", "is_weight"], "left")
     seen = F.coalesce("seen", F.lit(0))
     root = F.col("tf") * F.log10((seen + F.lit(tree.alpha)) / F.lit(tree.total + tree.alpha * (tree.distinct + 1)))
     return (
@@ -300,12 +414,13 @@ def score_texts(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
             F.sum("n_tokens").alias("n_tokens"),
             F.sum(F.col("n_known") + F.when(seen > 0, F.col("tf")).otherwise(0)).alias("n_known"),
             F.sum("base").alias("base"),
-            F.sum("partial").alias("partial"),
-            F.sum(root).alias("rare"),
+            F.sum(F.col("gained") + F.col("tf") * F.coalesce("weight", F.lit(0.0))).alias("gained"),
+            F.sum(F.when(F.col("is_weight"), 0.0).otherwise(root)).alias("rare"),
         )
         .select(
             "doc_id", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"),
-            (F.col("base") + F.col("rare")).alias("base_score"), (F.col("partial") + F.col("rare")).alias("score"),
+            (F.col("base") + F.col("rare")).alias("base_score"),
+            (F.col("base") + F.col("rare") + F.col("gained")).alias("score"),
         )
     )
 

@@ -129,3 +129,24 @@ def test_cases(spark):
     assert suffixtree.scores(empty(spark)).count() == 0
     one = suffixtree.scores(documents(spark, [(None, "a b", None)])).first()  # only a held-out row: nothing is learned
     assert one.train_tokens == 0 and one.n_known == 0 and math.isclose(one.score, one.base_score)
+
+
+def test_a_sequence_seen_twice_counts_at_any_size(spark):
+    rows = [(k, "alpha beta", None) for k in range(3)] + [(3, "x " * 1_100_000, None)]
+    texts = documents(spark, rows).select(suffixtree.F.col("text").cast("binary").alias("text"))
+    tree, _ = suffixtree.fit(texts)
+    alpha, beta = suffixtree.words.hashes([b"alpha", b"beta"])[0].view(np.int64).tolist()
+    counts = {(r.prefix, r.n) for r in tree.sequences[1].collect()}
+    assert (alpha, 3) in counts and (beta, 3) in counts  # alpha beta, beta END
+
+
+def test_weights_met_by_a_join_give_the_same_scores(spark, monkeypatch):
+    rows = corpus(40, 7)
+    df = documents(spark, [(i, t, None) for i, t in rows])
+    texts = df.select("doc_id", suffixtree.F.col("text").cast("binary").alias("text"))
+    monkeypatch.setattr(suffixtree, "WORD_SHARE", 0.05)
+    tree, counts = suffixtree.fit(texts.filter(suffixtree.remainder("doc_id", 10) != 0))
+    assert tree.weights.filter(suffixtree.F.col("n") < 0.05 * tree.total).count()
+    got = {r.doc_id: r.score for r in suffixtree.score_texts(texts, tree, counts).collect()}
+    for i, score in plain_scores(rows, tree):
+        assert math.isclose(got[i], score, rel_tol=1e-6), i
