@@ -5,7 +5,8 @@ are final. The others become items, are dealt to fewer tasks and packed again, a
 has held all that was left or a round hardly merges anything.
 
 Token ids come from a byte-level BPE vocabulary in its rank form, which gives the ids of the same vocabulary's
-JSON form (a test holds them together) at a third of the cost.
+JSON form (a test holds them together) at a third of the cost. The JSON form's added tokens, such as <|endoftext|>,
+are found in the text as one token each.
 
 Defined cases: a null or empty text is its end token alone. A text of any length is encoded in stretches cut where
 no token can cross. Repeated rows are packed each for itself. An empty table gives no rows. Other columns are
@@ -15,6 +16,7 @@ ignored.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -46,7 +48,17 @@ _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 def encoder(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = added_tokens(f"{path.removesuffix('.tiktoken')}.json")
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the added tokens of a vocabulary's JSON form."""
+    with open(path, encoding="utf-8") as form:
+        added = json.load(form)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError(f"{path} has an added token that takes more than its own text")
+    return {t["content"]: t["id"] for t in added}
 
 
 def stretches(text: str, limit: int = STRETCH) -> Iterator[str]:
@@ -63,7 +75,7 @@ def stretches(text: str, limit: int = STRETCH) -> Iterator[str]:
 
 def encode(text: str, path: str) -> np.ndarray:
     """Ids of a text and its end."""
-    parts = [encoder(path).encode_to_numpy(part) for part in stretches(text)] if text else []
+    parts = [encoder(path).encode_to_numpy(part, allowed_special="all") for part in stretches(text)] if text else []
     return np.concatenate([*parts, [END_ID]]).astype("<u4")
 
 
@@ -141,7 +153,7 @@ def pack(docs: DataFrame, size: int = 1024, slack: int = 4, vocabulary: str | No
     """Pieces of all documents with their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     size: tokens of a sequence. slack: free tokens up to which a bin counts as full before the last round.
-    vocabulary: path of the rank file, the same on all machines.
+    vocabulary: path of the rank file, with the JSON form next to it, the same on all machines.
     """
     spark = docs.sparkSession
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")

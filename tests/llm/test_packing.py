@@ -92,3 +92,31 @@ def test_cases(spark, tokenizer):
     docs = cases(spark)
     check(packing.pack(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()], tokenizer, 1024)
     assert packing.pack(empty(spark)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def contract():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_added_tokens_are_one_id(contract):
+    assert packing.encode("a <|endoftext|> b", RANKS).tolist() == [64, 220, 50256, 275, 2]
+    assert contract.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "\t", "a", "é", "it's", "12", "."]), max_size=20),
+    st.integers(1, 9),
+)
+def test_ids_with_added_tokens_in_any_stretch(contract, parts, limit):
+    text = "".join(parts)
+    want = contract.encode(text, add_special_tokens=False).ids
+    assert packing.encode(text, RANKS).tolist() == [*want, 2]
+    enc = packing.encoder(RANKS)
+    assert [i for p in packing.stretches(text, limit) for i in enc.encode(p, allowed_special="all")] == want
+
+
+def test_added_tokens_in_packed_documents(spark, contract):
+    rows = [(1, "one<|endoftext|>two <|endoftext|>"), (2, "<|endoftext|>"), (3, prose(3))]
+    check(packing.pack(documents(spark, [(*r, None) for r in rows])).collect(), rows, contract, 1024)
