@@ -2,7 +2,7 @@
 
 A text is put into a canonical form (lower case, no copyright lines, one spelling of equivalent words, punctuation
 and white space as single blanks) and hashed; whole texts and single lines whose digest is that of a known licence
-or notice are hits. The known texts are a short list of this module, so they are broadcast.
+or notice are hits. The known texts are a fixed list (``licence_texts`` and its files), so they are broadcast.
 
 Defined cases: a null text, and one whose canonical form is empty, matches nothing; every row gives one result row,
 also repeated ones. A line is what stands between \\n. Other columns are ignored.
@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.licence_texts import KNOWN
+from cuelake.llm.licence_texts import KNOWN, TITLES, variants
 
 #: Words that licence texts use in place of one another (canonical form last).
 SPELLINGS = [
@@ -25,8 +25,13 @@ SPELLINGS = [
     ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("behaviour", "behavior"), ("whilst", "while"),
     ("noninfringement", "non infringement"), ("percent", "per cent"), ("https", "http"), ("merchantibility", "merchantability"),
 ]
-#: A line that only tells whose work it is, since when.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright +)?(\(c\)|©|copyright) *[0-9]{4}[^\n]*$"
+#: A line that only tells whose work it is, with a year anywhere, a mark or a company's name, or reserves all rights.
+#: A licence's own sentences can also begin with the word.
+COPYRIGHT_LINE = (
+    r"(?m)^[^\p{L}\p{N}\n]*((\(c\)|©) *[0-9]{4}[^\n]*|©[^\n]*|copyright *(\(c\)|©)[^\n]*|copyright[^\n]*[^0-9](19|20)[0-9]{2}[^\n]*"
+    r"|(\(c\)|©) *copyright[^\n]*|(\(c\)|copyright) [^\n]*[^\p{L}\n](authors|inc|corporation|corp|ltd|llc|gmbh|foundation)[^\p{L}\p{N}\n]*"
+    r"|all rights reserved[^\p{L}\p{N}\n]*)$"
+)
 MARKS = r"[^\p{L}\p{N}]+"
 
 
@@ -42,7 +47,8 @@ def canonical(text: Column) -> Column:
 
 def canonical_text(text: str) -> str:
     """The same form of one known text, for its digest."""
-    out = re.sub(r"(?m)^[^\w\n]*(copyright +)?(\(c\)|©|copyright) *[0-9]{4}[^\n]*$", " ", text.lower())
+    line = COPYRIGHT_LINE.replace(r"[^\p{L}\p{N}\n]", r"(?:[^\w\n]|_)").replace(r"[^\p{L}\n]", r"(?:[^\w\n]|[\d_])")
+    out = re.sub(line, " ", text.lower())
     out = f" {re.sub(r'[\W_]+', ' ', out).strip()} "
     for variant, word in SPELLINGS:
         out = out.replace(f" {variant} ", f" {word} ")
@@ -52,8 +58,10 @@ def canonical_text(text: str) -> str:
 def known_digests() -> list[tuple[str, str]]:
     """(digest, licence) of each known text; texts of one canonical form keep the first name."""
     found: dict[str, str] = {}
-    for name, text in KNOWN:
-        found.setdefault(hashlib.sha256(canonical_text(text).encode()).hexdigest(), name)
+    listed = [*KNOWN, *((name, title) for name, titles in TITLES.items() for title in titles)]
+    for name, text in listed:
+        for form in variants(name, text):
+            found.setdefault(hashlib.sha256(canonical_text(form).encode()).hexdigest(), name)
     return sorted(found.items())
 
 
