@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import langid, licences, linedup, neardup, packing, suffixtree, tiling, topk, toxicity, warc
+from cuelake.llm import langid, licences, linedup, neardup, packing, suffixtree, tiling, topk, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
@@ -185,3 +185,9 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, a quarter of them held out."""
     return langid.languages(table(spark, sf_dir, "documents"), divisor=4, held=2)
+
+
+@job("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every usable vector, fitted on the distinct ones."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), scale=64, offset=1_000_000, components=16)
