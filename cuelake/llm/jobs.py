@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import langid, licences, linedup, neardup, packing, suffixtree, tiling, topk, toxicity, warc, whitening
+from cuelake.llm import divergence, langid, licences, linedup, neardup, packing, suffixtree, tiling, topk, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
@@ -187,6 +187,53 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"), divisor=4, held=2)
 
 
+@job(
+    "op11_divergence",
+    """
+    WITH docs AS (
+        SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[A-Za-z\\x{80}-\\x{10FFFF}]+') AS terms
+        FROM documents
+    ),
+    occ AS (SELECT row, lang, source, unnest(terms) AS term FROM docs),
+    per_doc AS (SELECT row, lang, source, term, count(*) AS n FROM occ GROUP BY ALL),
+    keep AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM per_doc GROUP BY lang, term HAVING count(*) >= 10),
+    langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM keep GROUP BY lang),
+    cnt AS (SELECT lang, source, term, sum(p.n)::HUGEINT AS n FROM per_doc p SEMI JOIN keep USING (lang, term) GROUP BY ALL),
+    grp AS (SELECT DISTINCT lang, source FROM docs),
+    tot AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM grp LEFT JOIN cnt USING (lang, source) GROUP BY ALL),
+    shares AS (
+        SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+            1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (t.total + 2 * l.v) AS p,
+            1 + (1000000000::HUGEINT * (k.n + 2)) // (l.total + 2 * l.v) AS q
+        FROM tot t JOIN langs l USING (lang) JOIN keep k USING (lang)
+        LEFT JOIN cnt c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+    ),
+    pair_sums AS (
+        SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::HUGEINT AS value
+        FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ),
+    pairs AS (
+        SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+        FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN pair_sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    ),
+    found AS (
+        SELECT lang, source, 'pair' AS part, item, value FROM pairs
+        UNION ALL
+        SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM shares WHERE n > 0 AND p > q
+    )
+    SELECT lang, source, part, item, value::BIGINT AS value,
+        row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+    FROM found QUALIFY part = 'pair' OR rank <= 10
+    """,
+)
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every source's wording differs from its language's other sources, and by which terms."""
+    return divergence.divergence(table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
 @job("op12_whitening")
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened components of every usable vector, fitted on the distinct ones."""
