@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import divergence, langid, licences, linedup, neardup, packing, suffixtree, tiling, topk, toxicity, warc, whitening
+from cuelake.llm import divergence, langid, licences, linedup, neardup, packing, repeats, suffixtree, tiling, topk, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
@@ -238,3 +238,9 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened components of every usable vector, fitted on the distinct ones."""
     return whitening.whitened(table(spark, sf_dir, "embeddings"), scale=64, offset=1_000_000, components=16)
+
+
+@job("op13_repeats")
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 35 words or more that stand anywhere else."""
+    return repeats.repeat_report(table(spark, sf_dir, "documents"), window=35)
