@@ -6,7 +6,7 @@ A window is ``window`` consecutive words of one document. Each window belongs to
 1. Tasks count in how many places each least run stands. A window can only repeat if its run stands in two or more,
    so other segments end here; a bit table of fixed size says which go on.
 2. What goes on is written to the shared folder: each segment's place, digest and, once a task, its text. Equal
-   segments become one with a weight. Runs that stand in very many places (a passage in a third of all documents,
+   segments are one with a weight. Runs that stand in very many places (a passage in a third of all documents,
    each time with other words around it) are cut into single windows first, which deals them out and lets the equal
    ones meet.
 3. Segments are dealt to shards by run. A shard builds a compressed FM-index of its segments, streams them through
@@ -211,15 +211,18 @@ def _search(window: int):
 
     def search(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
+        digests = list(zip(parts.column("hi").to_pylist(), parts.column("lo").to_pylist(), strict=True))
+        places = {d: n for d, n in zip(digests, parts.column("places").to_pylist(), strict=True) if n is not None}
+        bodies = {d: text.as_buffer() for d, text in zip(digests, parts.column("text"), strict=True) if text.is_valid}
+        digests = list(bodies)
         sequences = [
-            np.array([number.setdefault(w, len(number) + 1) for w in text.split()], np.int64) for text in parts.column("text").to_pylist()
+            np.array([number.setdefault(w, len(number) + 1) for w in bytes(text).split()], np.int64) for text in bodies.values()
         ]
-        found = FMIndex(sequences, parts.column("places").to_numpy(), window).repeated(2)
+        found = FMIndex(sequences, np.array([places[d] for d in digests], np.int64), window).repeated(2)
         hit = [k for k, starts in enumerate(found) if len(starts)]
         spans = [[{"first": a, "last": b} for a, b in stretches(found[k], window)] for k in hit]
-        take = pa.array(hit, pa.int64())
         return pa.table({
-            "hi": parts.column("hi").take(take), "lo": parts.column("lo").take(take),
+            "hi": pa.array([digests[k][0] for k in hit], pa.int64()), "lo": pa.array([digests[k][1] for k in hit], pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))})
 
     return search
@@ -240,12 +243,15 @@ def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
     shared = spark.sparkContext.broadcast((_table(repeated), np.sort(crowded)))
     sent = kept(texts.mapInArrow(_send(shared, window), SEGMENTS), "segments")
 
-    weights = sent.groupBy("hi", "lo").agg(F.count("*").alias("places"))
-    bodies = sent.filter(F.col("text").isNotNull()).select("hi", "lo", "run", "bytes", "text").dropDuplicates(["hi", "lo"])
-    once = kept(bodies.join(weights, ["hi", "lo"]), "distinct-segments")
-    size = once.agg(F.sum("bytes")).first()[0] or 0
+    # texts are dealt to the shards once, next to one row of each segment that says in how many places it stands
+    weights = sent.groupBy("hi", "lo", "run").agg(F.count("*").alias("places"))
+    bodies = sent.filter(F.col("text").isNotNull())
+    size = bodies.agg(F.sum("bytes")).first()[0] or 0
+    both = weights.withColumn("text", F.lit(None).cast("binary")).unionByName(
+        bodies.select("hi", "lo", "run", F.lit(None).cast("long").alias("places"), "text")
+    )
     shards = 1 + size // SHARD_BYTES
-    dealt = once.withColumn("shard", F.pmod(F.xxhash64("run"), F.lit(shards)))
+    dealt = both.select(F.pmod(F.xxhash64("run"), F.lit(shards)).alias("shard"), "hi", "lo", "places", "text")
     spans = "array<struct<first:int,last:int>>"
     found = kept(dealt.groupBy("shard").applyInArrow(_search(window), f"hi long, lo long, spans {spans}"), "repeated-stretches")
     back = sent.select("hi", "lo", "row", "word").join(found, ["hi", "lo"])
