@@ -1,9 +1,9 @@
 """How a source's wording differs from other sources of its language, with term strings read back last.
 
-Late string materialization: tasks count terms under a 64-bit digest and write (digests, count, documents, term) once
-to the shared folder. Shuffles of the counting read the fixed-width columns only. The strings are then read for the
-digests that may be kept: a digest whose least and greatest string differ stands for several terms and is counted
-again by string, which splits it. Everything after that is whole numbers again, until the few reported terms get their
+Late string materialization: tasks count terms under a 64-bit digest and write (digests, count, documents) to the shared
+folder, with a term's string where the task meets it first. Shuffles of the counting read the fixed-width columns only.
+The strings are then read for the digests that may be kept: a digest whose least and greatest string differ stands for
+several terms and is counted again by string, which splits it. Everything after that is whole numbers again, until the few reported terms get their
 text by a last join.
 
 Sources of a language are compared over all kept terms. Terms are dealt into blocks and sources into chunks of
@@ -35,10 +35,12 @@ TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 
 PIECE = 1 << 20
 #: Distinct terms that a task holds before it sends its counts on.
-HELD_TERMS = 200_000
+HELD_TERMS = 400_000
 #: Sources compared with each other in one task; entries (term, source) of a block.
 CHUNK = 256
 BLOCK_ENTRIES = 500_000
+#: Tables of whole numbers up to this many rows are sent to all tasks instead of dealing the other side out.
+SENT_ROWS = 1_000_000
 
 COUNTS = "lang_key long, group_key long, digest long, n long, docs long, term binary"
 
@@ -58,20 +60,24 @@ def _pieces(text: bytes, limit: int) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _count(bits: int, most: int, limit: int):
-    """Each group's terms in a part of the table, with how often and in how many documents they occur."""
+def _count(bits: int, most: int, limit: int, named: bool = False):
+    """Each group's terms in a part of the table, with how often and in how many documents they occur.
+
+    A term's string stands in its first row only, in all of them if ``named``.
+    """
 
     def flush(counts: dict[tuple[int, int], tuple[Counter, Counter]]) -> pa.RecordBatch:
         lang, group, digest, n, docs, terms = [], [], [], [], [], []
         known: dict[bytes, int] = {}
         for (lang_key, group_key), (times, holders) in counts.items():
             for term, times_here in times.items():
-                if term not in known:
-                    known[term] = digest_of(term, bits)
-                digest.append(known[term])
+                number = known.get(term)
+                terms.append(term if named or number is None else None)
+                if number is None:
+                    number = known[term] = digest_of(term, bits)
+                digest.append(number)
                 n.append(times_here)
                 docs.append(holders[term])
-            terms.extend(times)
             lang.extend([lang_key] * len(times))
             group.extend([group_key] * len(times))
         longs = [pa.array(x, pa.int64()) for x in (lang, group, digest, n, docs)]
@@ -125,41 +131,46 @@ def _keys(seed: int, lang: str = "lang", source: str = "source") -> list[Column]
     ]
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """The table marked as one for all tasks if a count says that it is small."""
+    return F.broadcast(rows) if rows.limit(SENT_ROWS + 1).count() <= SENT_ROWS else rows
+
+
 def _term_counts(docs: DataFrame, seed: int, min_docs: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """(lang_key, group_key, digest, k, n) of the kept terms in each group that has them, and (digest, k, term).
 
     k tells apart the terms of one digest; it is 0 where a digest stands for one term.
     """
     rows = docs.select(_name("lang").alias("lang"), _name("source").alias("source"), F.col("text").cast("string").alias("text"))
-    written = kept(rows.select(*_keys(seed), "text").mapInArrow(_count(bits, HELD_TERMS, PIECE), COUNTS), "term-counts")
-    # only whole numbers travel here; one dealing by term serves the counts per group and per language
-    numbers = written.select("lang_key", "group_key", "digest", "n", "docs")
-    per_group = numbers.groupBy("lang_key", "group_key", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counts = kept(per_group, "digest-counts")
-    likely = counts.groupBy("lang_key", "digest").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
+    rows = rows.select(*_keys(seed), "text")
+    written = kept(rows.mapInArrow(_count(bits, HELD_TERMS, PIECE), COUNTS), "term-counts")
+    # only whole numbers travel here
+    group, sums = ["lang_key", "group_key", "digest"], [F.sum("n").alias("n"), F.sum("docs").alias("docs")]
+    counts = kept(written.select(*group, "n", "docs").groupBy(*group).agg(*sums), "digest-counts")
+    enough = F.col("docs") >= min_docs
+    likely = counts.groupBy("lang_key", "digest").agg(F.sum("docs").alias("docs")).filter(enough)
     likely = kept(likely.select("lang_key", "digest"), "likely-terms")
 
-    wanted = likely.select("digest").distinct()
-    strings = written.select("digest", "term").join(wanted, "digest", "left_semi")
+    strings = written.filter(F.col("term").isNotNull()).select("digest", "term")
+    strings = strings.join(_sent(likely.select("digest").distinct()), "digest", "left_semi")
     ends = kept(strings.groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last")), "term-strings")
+    terms = ends.filter("term = last").select("digest", F.lit(0).alias("k"), "term")
     mixed = ends.filter("term <> last").select("digest")
-    single = ends.filter("term = last").select("digest", F.lit(0).alias("k"), "term")
-
-    plain = counts.join(single.select("digest"), "digest", "left_semi").withColumn("k", F.lit(0))
-    split = written.join(mixed, "digest", "left_semi").groupBy("lang_key", "group_key", "digest", "term").agg(
-        F.sum("n").alias("n"), F.sum("docs").alias("docs")
-    )
-    split = kept(split, "split-terms")
-    numbers_of = split.select("digest", "term").distinct().select(
-        "digest", "term", F.row_number().over(Window.partitionBy("digest").orderBy("term")).alias("k")
-    )
-    terms = kept(single.unionByName(numbers_of), "terms")
-    split = split.join(terms, ["digest", "term"])
-    columns = ["lang_key", "group_key", "digest", "k", "n", "docs"]
-    every = plain.select(*columns).unionByName(split.select(*columns))
-    enough = every.groupBy("lang_key", "digest", "k").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
-    likely_terms = enough.join(likely, ["lang_key", "digest"], "left_semi").select("lang_key", "digest", "k")
-    return kept(every.join(likely_terms, ["lang_key", "digest", "k"]).drop("docs"), "kept-terms"), terms
+    every = counts.join(_sent(likely), ["lang_key", "digest"], "left_semi").withColumn("k", F.lit(0))
+    columns = ["lang_key", "group_key", "digest", "k", "n"]
+    if mixed.isEmpty():
+        return every.select(*columns), terms
+
+    # digests that stand for several terms: counted by string, numbered, judged again
+    named = rows.mapInArrow(_count(bits, HELD_TERMS, PIECE, named=True), COUNTS).join(_sent(mixed), "digest", "left_semi")
+    split = kept(named.groupBy(*group, "term").agg(*sums), "split-terms")
+    number = F.row_number().over(Window.partitionBy("digest").orderBy("term"))
+    parts = kept(split.select("digest", "term").distinct().select("digest", number.alias("k"), "term"), "split-numbers")
+    split = split.join(parts, ["digest", "term"])
+    held = split.groupBy("lang_key", "digest", "k").agg(F.sum("docs").alias("docs")).filter(enough)
+    split = split.join(held.drop("docs"), ["lang_key", "digest", "k"], "left_semi")
+    every = every.join(_sent(mixed), "digest", "left_anti")
+    return every.select(*columns).unionByName(split.select(*columns)), terms.unionByName(parts)
 
 
 def _share(n: str, total: str, terms: str) -> Column:
@@ -248,6 +259,7 @@ def divergence(docs: DataFrame, min_docs: int = 10, top: int = 10, bits: int = 6
     """
     names, seed = _groups(docs)
     counts, strings = _term_counts(docs, seed, min_docs, bits)
+    counts = kept(counts, "kept-terms")
     per_lang = counts.groupBy("lang_key", "digest", "k").agg(F.sum("n").alias("lang_n"))
     langs = per_lang.groupBy("lang_key").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
     totals = counts.groupBy("group_key").agg(F.sum("n").alias("total"))
