@@ -64,24 +64,74 @@ def active_artifacts(registrations: DataFrame) -> DataFrame:
     )
 
 
+def _jumps(first: DataFrame, keys: list[str]) -> list[DataFrame]:
+    """Jump tables ``(keys, at, to)`` over 1, 2, 4, … first parents, as far as the longest line goes.
+
+    Each table is at most a row a node. In a circle lines never end, so the tables end where a jump is longer than
+    the largest group.
+    """
+    tables = [first]
+    largest = first.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    while 1 << len(tables) <= largest:
+        last = tables[-1]
+        on = [*keys, "_mid"]
+        longer = last.withColumnRenamed("_to", "_mid").join(last.withColumnRenamed("_at", "_mid"), on).drop("_mid").checkpoint()
+        if longer.isEmpty():
+            break
+        tables.append(longer)
+    return tables
+
+
 def lineage(deliverables: DataFrame, parents: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
     """All sources, near and far, of each deliverable ``(keys, seq)``; parents are ``(keys, seq, parent)``.
 
-    One round per generation. The parent table is partitioned once and kept in the checkpoint
-    folder, so a round shuffles only the frontier.
+    Path doubling: the greatest parent of each node is its first one, and jump tables over 1, 2, 4, … first parents
+    are built once. A set of nodes grows along its lines by one join a table, doubling each time, so a line of any
+    length takes a logarithm of joins, and rows are made once. Other parents then start new lines; that is repeated
+    until nothing is new, once for each change of lines that the farthest source needs. Circles are followed once
+    round; ``lineage_circles`` reports them.
+    """
+    ensure_checkpoint_dir(parents.sparkSession)
+    keys = list(keys)
+    edges_ = parents.select(*keys, F.col("seq").alias("_at"), F.col("parent").alias("_to")).distinct()
+    ranked = edges_.groupBy(*keys, "_at").agg(F.max("_to").alias("_to"))
+    first = ranked.repartition(*keys, "_at").checkpoint()
+    others = edges_.join(first, [*keys, "_at", "_to"], "left_anti").checkpoint()
+    jumps = _jumps(first, keys)
+
+    def along_lines(rows: DataFrame) -> DataFrame:
+        for table in jumps:
+            rows = rows.join(table, [*keys, "_at"], "left").select(
+                *keys, "seq", F.explode(F.array_compact(F.array("_at", "_to"))).alias("_at")
+            )
+        return rows.distinct()
+
+    def step(rows: DataFrame, by: DataFrame) -> DataFrame:
+        return rows.join(by, [*keys, "_at"]).select(*keys, "seq", F.col("_to").alias("_at"))
+
+    start = deliverables.select(*keys, "seq", F.col("seq").alias("_at"))
+    new = along_lines(step(start, first).unionByName(step(start, others)).distinct()).checkpoint()
+    found = new
+    while not others.isEmpty():
+        fresh = step(new, others).distinct().join(found, [*keys, "seq", "_at"], "left_anti").checkpoint()
+        if fresh.isEmpty():
+            break
+        new = along_lines(fresh).join(found, [*keys, "seq", "_at"], "left_anti").checkpoint()
+        found = found.unionByName(new)
+    return found.withColumnRenamed("_at", "source_seq")
+
+
+def lineage_circles(parents: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
+    """Edges ``(keys, seq, parent)`` that close a circle: the parent isn't older, and descends from the node itself.
+
+    Every circle has an edge whose parent doesn't come before its node, and only these few are followed up.
     """
-    spark = parents.sparkSession
-    ensure_checkpoint_dir(spark)
     keys = list(keys)
-    step = parents.select(*keys, F.col("seq").alias("_at"), "parent").repartition(*keys, "_at").checkpoint()
-    found = deliverables.select(*keys, "seq", F.col("seq").alias("_at")).join(step, [*keys, "_at"])
-    found = found.select(*keys, "seq", F.col("parent").alias("_at")).distinct().checkpoint()
-    result = found
-    while not found.isEmpty():
-        nearer = found.join(step, [*keys, "_at"]).select(*keys, "seq", F.col("parent").alias("_at")).distinct()
-        found = nearer.join(result, [*keys, "seq", "_at"], "left_anti").checkpoint()
-        result = result.unionByName(found)
-    return result.withColumnRenamed("_at", "source_seq")
+    back = parents.filter(F.col("parent") >= F.col("seq")).select(*keys, "seq", "parent").distinct()
+    starts = back.select(*keys, F.col("parent").alias("seq")).distinct()
+    reached = lineage(starts, parents, keys).select(*keys, F.col("seq").alias("parent"), F.col("source_seq").alias("seq"))
+    itself = back.filter(F.col("parent") == F.col("seq"))
+    return back.join(reached, [*keys, "seq", "parent"], "left_semi").unionByName(itself).distinct()
 
 
 # --- approvals ------------------------------------------------------------------------------------

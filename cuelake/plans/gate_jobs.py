@@ -30,18 +30,46 @@ def active_artifacts(spark, sf):
     return pv.active_artifacts(fx.artifacts(spark, sf)[0])
 
 
-@job("lineage", """
+PARENTS = """par AS (SELECT project_id, seq, seq - 1 AS parent FROM x5 WHERE seq > 1
+  UNION SELECT project_id, seq, seq // 2 FROM x5 WHERE seq % 50 = 0)"""
+
+
+def _parents(a):
+    """The registration before as parent, and from every fiftieth a second one half as far."""
+    seq = F.col("seq")
+    both = F.when(seq % 50 == 0, F.array(seq - 1, F.floor(seq / 2))).otherwise(F.array(seq - 1))
+    return a.filter(seq > 1).select("project_id", "seq", F.explode(both).alias("parent"))
+
+
+@job("lineage", f"""
 +RECURSIVE +WITH del AS (SELECT project_id, type, language, MAX(seq) AS seq FROM x5 GROUP BY project_id, type, language),
-par AS (SELECT project_id, seq, seq // 2 AS parent FROM x5 WHERE seq > 1 UNION SELECT project_id, seq, seq // 3 FROM x5 WHERE seq % 6 = 0),
+{PARENTS},
 up AS (SELECT d.project_id, d.seq, p.parent AS source_seq FROM del d JOIN par p USING (project_id, seq)
   UNION SELECT up.project_id, up.seq, p.parent FROM up JOIN par p ON p.project_id = up.project_id AND p.seq = up.source_seq)
 SELECT * FROM up""")
 def lineage(spark, sf):
     a, _ = fx.artifacts(spark, sf)
-    seq = F.col("seq")
-    parents = F.when(seq % 6 == 0, F.array(F.floor(seq / 2), F.floor(seq / 3))).otherwise(F.array(F.floor(seq / 2)))
-    p = a.filter(seq > 1).select("project_id", "seq", F.explode(F.array_distinct(parents)).alias("parent"))
-    return pv.lineage(pv.active_artifacts(a).select("project_id", "seq"), p)
+    return pv.lineage(pv.active_artifacts(a).select("project_id", "seq"), _parents(a))
+
+
+@job("lineage_circles", f"""
++RECURSIVE +WITH {PARENTS},
+late AS (SELECT project_id, seq, seq + 7 AS parent FROM x5 WHERE seq % 100 = 30
+  UNION ALL SELECT project_id, 1, 3 FROM x5 WHERE seq = 2 AND project_id % 2 = 0 UNION ALL SELECT project_id, 2, 2 FROM x5 WHERE seq = 2 AND project_id % 3 = 0),
+every AS (SELECT * FROM par UNION SELECT * FROM late),
+up AS (SELECT project_id, parent AS start_seq, parent AS at FROM late
+  UNION SELECT up.project_id, up.start_seq, p.parent FROM up JOIN every p ON p.project_id = up.project_id AND p.seq = up.at)
+SELECT DISTINCT l.project_id, l.seq, l.parent FROM late l JOIN up ON up.project_id = l.project_id AND up.start_seq = l.parent AND up.at = l.seq""")
+def lineage_circles(spark, sf):
+    a, _ = fx.artifacts(spark, sf)
+    seq, project = F.col("seq"), F.col("project_id")
+    late = F.array_compact(F.array(
+        F.when(seq % 100 == 30, F.struct(seq.alias("seq"), (seq + 7).alias("parent"))),
+        F.when((seq == 2) & (project % 2 == 0), F.struct((seq - 1).alias("seq"), (seq + 1).alias("parent"))),
+        F.when((seq == 2) & (project % 3 == 0), F.struct(seq.alias("seq"), seq.alias("parent"))),
+    ))
+    late = a.select("project_id", F.explode(late).alias("edge")).select("project_id", "edge.*")
+    return pv.lineage_circles(_parents(a).unionByName(late))
 
 
 APPROVED = ACTIVE + """,
