@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -219,48 +221,106 @@ def glossary_documents(spark, sf):
 
 # --- streams --------------------------------------------------------------------------------------
 
+LOG_ROWS = 200_000
+MICROS = {f: "yyyy-MM-dd'T'HH:mm:ss.SSSSSS" for f in ("timestampFormat", "timestampNTZFormat")}
+
+
+def _log_files(spark, rows, columns) -> str:
+    """Log records as JSON files in the order of their times, as many as their number asks for, then two last records.
+
+    Slices of time are written one after the other, as a log grows; a slice above the bound takes several files. The
+    last records, of no project, lie far ahead, so that whatever waits for later records is settled at the end.
+    """
+    path = _folder(spark, "log")
+    n, lo, hi = rows.agg(F.count(F.lit(1)), F.min("time"), F.max("time")).first()
+    if not n:
+        rows.write.json(path)
+        return path
+    slices = max(3, math.ceil(n / LOG_ROWS))
+    edges = [lo + (hi - lo) * k / slices for k in range(1, slices)]
+    time = lambda t: F.lit(t).cast(dict(rows.dtypes)["time"])
+    for begin, end in zip([None, *edges], [*edges, None], strict=True):
+        part = rows if begin is None else rows.filter(F.col("time") >= time(begin))
+        part = part if end is None else part.filter(F.col("time") < time(end))
+        # sorted in one task, files follow each other in time
+        part.coalesce(1).sortWithinPartitions("time").write.options(maxRecordsPerFile=LOG_ROWS, **MICROS).mode("append").json(path)
+    for days in (1000, 2000):
+        own = {"time": time(hi + timedelta(days=days)), "project_id": F.lit(-1).cast("long")}
+        late = spark.range(1).select(*[own.get(c, F.lit(None).cast(t)).alias(c) for c, t in columns])
+        late.write.options(**MICROS).mode("append").json(path)
+    return path
+
+
 def _event_files(spark, sf, repeated: bool = False) -> str:
-    """The event log as JSON files in event order, with every tenth event twice if ``repeated``."""
+    """The event log as JSON files in the order of its times, with every tenth event twice if ``repeated``."""
     e = fx.event_rows(spark, sf).select(F.col("seq").alias("event_id"), "project_id", "seq", "time", "actor", "to_state")
     if repeated:
         e = e.unionByName(e.filter(F.col("event_id") % 10 == 0))
-    path = _folder(spark, "log")
-    e.repartitionByRange(4, "seq").sortWithinPartitions("seq").write.json(path)
-    return path
+    return _log_files(spark, e, e.dtypes)
+
+
+def _real(rows):
+    """Without the records that end a log."""
+    return rows.filter(F.col("project_id") >= 0)
 
 
 @job("stream_project_state", """
 SELECT project_id, arg_max(to_state, seq) AS current_state, MAX(seq) AS seq, COUNT(*) AS transitions FROM x4 GROUP BY project_id""")
 def stream_project_state(spark, sf):
     out = _folder(spark, "live")
-    st.run_updates(st.live_state(st.read_stream(spark, _event_files(spark, sf))), out)
+    st.run_updates(st.live_state(_real(st.read_stream(spark, _event_files(spark, sf)))), out)
     return st.newest(spark, out, ["project_id"])
 
 
 @job("stream_activity", "SELECT CAST(date_trunc('hour', time) AS TIMESTAMP) AS window_start, actor AS kind, COUNT(*) AS events FROM x4 GROUP BY 1, 2")
 def stream_activity(spark, sf):
     out = _folder(spark, "activity")
-    st.run_updates(st.activity(st.read_stream(spark, _event_files(spark, sf)), late="400 days"), out)
+    st.run_updates(st.activity(_real(st.read_stream(spark, _event_files(spark, sf))), late="1 hour"), out)
     rows = st.newest(spark, out, ["window_start", "kind"])
     return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@job("activity_sessions", """
-+WITH g AS (SELECT *, CASE WHEN time - LAG(time) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS brk FROM x4 WINDOW w AS (PARTITION BY project_id ORDER BY time)),
+@job("stream_activity_sliding", """
+SELECT CAST(date_trunc('hour', time) - INTERVAL 1 HOUR * k AS TIMESTAMP) AS window_start, actor AS kind, COUNT(*) AS events
+FROM x4, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2""")
+def stream_activity_sliding(spark, sf):
+    out = _folder(spark, "activity")
+    events = st.read_stream(spark, _event_files(spark, sf))
+    st.append_stream(st.activity(events, "2 hours", "1 hour", late="1 hour"), out)
+    rows = spark.read.parquet(f"{out}/out").filter(F.col("kind").isNotNull())
+    return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+SESSIONS = """
++WITH g AS (SELECT *, CASE WHEN time - LAG(time) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS brk FROM x4 WINDOW w AS (PARTITION BY project_id ORDER BY time)),
 s AS (SELECT *, SUM(brk) OVER (PARTITION BY project_id ORDER BY time) AS n FROM g)
-SELECT project_id, MIN(time) AS session_start, MAX(time) + INTERVAL 12 HOUR AS session_end, COUNT(*) AS events FROM s GROUP BY project_id, n""")
+SELECT project_id, MIN(time) AS session_start, MAX(time) + INTERVAL 12 HOUR AS session_end, COUNT(*) AS events FROM s GROUP BY project_id, n"""
+
+
+@job("activity_sessions", SESSIONS)
 def activity_sessions(spark, sf):
     return st.sessions(fx.event_rows(spark, sf), gap="12 hours")
 
 
+@job("stream_sessions", SESSIONS)
+def stream_sessions(spark, sf):
+    out = _folder(spark, "sessions")
+    st.append_stream(st.stream_sessions(st.read_stream(spark, _event_files(spark, sf)), "12 hours", late="1 hour"), out)
+    rows = _real(spark.read.parquet(f"{out}/out"))
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
 @job("stream_dedup", "SELECT seq AS event_id, project_id, to_state FROM x4")
 def stream_dedup(spark, sf):
     out = _folder(spark, "dedup")
     events = st.read_stream(spark, _event_files(spark, sf, repeated=True))
-    st.append_stream(st.drop_repeats(events, late="400 days").select("event_id", "project_id", "to_state"), out)
+    st.append_stream(st.drop_repeats(_real(events), late="1 hour").select("event_id", "project_id", "to_state"), out)
     return spark.read.parquet(f"{out}/out")
 
 
+RUN_SCHEMA = "project_id long, cmd string, seq long, time timestamp, kind string, rc long"
+
+
 def _run_log(spark, sf):
     e = fx.event_rows(spark, sf)
     return e.select(
@@ -287,6 +347,20 @@ def run_error_rates(spark, sf):
     return runlog.error_rates(run_pairs(spark, sf))
 
 
+@job("stream_run_pairs", """
++WITH r AS (SELECT project_id, actor AS cmd, seq, date_trunc('millisecond', time) AS t FROM x4),
+n AS (SELECT *, LEAD(seq) OVER w AS nx, LEAD(t) OVER w AS nt FROM r WINDOW w AS (PARTITION BY project_id, cmd ORDER BY t, seq))
+SELECT project_id, cmd, seq AS started_seq, CASE WHEN done THEN nx ELSE -1 END AS ended_seq, done AND nx % 3 <> 0 AS failed
+FROM (SELECT *, COALESCE(nx % 2 = 1 AND nt <= t + INTERVAL 2 DAY, false) AS done FROM n WHERE seq % 2 = 0)""")
+def stream_run_pairs(spark, sf):
+    log = _run_log(spark, sf)
+    records = st.read_stream(spark, _log_files(spark, log, log.dtypes), schema=RUN_SCHEMA)
+    out = _folder(spark, "runs")
+    with st.rocksdb(spark):
+        st.append_stream(st.pair_runs_stream(records, timeout="2 days"), out)
+    return _real(spark.read.parquet(f"{out}/out"))
+
+
 @job("log_retention", """
 SELECT project_id, actor AS cmd, seq FROM x4 WHERE time >= (SELECT MAX(time) FROM x4) - INTERVAL 24 HOUR""")
 def log_retention(spark, sf):

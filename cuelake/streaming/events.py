@@ -7,12 +7,15 @@ replaces its own output; the newest row per key is the current answer.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from cuelake.operators import ordered
+from cuelake.operators.ordered import arrange, running
 
 EVENT_SCHEMA = "event_id long, project_id long, seq long, time timestamp, actor string, to_state string"
 
@@ -60,13 +63,39 @@ def activity(events: DataFrame, width: str = "1 hour", slide: str | None = None,
     return g.select(F.col("w.start").alias("window_start"), "kind", "events")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
-    """Events per project in sessions that end after a quiet ``gap``."""
-    e = events.withWatermark("time", late) if events.isStreaming else events
+def stream_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
+    """Events per project in sessions that end after a quiet ``gap``, each once the watermark has passed its end."""
+    e = events.withWatermark("time", late)
     g = e.groupBy(F.session_window("time", gap).alias("w"), "project_id").agg(F.count(F.lit(1)).alias("events"))
     return g.select("project_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
 
+def sessions(events: DataFrame, gap: str = "30 minutes", rows_per_block: int = ordered.ROWS_PER_BLOCK) -> DataFrame:
+    """The same over a table, from summaries that merge: no task holds a project.
+
+    Events of a project within one slice of time as wide as ``gap`` are one session whatever lies between them, so a
+    slice is summed up before any shuffle as its first and last time and its events. Neighbouring summaries are one
+    session when no more than ``gap`` lies between them, as in ``session_window``; they are looked at in order, large projects in blocks.
+    """
+    kind = dict(events.dtypes)["time"]
+    width = F.unix_micros(F.lit("1970-01-01 00:00:00Z").cast("timestamp") + F.expr(f"INTERVAL {gap}"))
+    at = F.unix_micros(F.col("time").cast("timestamp"))
+    slices = events.groupBy("project_id", F.floor(at / width).alias("_slice")).agg(
+        F.min(at).alias("_first"), F.max(at).alias("_last"), F.count(F.lit(1)).alias("events")
+    )
+    slices, order = arrange(slices, ("project_id",), ("_slice",), rows_per_block=rows_per_block)
+    slices = running(slices, order, _before=ordered.previous(F.col("_last")))
+    parted = F.when(F.col("_first") - F.col("_before") <= width, 0).otherwise(1)
+    slices = running(slices.withColumn("_parted", parted), order, _session=ordered.total(F.col("_parted")))
+    time = lambda c: F.timestamp_micros(c).cast(kind)
+    g = slices.groupBy("project_id", "_session").agg(
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("events").alias("events")
+    )
+    return g.select(
+        "project_id", time(F.col("_first")).alias("session_start"), time(F.col("_last") + width).alias("session_end"), "events"
+    )
+
+
 def drop_repeats(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Each ``event_id`` once; on a stream, within the watermark."""
     if events.isStreaming:
@@ -83,38 +112,93 @@ def append_stream(rows: DataFrame, folder: str) -> None:
     q.awaitTermination()
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, as keyed state with timers asks for."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 PAIR_SCHEMA = "project_id long, cmd string, started_seq long, ended_seq long, failed boolean"
-PAIR_STATE = "started_seq long"
 
 
-def pair_runs_stream(records: DataFrame) -> DataFrame:
-    """Pair ``start`` and ``end`` records per (project, cmd) on a stream; the open start is the state.
+class RunPairing(StatefulProcessor):
+    """Pairs one key's start and end records in the order of their times, however the batches bring them.
 
-    Records of a key arrive in order across batches; a start that meets another start is unfinished.
+    Records wait under their time until the watermark has passed it; a timer then hands them on in order. The open run
+    is one value. A run ends with the next record of its key: by an end record it is finished, by another start, or
+    when ``timeout_ms`` has passed without any, it stays unfinished (-1). An end without an open run is dropped.
     """
 
-    def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_seq = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for seq, kind, rc in zip(rows["seq"], rows["kind"], rows["rc"]):
-            if kind == "start":
-                if open_seq is not None:
-                    out.append((*key, open_seq, -1, False))
-                open_seq = int(seq)
-            elif open_seq is not None:
-                out.append((*key, open_seq, int(seq), rc != 0))
-                open_seq = None
-        if open_seq is None:
-            if state.exists:
-                state.remove()
+    def __init__(self, timeout_ms: int):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long", "seqs array<long>, starts array<boolean>, rcs array<long>")
+        self.open = handle.getValueState("open", "seq long, until long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        for row in rows:
+            at = int(row["at_ms"])
+            same = [list(x) for x in self.waiting.getValue((at,))] if self.waiting.containsKey((at,)) else [[], [], []]
+            if not same[0]:
+                self.handle.registerTimer(at)
+            for values, value in zip(same, (row["seq"], row["kind"] == "start", row["rc"]), strict=True):
+                values.append(value)
+            self.waiting.updateValue((at,), tuple(same))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        run = tuple(self.open.get()) if self.open.exists() else None
+        before = run
+        if run is not None and run[1] < at:  # its own timer was set too late to come first
+            yield self._closed(key, run[0], -1, False)
+            run = None
+        if self.waiting.containsKey((at,)):
+            records = sorted(zip(*self.waiting.getValue((at,)), strict=True), key=lambda r: r[0])
+            self.waiting.removeKey((at,))
+            for seq, start, rc in records:
+                if run is not None:
+                    yield self._closed(key, run[0], -1 if start else seq, not start and rc != 0)
+                    run = None
+                if start:
+                    run = (seq, at + self.timeout_ms)
+        if run is not None and run[1] <= at:
+            yield self._closed(key, run[0], -1, False)
+            run = None
+        if run == before:
+            return
+        if run is None:
+            self.open.clear()
         else:
-            state.update((open_seq,))
-        yield pd.DataFrame(out, columns=["project_id", "cmd", "started_seq", "ended_seq", "failed"])
+            self.handle.registerTimer(run[1])
+            self.open.update(run)
 
-    return records.groupBy("project_id", "cmd").applyInPandasWithState(
-        pair, PAIR_SCHEMA, PAIR_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    @staticmethod
+    def _closed(key, started: int, ended: int, failed: bool) -> Row:
+        return Row(project_id=key[0], cmd=key[1], started_seq=started, ended_seq=ended, failed=failed)
+
+    def close(self) -> None:
+        pass
+
+
+def pair_runs_stream(records: DataFrame, timeout: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Pair ``start`` and ``end`` records per (project, cmd) on a stream; see ``RunPairing``.
+
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``). A run is returned once the
+    watermark, ``late`` behind the newest record of all keys, has passed its end or its timeout.
+    """
+    timeout_ms = records.sparkSession.sql(f"SELECT unix_millis(timestamp'1970-01-01 00:00:00Z' + INTERVAL {timeout})").first()[0]
+    keyed = records.withColumn("time", F.date_trunc("millisecond", "time")).withWatermark("time", late)
+    keyed = keyed.withColumn("at_ms", F.unix_millis("time")).groupBy("project_id", "cmd")
+    return keyed.transformWithState(RunPairing(timeout_ms), PAIR_SCHEMA, "append", "EventTime")
 
 
 def retained(rows: DataFrame, as_of: datetime, hours: int = 24) -> DataFrame:

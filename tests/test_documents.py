@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from compare import compare, connect
-from cuelake.operators.ordered import arrange
-from cuelake.operators.runlog import pair_runs
-from cuelake.plans.document_jobs import _event_files, _run_log
+from cuelake.plans.document_jobs import _event_files, _real
 from cuelake.sources import documents as docs
 from cuelake.sources import fixtures as fx
 from cuelake.streaming import events as st
@@ -68,23 +66,8 @@ def test_event_lines_have_sorted_keys(spark, tmp_path):
     assert lines == ['{"actor":"a","event":"E","event_id":"1","project_id":"p"}'] * 2
 
 
-def test_streamed_run_pairs_equal_batch(spark, tmp_path):
-    log = _run_log(spark, SF)
-    log.repartitionByRange(3, "seq").sortWithinPartitions("seq").write.json(str(tmp_path / "log"))
-    schema = "project_id long, cmd string, seq long, time timestamp, kind string, rc long"
-    stream = st.read_stream(spark, str(tmp_path / "log"), None, schema)
-    st.append_stream(st.pair_runs_stream(stream), str(tmp_path / "s"))
-    got = spark.read.parquet(str(tmp_path / "s" / "out"))
-    r, order = arrange(log, ("project_id", "cmd"), ("seq",))
-    batch = pair_runs(r, order)
-    pick = lambda d: {(x.project_id, x.cmd, x.started_seq, x.ended_seq, x.failed) for x in d.collect()}
-    still_open = {x for x in pick(batch) if x[3] == -1} - pick(got)
-    assert pick(batch) - still_open == pick(got)
-    assert len(still_open) <= batch.select("project_id", "cmd").distinct().count()  # open starts wait in the state
-
-
 def test_sliding_activity_stream_equals_batch(spark, tmp_path):
-    events = st.read_stream(spark, _event_files(spark, SF))
+    events = _real(st.read_stream(spark, _event_files(spark, SF)))
     st.run_updates(st.activity(events, "2 hours", "1 hour", late="400 days"), str(tmp_path))
     got = st.newest(spark, str(tmp_path), ["window_start", "kind"])
     want = st.activity(fx.event_rows(spark, SF).withColumn("time", F.col("time").cast("timestamp")), "2 hours", "1 hour")
