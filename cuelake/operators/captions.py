@@ -45,17 +45,27 @@ def render(
     return out
 
 
-def parse_blocks(files: DataFrame) -> DataFrame:
-    """SRT or WebVTT text back to rows ``(cue_no, start_ms, end_ms, text)``."""
-    blocks = files.withColumn("_block", F.explode(F.split("text", r"\n\n(?=\d|$)")))
-    blocks = blocks.filter(F.col("_block").contains("-->"))
-    timing = r"(\S+) --> (\S+)"
-    return blocks.select(
-        *[c for c in files.columns if c != "text"],
-        F.regexp_extract("_block", r"^(\d+)\n", 1).try_cast("long").alias("cue_no"),
-        clock_ms(F.regexp_extract("_block", timing, 1)).alias("start_ms"),
-        clock_ms(F.regexp_extract("_block", timing, 2)).alias("end_ms"),
-        F.replace(F.regexp_extract("_block", r"-->[^\n]*\n([\s\S]*)$", 1), F.lit("\n"), F.lit(" ")).alias("text"),
+def blocks(cues: DataFrame, fmt: str, text: str = "target_text") -> DataFrame:
+    """Caption rows ``(project_id, language, cue_id, block)``, each with the text that a file holds for it."""
+    return cues.select(*TRACK, "cue_id", _block(fmt, text, "lines" in cues.columns).alias("block"))
+
+
+def parse_blocks(rows: DataFrame) -> DataFrame:
+    """SRT or WebVTT blocks back to ``(cue_no, start_ms, end_ms, text)``, lines joined by blanks.
+
+    A block without a number has a null ``cue_no``; hours may be missing in a time.
+    """
+    block = F.regexp_replace("block", "^\ufeff|\r", "")
+    timing = r"(?:(\d+):)?(\d{2}:\d{2}[,.]\d{3})"
+    hour = lambda k: F.concat(F.coalesce(F.nullif(F.regexp_extract("_b", times, k), F.lit("")), F.lit("00")), F.lit(":"))
+    times = rf"{timing}[ \t]+-->[ \t]+{timing}"
+    body = F.regexp_extract("_b", r"-->[^\n]*\n([\s\S]*)$", 1)
+    return rows.withColumn("_b", block).select(
+        *[c for c in rows.columns if c != "block"],
+        F.regexp_extract("_b", r"^(\d+)[ \t]*\n", 1).try_cast("long").alias("cue_no"),
+        clock_ms(F.concat(hour(1), F.regexp_extract("_b", times, 2))).alias("start_ms"),
+        clock_ms(F.concat(hour(3), F.regexp_extract("_b", times, 4))).alias("end_ms"),
+        F.replace(F.regexp_replace(body, r"\n+$", ""), F.lit("\n"), F.lit(" ")).alias("text"),
     )
 
 
@@ -106,14 +116,3 @@ def reconcile_overrides(cues: DataFrame, overrides: DataFrame) -> DataFrame:
     return rows.withColumns({
         "overridden": chosen.isNotNull(), "target_text": F.coalesce(chosen, F.col("target_text"))
     }).drop("modified_translation")
-
-
-def write_caption_files(rendered: DataFrame, folder: str) -> None:
-    """One text file per (project, language, part)."""
-    rendered.write.mode("overwrite").partitionBy(*TRACK, "part").option("lineSep", "\n").text(folder)
-
-
-def read_caption_files(spark, folder: str) -> DataFrame:
-    """Caption files written by ``write_caption_files``, one row per file."""
-    files = spark.read.text(folder, wholetext=True)
-    return files.withColumnRenamed("value", "text").withColumn("project_id", F.col("project_id").cast("long"))

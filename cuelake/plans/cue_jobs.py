@@ -12,6 +12,7 @@ from cuelake.operators import captions, chapters, glossary, intervals, ordered,
 from cuelake.operators.ordered import Order, running, unblock
 from cuelake.plans.registry import job
 from cuelake.session import shared_dir
+from cuelake.sources import captionfiles
 from cuelake.sources import fixtures as fx
 
 TRACK = ("project_id", "language")
@@ -429,12 +430,20 @@ def wrapped_vtt(spark, sf):
 @job("srt_roundtrip", r"""
 SELECT project_id, language, cue_id + 1 AS cue_no, start_ms, end_ms, trim(regexp_replace(target_text, '\s+', ' ', 'g')) AS text FROM x1""")
 def srt_roundtrip(spark, sf):
-    folder = f"{shared_dir(spark)}/srt-{uuid.uuid4().hex}"
-    rendered = captions.render(fx.cues(spark, sf)[0], "srt")
-    captions.write_caption_files(rendered, folder)
-    return captions.parse_blocks(captions.read_caption_files(spark, folder)).select(
-        "project_id", "language", "cue_no", "start_ms", "end_ms", "text"
-    )
+    return _roundtrip(spark, sf, "srt").select("project_id", "language", "cue_no", "start_ms", "end_ms", "text")
+
+
+@job("vtt_roundtrip", r"""
+SELECT project_id, language, start_ms, end_ms, trim(regexp_replace(target_text, '\s+', ' ', 'g')) AS text FROM x1""")
+def vtt_roundtrip(spark, sf):
+    return _roundtrip(spark, sf, "vtt").select("project_id", "language", "start_ms", "end_ms", "text")
+
+
+def _roundtrip(spark, sf, fmt: str):
+    folder = f"{shared_dir(spark)}/{fmt}-{uuid.uuid4().hex}"
+    captionfiles.write_captions(captions.blocks(fx.cues(spark, sf)[0], fmt), folder, fmt)
+    rows = captions.parse_blocks(captionfiles.read_captions(spark, folder, fmt))
+    return rows.withColumn("project_id", F.col("project_id").cast("long"))
 
 
 # --- caption, glossary and translation checks -----------------------------------------------------
