@@ -12,7 +12,8 @@ TRACK = ("project_id", "language")
 CUES_PER_PART = 5_000
 
 
-def _block(fmt: str, text: str, has_lines: bool) -> Column:
+def block(fmt: str, text: str, has_lines: bool) -> Column:
+    """The text of a cue in a file; cue ids count from 0."""
     lines = wrap_lines(F.col(text), script_class(F.col("language")))
     if has_lines:
         lines = F.coalesce(F.col("lines"), lines)
@@ -33,7 +34,7 @@ def render(
     """
     c = cues.select(
         *TRACK, F.floor(F.col("cue_id") / cues_per_part).alias("part"), "cue_id",
-        _block(fmt, text, "lines" in cues.columns).alias("block"),
+        block(fmt, text, "lines" in cues.columns).alias("block"),
     )
     parts = F.sort_array(F.collect_list(F.struct("cue_id", "block")))
     out = c.groupBy(*TRACK, "part").agg(
@@ -47,7 +48,7 @@ def render(
 
 def blocks(cues: DataFrame, fmt: str, text: str = "target_text") -> DataFrame:
     """Caption rows ``(project_id, language, cue_id, block)``, each with the text that a file holds for it."""
-    return cues.select(*TRACK, "cue_id", _block(fmt, text, "lines" in cues.columns).alias("block"))
+    return cues.select(*TRACK, "cue_id", block(fmt, text, "lines" in cues.columns).alias("block"))
 
 
 def parse_blocks(rows: DataFrame) -> DataFrame:
@@ -55,12 +56,12 @@ def parse_blocks(rows: DataFrame) -> DataFrame:
 
     A block without a number has a null ``cue_no``; hours may be missing in a time.
     """
-    block = F.regexp_replace("block", "^\ufeff|\r", "")
+    text = F.regexp_replace("block", "^\ufeff|\r", "")
     timing = r"(?:(\d+):)?(\d{2}:\d{2}[,.]\d{3})"
     hour = lambda k: F.concat(F.coalesce(F.nullif(F.regexp_extract("_b", times, k), F.lit("")), F.lit("00")), F.lit(":"))
     times = rf"{timing}[ \t]+-->[ \t]+{timing}"
     body = F.regexp_extract("_b", r"-->[^\n]*\n([\s\S]*)$", 1)
-    return rows.withColumn("_b", block).select(
+    return rows.withColumn("_b", text).select(
         *[c for c in rows.columns if c != "block"],
         F.regexp_extract("_b", r"^(\d+)[ \t]*\n", 1).try_cast("long").alias("cue_no"),
         clock_ms(F.concat(hour(1), F.regexp_extract("_b", times, 2))).alias("start_ms"),

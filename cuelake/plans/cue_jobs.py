@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as tx
-from cuelake.operators import captions, chapters, glossary, intervals, ordered, qa, split, timeline
+from cuelake.operators import captions, chapters, glossary, intervals, ordered, packaging, qa, split, timeline
 from cuelake.operators.ordered import Order, running, unblock
 from cuelake.plans.registry import job
 from cuelake.session import shared_dir
-from cuelake.sources import captionfiles
+from cuelake.sources import captionfiles, packages
 from cuelake.sources import fixtures as fx
 
 TRACK = ("project_id", "language")
@@ -720,3 +720,58 @@ SELECT project_id, language, CAST(0 AS BIGINT) AS part, string_agg(CASE WHEN s >
 def chapter_timecodes(spark, sf):
     rows, _, _ = _chapters(spark, sf)
     return chapters.description(rows.withColumn("start_ms", F.col("start_ms") * 100))
+
+
+# --- package files --------------------------------------------------------------------------------
+
+def _timing_sql(mark: str) -> str:
+    return f"{_clock_sql('start_ms', mark)} || ' --> ' || {_clock_sql('end_ms', mark)} || chr(10) || body || chr(10) || chr(10)"
+
+
+@job("package_files", LINES + f""",
+tracks AS (SELECT DISTINCT project_id, language, project_id % 3 AS mode, project_id % 5 <> 0 AS dub, CASE WHEN project_id % 4 = 0 THEN 'unreviewed' ELSE 'licensed' END AS rights FROM x1),
+units AS (SELECT *, CASE WHEN mode = 1 THEN k END AS clip_index FROM tracks, (SELECT unnest([0, 1]) AS k) WHERE mode = 1 OR k = 0),
+win AS (SELECT project_id, k, CAST(k * 40000 AS BIGINT) AS ws, CAST(k * 40000 + 30000 AS BIGINT) AS we, CASE WHEN mode = 2 THEN CAST(k * 30000 AS BIGINT) ELSE 0 END AS off, mode
+  FROM tracks, (SELECT unnest([0, 1]) AS k) WHERE mode > 0),
+cut AS (SELECT l.project_id, l.language, CASE WHEN w.mode = 1 THEN w.k END AS clip_index, w.k, cue_id, GREATEST(start_ms, ws) - ws + off AS start_ms, LEAST(end_ms, we) - ws + off AS end_ms, body
+  FROM l JOIN win w ON w.project_id = l.project_id AND start_ms < we AND end_ms > ws),
+c AS (SELECT project_id, language, NULL AS clip_index, cue_id AS n, start_ms, end_ms, body FROM l WHERE project_id % 3 = 0
+  UNION ALL SELECT project_id, language, clip_index, ROW_NUMBER() OVER (PARTITION BY project_id, language, clip_index ORDER BY k, cue_id) - 1, start_ms, end_ms, body FROM cut),
+f AS (SELECT project_id, language, clip_index, 'captions-srt' AS kind, string_agg(CAST(n + 1 AS VARCHAR) || chr(10) || {_timing_sql(',')}, '' ORDER BY n) AS t FROM c GROUP BY ALL
+  UNION ALL SELECT project_id, language, clip_index, 'captions-vtt', string_agg({_timing_sql('.')}, '' ORDER BY n) FROM c GROUP BY ALL),
+files AS (SELECT u.project_id, u.language, u.clip_index, k.kind, CASE WHEN k.kind = 'captions-vtt' THEN 'WEBVTT' || chr(10) || chr(10) ELSE '' END || COALESCE(f.t, '') AS t
+  FROM units u CROSS JOIN (SELECT unnest(['captions-srt', 'captions-vtt']) AS kind) k
+  LEFT JOIN f ON f.project_id = u.project_id AND f.language = u.language AND f.clip_index IS NOT DISTINCT FROM u.clip_index AND f.kind = k.kind
+  UNION ALL SELECT project_id, language, NULL, 'readme', '# ' || project_id || chr(10) || chr(10) || 'Language: ' || language || chr(10) || 'Dubbed: ' || CASE WHEN dub THEN 'yes' ELSE 'no' END ||
+    chr(10) || 'Rights: ' || rights || chr(10) || CASE WHEN rights = 'licensed' THEN '' ELSE chr(10) || '**NOT CLEARED FOR DISTRIBUTION**' || chr(10) END FROM tracks)
+SELECT project_id, language, CAST(clip_index AS INTEGER) AS clip_index, kind, octet_length(encode(t))::BIGINT AS bytes, sha256(t) AS sha256 FROM files
+UNION ALL SELECT project_id, language, clip_index, CASE mode WHEN 0 THEN 'dubbed-video' WHEN 1 THEN 'clip-video' ELSE 'joined-video' END, NULL,
+  'sha256:' || sha256(concat(project_id, '/', language, '/', COALESCE(clip_index, -1))) FROM units WHERE dub""")
+def package_files(spark, sf):
+    """Whole videos, single clips and joined clips by project, with two windows of half a minute where clips are asked for."""
+    c, order = fx.cues(spark, sf)
+    c = c.select(*TRACK, "cue_id", "start_ms", "end_ms", "target_text", *order.block)
+    mode, clip = F.col("project_id") % 3, F.col("clip")
+    tracks = c.select(*TRACK).distinct().withColumns({"mode": mode, "clip": F.explode(F.array(F.lit(0), F.lit(1)))})
+    own = F.when(F.col("mode") == 1, F.col("clip"))
+    units = tracks.filter((F.col("mode") == 1) | (clip == 0)).withColumn("clip_index", own)
+    name = F.concat_ws("/", F.col("project_id").cast("string"), "language", F.coalesce("clip_index", F.lit(-1)).cast("string"))
+    units = units.select(
+        *TRACK, "clip_index", (F.col("mode") == 2).alias("joined"), (F.col("project_id") % 5 != 0).alias("dub_enabled"),
+        F.concat(F.lit("sha256:"), F.sha2(name, 256)).alias("media_sha256"),
+    )
+    windows = tracks.filter("mode > 0").select(
+        *TRACK, "clip", own.alias("clip_index"), (clip * 40_000).cast("long").alias("win_start_ms"), (clip * 40_000 + 30_000).cast("long").alias("win_end_ms"),
+        F.when(F.col("mode") == 2, clip * 30_000).otherwise(0).cast("long").alias("offset_ms"),
+    )
+    cut = intervals.clip_overlaps(c, windows, list(TRACK)).withColumn("_unit", F.coalesce("clip_index", F.lit(-1)))
+    numbered = ordered.running(cut, Order((*TRACK, "_unit"), ("clip", "cue_id"), order.block), n=ordered.position())
+    clips = numbered.select(
+        *TRACK, "clip_index", (F.col("n") - 1).alias("cue_id"), F.col("clip_start_ms").alias("start_ms"), F.col("clip_end_ms").alias("end_ms"), "target_text"
+    )
+    whole = c.filter(mode == 0).select(*TRACK, F.lit(None).cast("int").alias("clip_index"), "cue_id", "start_ms", "end_ms", "target_text")
+    rights = c.select("project_id").distinct().withColumn("rights_status", F.when(F.col("project_id") % 4 == 0, "unreviewed").otherwise("licensed"))
+    folder = f"{shared_dir(spark)}/packages-{uuid.uuid4().hex}"
+    packages.write_packages(packaging.package_pieces(units, whole.unionByName(clips), rights), folder)
+    rows = packages.read_manifest(spark, folder)
+    return rows.select(F.col("project_id").cast("long").alias("project_id"), "language", "clip_index", "kind", "bytes", "sha256")
