@@ -56,9 +56,20 @@ def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """(row, doc): each row as a struct next to its number.
+    """(row, doc): each row as a struct next to its number, written once into the shared folder.
 
-    Rows are numbered as they lie in the table's files, so each reading of the same files gives the same numbers;
-    what an operator finds about ``row`` can so be brought back to the whole row, whatever its columns are called.
+    Numbers follow the splits of a reading, and splits change when executors come and go; so what an operator finds
+    about ``row`` is brought back to this copy and to no second reading of ``docs``.
     """
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    return kept(rows, "numbered-documents")
+
+
+def numbered_texts(docs: DataFrame, text: Column) -> DataFrame:
+    """(row, doc_id, text): each row's id and a form of its text next to its number, written once like ``numbered``."""
+    return kept(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text")), "numbered-texts")
+
+
+def texts_of(rows: DataFrame, text: Column) -> DataFrame:
+    """(row, doc_id, text) of a numbered table; ``text`` may name columns of ``doc``."""
+    return rows.select("row", F.col("doc.doc_id").alias("doc_id"), text.alias("text"))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm.jobfolder import column_bytes, kept, new_folder, numbered, payload
+from cuelake.llm.jobfolder import column_bytes, kept, new_folder, numbered, numbered_texts, payload, texts_of
 
 HASH = ["hi", "lo"]
 LINES = "hi long, lo long, row long, line int"
@@ -74,11 +74,6 @@ def _line_batch(digests: list[bytes], owners: list[int], places: list[int]) -> p
     )
 
 
-def texts_of(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text as bytes): rows numbered as they lie in the table, the same in each reading."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", payload("text").alias("text"))
-
-
 def distinct_lines(texts: DataFrame, least_chars: int = 1) -> DataFrame:
     """(hi, lo, row, line): each text's keys once, at their first line."""
     return texts.select("row", "text").mapInArrow(_lines(least_chars), LINES)
@@ -183,9 +178,8 @@ def common_keys(texts: DataFrame, min_docs: int, least_chars: int, batches: int,
     return kept(store.settled(), "common-lines")
 
 
-def _drops(docs: DataFrame, min_docs: int, least_chars: int, batches: int, fan_in: int) -> DataFrame:
-    """(row, drop): first lines of the keys that go, for texts that hold some."""
-    rows = texts_of(docs)
+def _drops(rows: DataFrame, min_docs: int, least_chars: int, batches: int, fan_in: int) -> DataFrame:
+    """(row, drop): first lines of the keys that go, for those of the numbered texts that hold some."""
     common = common_keys(rows, min_docs, least_chars, batches, fan_in)
     hits = distinct_lines(rows, least_chars).join(common, HASH, "left_semi")
     return hits.groupBy("row").agg(F.collect_list("line").alias("drop"))
@@ -199,7 +193,8 @@ def line_report(
     batches: in how many turns the table enters the store. fan_in: runs on a level that are merged into one.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    met = texts_of(docs).join(_drops(docs, min_docs, least_chars, batches, fan_in), "row", "left")
+    texts = numbered_texts(docs, payload("text"))
+    met = texts.join(_drops(texts, min_docs, least_chars, batches, fan_in), "row", "left")
     return met.select("doc_id", "text", "drop").mapInArrow(
         _digest, f"doc_id {id_type}, n_lines long, n_dropped long, kept_sha256 string"
     )
@@ -212,7 +207,8 @@ def without_common_lines(
 
     A null text stays null.
     """
-    met = numbered(docs).join(_drops(docs, min_docs, least_chars, batches, fan_in), "row", "left")
+    rows = numbered(docs)
+    met = rows.join(_drops(texts_of(rows, payload("doc.text")), min_docs, least_chars, batches, fan_in), "row", "left")
     doc_type = met.schema["doc"].dataType.simpleString()
     out = met.select("doc", payload("doc.text").alias("text"), "drop").mapInArrow(_rewrite, f"doc {doc_type}, text binary")
     text = F.when(F.col("doc.text").isNotNull(), F.col("text").cast("string"))

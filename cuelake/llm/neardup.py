@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm import words
 from cuelake.llm.components import components
-from cuelake.llm.jobfolder import column_bytes, cut, kept, lowered, numbered
+from cuelake.llm.jobfolder import column_bytes, cut, kept, lowered, numbered, numbered_texts, texts_of
 from cuelake.llm.tiling import windows
 
 SHINGLE = 5
@@ -399,8 +399,11 @@ def classes(docs: DataFrame, least: float = 0.8, block_texts: int = BLOCK_TEXTS)
 
     least: similarity of a link. block_texts: texts that a task compares at once.
     """
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", lowered("text").alias("text"))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return _classes(numbered_texts(docs, lowered("text")), least, block_texts)
+
+
+def _classes(texts: DataFrame, least: float, block_texts: int) -> DataFrame:
+    id_type = texts.schema["doc_id"].dataType.simpleString()
     signed = kept(
         texts.mapInArrow(_sign, f"row long, doc_id {id_type}, hi long, lo long, bands array<long>"), "signatures"
     )
@@ -429,5 +432,7 @@ def classes(docs: DataFrame, least: float = 0.8, block_texts: int = BLOCK_TEXTS)
 
 def one_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stand for their class (least id, then first row), with all their columns."""
-    stay = kept(classes(docs, least).filter("first").select("row"), "class-rows")
-    return numbered(docs).join(stay, "row", "left_semi").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+    rows = numbered(docs)
+    found = _classes(texts_of(rows, lowered("doc.text")), least, BLOCK_TEXTS)
+    stay = kept(found.filter("first").select("row"), "class-rows")
+    return rows.join(stay, "row", "left_semi").select(*[F.col("doc")[c].alias(c) for c in docs.columns])

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm import words
 from cuelake.llm.fmindex import FMIndex
-from cuelake.llm.jobfolder import column_bytes, kept, numbered, payload
+from cuelake.llm.jobfolder import column_bytes, kept, numbered, numbered_texts, payload, texts_of
 
 #: Words of the runs whose least hash a window belongs to.
 GRAM = 8
@@ -294,7 +294,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeat_report(docs: DataFrame, window: int = 35) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 of the words that stay."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    texts = kept(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", payload("text").alias("text")), "numbered-texts")
+    texts = numbered_texts(docs, payload("text"))
     met = texts.join(repeated_spans(texts, window), "row", "left")
     return met.select("doc_id", "text", "spans").mapInArrow(
         _digest, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string"
@@ -306,8 +306,8 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
     Texts that lose nothing and null texts stay as they are; n_chars, where there is one, follows the text.
     """
-    rows = kept(numbered(docs), "numbered-documents")
-    spans = repeated_spans(rows.select("row", payload("doc.text").alias("text")), window)
+    rows = numbered(docs)
+    spans = repeated_spans(texts_of(rows, payload("doc.text")), window)
     met = rows.join(spans, "row", "left")
     out = met.filter(F.col("spans").isNotNull()).select("doc", payload("doc.text").alias("text"), "spans").mapInArrow(
         _rewrite, f"doc {met.schema['doc'].dataType.simpleString()}, text binary"

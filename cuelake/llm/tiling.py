@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.llm import words
-from cuelake.llm.jobfolder import column_bytes, kept, lowered, numbered
+from cuelake.llm.jobfolder import column_bytes, kept, lowered, numbered, numbered_texts, texts_of
 
 #: Bits of the seed table, two of them set a seed: 8 MB whatever the benchmark's size.
 FILTER_BITS = 26
@@ -184,17 +184,21 @@ def _judge(least: int, coverage: float):
 def leaks(docs: DataFrame, items: DataFrame, seed_words: int = 4, coverage: float = 0.6) -> DataFrame:
     """(row, doc_id, item_id, coverage, tiles) of the pairs whose tiles cover ``coverage`` of the item.
 
-    docs: doc_id, text. items: item_id, text. seed_words: least words of a tile. row: number of the document's row in its files.
+    docs: doc_id, text. items: item_id, text. seed_words: least words of a tile. row: number of the document's row.
     """
-    spark = docs.sparkSession
-    id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    return _leaks(numbered_texts(docs, lowered("text")), items, seed_words, coverage)
+
+
+def _leaks(texts: DataFrame, items: DataFrame, seed_words: int, coverage: float) -> DataFrame:
+    spark = texts.sparkSession
+    id_type, item_type = texts.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     tests = kept(items.select(
         F.monotonically_increasing_id().alias("item"), "item_id", lowered("text").alias("text")
     ), "benchmark")
     found = kept(seeds(tests, seed_words), "benchmark-seeds")
     shared = spark.sparkContext.broadcast(seed_table(found))
     touched = kept(
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", lowered("text").alias("text")).mapInArrow(
+        texts.mapInArrow(
             _touched(shared, seed_words), f"row long, doc_id {id_type}, tokens binary, seeds array<long>"
         ),
         "touched-documents",
@@ -220,5 +224,7 @@ def leaks(docs: DataFrame, items: DataFrame, seed_words: int = 4, coverage: floa
 
 def without_leaks(docs: DataFrame, items: DataFrame, seed_words: int = 4, coverage: float = 0.6) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    gone = kept(leaks(docs, items, seed_words, coverage).select("row").distinct(), "leaky-rows")
-    return numbered(docs).join(gone, "row", "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+    rows = numbered(docs)
+    found = _leaks(texts_of(rows, lowered("doc.text")), items, seed_words, coverage)
+    gone = kept(found.select("row").distinct(), "leaky-rows")
+    return rows.join(gone, "row", "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
