@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import refs
 from cuelake.functions import text as tx
 from cuelake.functions.timecode import parse_timecode
-from cuelake.operators import catalog, intervals, languages
+from cuelake.operators import catalog, config, intervals, languages
 from cuelake.operators.ordered import arrange
 from cuelake.plans.gate_jobs import GATE_SQL, actions
 from cuelake.plans.registry import job
@@ -268,3 +268,42 @@ def selection_hash(spark, sf):
         "start_ms": parse_timecode(F.col("start")), "end_ms": parse_timecode(F.col("end"))
     })
     return intervals.selection_hash(s, F.col("project_id") % 2 == 0)
+
+
+OVERRIDES = [
+    '{"playback.speed": {"en": %s, "fr": {"max": 3}}}', '{"langs": ["fa", {"code": "%s"}], "region": {}}', '{"sourceLang": {"code": "x%s"}}',
+    '{"region": "none", "notes": {"a": {"b": "c%s"}}}', '{"asr": {}, "langs": {}, "n": %s}',
+]
+CONFIG_LAYERS = [
+    '{"sourceLang": "fa", "region": {"name": "%s", "at": {"key": 1, "keys": [1, 2]}}, "playback.speed": {"en": 1, "fr": {"min": 1, "max": 2}}, "langs": ["en", "ar"], "notes": {}}',
+    '{"region": {"at": {"key": "%s"}}, "asr": {"provider": "local"}}',
+]
+_SPLIT = [o.split("%s") for o in (*OVERRIDES, *CONFIG_LAYERS)]
+
+
+@job("merged_config", f"""
++WITH p AS (SELECT n_nationkey AS profile, json_merge_patch('{_SPLIT[5][0]}' || n_name || '{_SPLIT[5][1]}',
+    CASE WHEN n_nationkey % 2 = 0 THEN '{_SPLIT[6][0]}' || n_name || '{_SPLIT[6][1]}' ELSE '{{}}' END) AS config FROM nation),
+m AS (SELECT c_custkey AS video_id, json_merge_patch(json_merge_patch(config, CASE c_custkey % 6 {" ".join(
+    f"WHEN {k} THEN '{a}' || c_custkey || '{b}'" for k, (a, b) in enumerate(_SPLIT[:5]))} ELSE '{{}}' END),
+  '{{"id": "c' || c_custkey || '"' || CASE WHEN c_custkey % 2 = 0 THEN ', "url": "https://v/' || c_custkey || '"' ELSE '' END || '}}') AS j
+  FROM customer JOIN p ON profile = c_nationkey)
+SELECT video_id, t.fullkey AS path, t.value::VARCHAR AS value FROM m, json_tree(j) t
+WHERE NOT contains(t.fullkey, '[') AND (t.type <> 'OBJECT' OR t.value::VARCHAR = '{{}}')""")
+def merged_config(spark, sf):
+    """Two layers of defaults per nation under each customer's own settings, all read as JSON."""
+    k = F.col("c_custkey").cast("string")
+    own = F.lit(None).cast("string")
+    for n, (a, b) in enumerate(_SPLIT[:5]):
+        own = F.when(F.col("c_custkey") % 6 == n, F.concat(F.lit(f', "overrides": {a}'), k, F.lit(b))).otherwise(own)
+    url = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('"https://v/'), k, F.lit('"'))).otherwise('""')
+    entry = F.concat(F.lit('{"id": "c'), k, F.lit('", "url": '), url, F.coalesce(own, F.lit("")), F.lit("}"))
+    entries = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("video_id"), F.col("c_nationkey").alias("profile"), entry.alias("entry"))
+    nation = fx.table(spark, sf, "nation")
+    layers = [
+        nation.filter((F.col("n_nationkey") % 2 == 0) | F.lit(n == 0)).select(
+            F.col("n_nationkey").alias("profile"), F.lit(n).alias("layer"), F.concat(F.lit(a), "n_name", F.lit(b)).alias("config")
+        ) for n, (a, b) in enumerate(_SPLIT[5:])
+    ]
+    out = config.effective(entries, layers[0].unionByName(layers[1]))
+    return out.select("video_id", config.json_path("path").alias("path"), "value")
