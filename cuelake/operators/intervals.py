@@ -14,9 +14,25 @@ BUCKET_MS = 60_000
 SNAP_RADIUS_MS = 2000
 
 
-def _buckets(start: Column, end: Column, width: int) -> Column:
-    first = F.floor(start / width)
-    return F.explode(F.sequence(first, F.greatest(first, F.floor((end - 1) / width))))
+def _level(start: Column, end: Column, width: int) -> Column:
+    """Level of an interval: the lowest whose cells, ``width`` times a power of four, hold it in three or fewer."""
+    length = F.greatest(end - start, F.lit(1))
+    return F.greatest(F.ceil(F.log(4.0, length / (2.0 * width))), F.lit(0)).cast("int")
+
+
+def _size(level: Column, width: int) -> Column:
+    return (F.pow(F.lit(4.0), level) * width).cast("long")
+
+
+def _cells(start: Column, end: Column, level: Column, levels: list[int], width: int) -> Column:
+    """(level, cell) on the interval's own level and on those above it that are in use."""
+    def on(at: Column) -> Column:
+        first = F.floor(start / _size(at, width))
+        last = F.greatest(first, F.floor((end - 1) / _size(at, width)))
+        return F.transform(F.sequence(first, last), lambda cell: F.struct(at.alias("level"), cell.alias("cell")))
+
+    used = F.filter(F.array(*[F.lit(n) for n in levels]), lambda at: at >= level)
+    return F.flatten(F.transform(used, on))
 
 
 def overlap_join(
@@ -24,16 +40,24 @@ def overlap_join(
 ) -> DataFrame:
     """Cues that overlap windows ``[win_start_ms, win_end_ms)`` of the same keys, each pair once.
 
-    Both sides are spread over time buckets, so the join is an equi-join on (keys, bucket) and one
-    long track becomes many join keys.
+    Time is cut into cells on levels, four cells of one making one of the next. An interval, however long, lies in at
+    most three cells of its own level, and two intervals meet on the higher of their levels: an equi-join on
+    (keys, level, cell). One long track becomes many join keys, and an endless window a few rows.
     """
-    c = cues.withColumn("_b", _buckets(F.col("start_ms"), F.col("end_ms"), bucket_ms))
-    w = windows.withColumn("_b", _buckets(F.col("win_start_ms"), F.col("win_end_ms"), bucket_ms))
-    both = c.join(w, [*keys, "_b"]).filter(
+    c = cues.withColumn("_own", _level(F.col("start_ms"), F.col("end_ms"), bucket_ms))
+    w = windows.withColumn("_win_own", _level(F.col("win_start_ms"), F.col("win_end_ms"), bucket_ms))
+    used = c.select("_own").distinct().unionByName(w.select(F.col("_win_own").alias("_own")).distinct()).distinct().collect()
+    levels = sorted(r["_own"] for r in used if r["_own"] is not None)  # one for each power of four that lengths reach
+    if not levels:
+        levels = [0]
+    at = F.explode(_cells(F.col("start_ms"), F.col("end_ms"), F.col("_own"), levels, bucket_ms))
+    c = c.withColumn("_at", at)
+    w = w.withColumn("_at", F.explode(_cells(F.col("win_start_ms"), F.col("win_end_ms"), F.col("_win_own"), levels, bucket_ms)))
+    both = c.join(w, [*keys, "_at"]).filter(
         (F.col("start_ms") < F.col("win_end_ms")) & (F.col("end_ms") > F.col("win_start_ms"))
     )
-    once = F.floor(F.greatest("start_ms", "win_start_ms") / bucket_ms) == F.col("_b")
-    return both.filter(once).drop("_b")
+    met = F.floor(F.greatest("start_ms", "win_start_ms") / _size(F.col("_at.level"), bucket_ms)) == F.col("_at.cell")
+    return both.filter(met & (F.col("_at.level") == F.greatest("_own", "_win_own"))).drop("_at", "_own", "_win_own")
 
 
 def clip_overlaps(cues: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from cuelake.operators import captions, chapters, glossary, intervals, ordered,
 from cuelake.operators.ordered import Order, running, unblock
 from cuelake.plans.registry import job
 from cuelake.session import shared_dir
-from cuelake.sources import captionfiles, packages
+from cuelake.sources import captionfiles, documents, packages
 from cuelake.sources import fixtures as fx
 
 TRACK = ("project_id", "language")
@@ -669,6 +669,28 @@ def clip_captions(spark, sf):
     return intervals.clip_captions(c, order, windows).select(*CLIP_COLS)
 
 
+@job("clip_transcripts", RESOLVED + ", win AS (SELECT project_id, idx AS clip, id, start_ms AS ws, end_ms AS we FROM res WHERE status = 'ok')" + """
+SELECT x1.project_id, clip AS segment_index, win.id AS segment_id, ws AS source_start_ms, we AS source_end_ms, (we - ws) / 1000.0::DOUBLE AS duration_seconds,
+  ROW_NUMBER() OVER (PARTITION BY x1.project_id, clip ORDER BY cue_id) - 1 AS id, GREATEST(start_ms, ws) - ws AS start_ms, LEAST(end_ms, we) - ws AS end_ms, source_text AS text
+FROM x1 JOIN win ON win.project_id = x1.project_id AND start_ms < we AND end_ms > ws""")
+def clip_transcripts(spark, sf):
+    """Transcripts of the clips as documents, written and read back: cues in clip time, and where the clip comes from."""
+    segs, c, order = _segments(spark, sf)
+    windows = intervals.seam_offsets(_clip_windows(segs), None)
+    named = windows.join(segs.select("project_id", F.col("idx").alias("clip"), F.col("id").alias("segment_id")), ["project_id", "clip"])
+    cues = intervals.clip_captions(c.select("project_id", "cue_id", "start_ms", "end_ms", "source_text", *order.block), order, named)
+    folder = f"{shared_dir(spark)}/clip-transcripts-{uuid.uuid4().hex}"
+    keys = ["project_id", "clip", "segment_id", "win_start_ms", "win_end_ms"]
+    items = {"id": F.col("clip_cue_id"), "start_ms": F.col("clip_start_ms"), "end_ms": F.col("clip_end_ms"), "text": F.col("source_text")}
+    documents.write_cue_documents(cues, folder, keys, items, header={
+        "segment": F.struct(
+            F.col("clip").alias("index"), F.col("segment_id").alias("id"),
+            F.col("win_start_ms").alias("source_start_ms"), F.col("win_end_ms").alias("source_end_ms")),
+        "duration_seconds": (F.col("win_end_ms") - F.col("win_start_ms")) / 1000.0,
+    })
+    return documents.read_clip_transcripts(spark, folder)
+
+
 @job("joined_seams", RESOLVED + """, win AS (SELECT project_id, idx AS clip, start_ms AS ws, end_ms AS we,
   CAST(COALESCE(SUM(end_ms - start_ms) OVER (PARTITION BY project_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off
   FROM res WHERE status = 'ok')""" + CLIP)
