@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cuelake.operators import ledger, packaging, qa, runs
+from cuelake.operators import ledger, ordered, packaging, qa, replay, runs
 from cuelake.operators import provenance as pv
 from cuelake.plans.registry import job
 from cuelake.sources import fixtures as fx
@@ -215,6 +215,29 @@ def transition_audit(spark, sf):
     return pv.transition_problems(e, order).fillna("", ["from_state"])
 
 
+# every state once, in the order of a project's life; events ask for the next one, some for one that is far off
+LIFE = list(dict.fromkeys([*fx.STATES, *(s for e in pv.DISTRIBUTION_EDGES for s in e)]))
+LIFE_SQL = "[" + ", ".join(f"'{s}'" for s in LIFE) + "]"
+ALLOWED_SQL = ", ".join(f"('{a}', '{b}')" for a, b in sorted(pv.ALLOWED))
+
+
+@job("transition_replay", f"""
++RECURSIVE +WITH r AS (SELECT project_id, seq, ROW_NUMBER() OVER (PARTITION BY project_id ORDER BY seq) AS n FROM x4),
+w AS (SELECT project_id, seq, n, ({LIFE_SQL})[CASE WHEN seq % 9 = 0 THEN seq * 7 % 23 ELSE n % 31 END + 1] AS to_state FROM r),
+ok(a, b) AS (VALUES {ALLOWED_SQL}),
+walk AS (SELECT project_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS to_state, CAST(NULL AS VARCHAR) AS met, 'INGEST' AS now, false AS accepted
+    FROM w GROUP BY project_id
+  UNION ALL SELECT w.project_id, w.n, w.seq, w.to_state, k.now, CASE WHEN ok.a IS NULL THEN k.now ELSE w.to_state END, ok.a IS NOT NULL
+  FROM walk k JOIN w ON w.project_id = k.project_id AND w.n = k.n + 1 LEFT JOIN ok ON ok.a = k.now AND ok.b = w.to_state)
+SELECT project_id, seq, to_state, met, accepted FROM walk WHERE n > 0""")
+def transition_replay(spark, sf):
+    e, order = fx.event_log(spark, sf)
+    e = ordered.running(e.select("project_id", "seq", *order.block), order, n=ordered.position())
+    place = F.when(F.col("seq") % 9 == 0, F.col("seq") * 7 % 23).otherwise(F.col("n") % 31)
+    e = e.withColumn("to_state", F.get(F.array(*[F.lit(s) for s in LIFE]), place.cast("int")))
+    return replay.replay(e, order, pv.ALLOWED, "INGEST")
+
+
 @job("event_tail", """
 SELECT project_id, seq, time, actor, to_state FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY project_id ORDER BY seq DESC) AS rn FROM x4) WHERE rn <= 5""")
 def event_tail(spark, sf):

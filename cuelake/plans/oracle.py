@@ -4,12 +4,7 @@ from __future__ import annotations
 
 import re
 
-STATES = (
-    "INGEST LANGUAGE_ID TRANSCRIPTION TRANSCRIPT_QA_GATE SEGMENT_RESOLUTION TRANSLATION "
-    "TRANSLATION_QA_GATE CAPTION_TIMING CAPTION_VALIDATION DUBBING AUDIO_SYNC_ADJUST AUDIO_QA_GATE "
-    "VIDEO_MUX FINAL_QA_GATE PACKAGE READY_FOR_REVIEW"
-).split()
-CODES = ["en", "fa", "ar", "es", "ur", "ru", "zz"]
+from cuelake.sources.fixtures import CODES, STATES
 
 
 def _list(values: list[str]) -> str:

@@ -10,7 +10,10 @@ from cuelake.operators import ordered
 from cuelake.operators.ledger import FOLD_ROWS
 from cuelake.operators.ordered import Order, arrange, running
 
+# Language codes of the requests, one of them unknown
+CODES = ["en", "fa", "ar", "es", "ur", "ru", "zz"]
 CUE_KEYS = ("project_id", "language")
+# The states of a project's life, in their order
 STATES = [
     "INGEST", "LANGUAGE_ID", "TRANSCRIPTION", "TRANSCRIPT_QA_GATE", "SEGMENT_RESOLUTION",
     "TRANSLATION", "TRANSLATION_QA_GATE", "CAPTION_TIMING", "CAPTION_VALIDATION", "DUBBING",
@@ -261,7 +264,6 @@ def playlist_enumerations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
     return li.select("playlist_id", "video_id", "enumeration", "ordinal"), order
 
 
-CODES = ["en", "fa", "ar", "es", "ur", "ru", "zz"]
 
 
 def _codes_of(bits: Column) -> Column:
