@@ -797,3 +797,37 @@ def package_files(spark, sf):
     packages.write_packages(packaging.package_pieces(units, whole.unionByName(clips), rights), folder)
     rows = packages.read_manifest(spark, folder)
     return rows.select(F.col("project_id").cast("long").alias("project_id"), "language", "clip_index", "kind", "bytes", "sha256")
+
+
+# --- clip requests --------------------------------------------------------------------------------
+
+@job("clip_requests", """
++WITH src AS (SELECT project_id, MAX(end_ms) AS source_ms FROM x1 GROUP BY project_id),
+w AS (SELECT project_id, source_ms, k, 3000 + project_id % 5 * 700 + k * 10500 AS s, 3000 + project_id % 5 * 700 + CASE k WHEN 0 THEN 9000 ELSE 15500 END AS e, project_id % 4 = 2 AS snap
+  FROM src, (SELECT unnest([0, 1]) AS k) WHERE project_id % 4 >= 2),
+b AS (SELECT project_id, unnest([start_ms, end_ms]) AS t FROM x1),
+edge AS (SELECT project_id, k, 0 AS side, s AS t FROM w UNION ALL SELECT project_id, k, 1, e FROM w),
+near AS (SELECT edge.project_id, k, side, arg_min(b.t, abs(b.t - edge.t) * 100000000 + b.t) AS t FROM edge JOIN b ON b.project_id = edge.project_id AND abs(b.t - edge.t) <= 2000 GROUP BY ALL),
+r AS (SELECT w.project_id, source_ms, w.k AS idx, CASE w.k WHEN 0 THEN 'first' ELSE 'second' END AS id, CASE WHEN snap THEN COALESCE(a.t, s) ELSE s END AS start_ms, CASE WHEN snap THEN COALESCE(z.t, e) ELSE e END AS end_ms
+  FROM w LEFT JOIN near a ON a.project_id = w.project_id AND a.k = w.k AND a.side = 0 LEFT JOIN near z ON z.project_id = w.project_id AND z.k = w.k AND z.side = 1)
+SELECT project_id, CAST(idx AS BIGINT) AS idx, id, start_ms, end_ms, CASE WHEN end_ms <= start_ms THEN 'end-not-after-start' WHEN end_ms > source_ms THEN 'out-of-bounds' ELSE 'ok' END AS status FROM r
+UNION ALL SELECT project_id, 0, 'whole', 0, source_ms, 'ok' FROM src WHERE project_id % 4 = 0
+UNION ALL SELECT project_id, 0, NULL, NULL, NULL, 'empty-selection' FROM src WHERE project_id % 4 = 1""")
+def clip_requests(spark, sf):
+    """Requests for the whole video, for nothing, and for two windows with and without snapping to cues."""
+    c, _ = fx.cues(spark, sf)
+    source = c.groupBy("project_id").agg(F.max("end_ms").alias("source_ms"))
+    begin = 3000 + F.col("project_id") % 5 * 700
+    time = lambda ms: F.format_string("%d.%03d", F.floor(ms / 1000), ms % 1000)
+    window = lambda name, a, b: F.struct(
+        F.lit(name).alias("id"), time(begin + a).alias("start"), time(begin + b).alias("end"), F.lit(None).cast("boolean").alias("exact")
+    )
+    windows = F.array(window("first", 0, 9000), window("second", 10_500, 15_500))
+    kind = F.col("project_id") % 4
+    requests = source.select(
+        "project_id", F.when(kind >= 2, windows).when(kind == 1, F.slice(windows, 1, 0)).alias("segments"),
+        F.when(kind == 3, F.lit(False)).alias("snap_edges"),
+    )
+    rows, order = ordered.arrange(intervals.selection_rows(requests, source), ("project_id",), ("idx",))
+    out = intervals.resolve_segments(rows, order, c, source)
+    return out.select("project_id", "idx", "id", "start_ms", "end_ms", "status")
