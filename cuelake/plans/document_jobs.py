@@ -16,6 +16,7 @@ from cuelake.session import shared_dir
 from cuelake.sources import documents as docs
 from cuelake.sources import fixtures as fx
 from cuelake.streaming import events as st
+from cuelake.streaming.ingest import Ingest
 
 TRACK = ("project_id", "language")
 
@@ -259,6 +260,17 @@ def _event_files(spark, sf, repeated: bool = False) -> str:
     return _log_files(spark, e, e.dtypes)
 
 
+@job("stream_ingest", "SELECT seq AS event_id, project_id, to_state FROM x4")
+def stream_ingest(spark, sf):
+    """Every tenth event is delivered again after the whole log: no watermark would know it."""
+    log = _event_files(spark, sf)
+    e = fx.event_rows(spark, sf).select(F.col("seq").alias("event_id"), "project_id", "seq", "time", "actor", "to_state")
+    e.filter(F.col("event_id") % 10 == 0).coalesce(1).write.options(**MICROS).mode("append").json(log)
+    store = Ingest(_folder(spark, "ingest"))
+    store.run(_real(st.read_stream(spark, log)))
+    return store.rows(spark).select("event_id", "project_id", "to_state")
+
+
 def _real(rows):
     """Without the records that end a log."""
     return rows.filter(F.col("project_id") >= 0)
