@@ -7,32 +7,36 @@ keep the same one with the probability of their weighted Jaccard similarity. Dar
 only as far as a text needs for all its coordinates, so a long text costs little more than one look per shingle.
 
 Signatures are cut into bands; texts that share a band meet. Within a meeting not all pairs are made: each text is
-compared with the meeting's most connected text first. Where texts of different classes remain in a meeting after
-that, they are packed into blocks of a few hundred, blocks that share a meeting are compared as matrices, and only
-links that join two classes leave the task. Every comparison computes the exact similarity from the texts.
+compared with the meeting's most connected text first. Where texts of different classes remain in a meeting, each
+is compared with some text of the largest class there, in a few rounds. What still remains is packed into blocks of a
+few hundred, numbered by counts so that they are the same in any number of partitions; blocks that share a meeting
+and aren't of one class are compared as matrices, each pair once, read by path from the shared folder. Only links
+that join two classes leave a task. Every comparison computes the exact similarity from the texts.
 
 Words are runs of letters, digits and bytes beyond ASCII, in lower case. Defined cases: a text of fewer words
 than a shingle is one shingle; texts without words are alike if their bytes are, null being empty. Texts with equal
 words are one class without comparison. A row is a document, also where ids repeat. class_id is the least doc_id of
-the class, null ids aside. Other columns are ignored. The table should come from files, so that its rows have the
-same order in each reading.
+the class, null ids aside. Other columns are ignored. A very long text is signed whole and may be a block of its own. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.llm import words
 from cuelake.llm.components import components
-from cuelake.llm.jobfolder import column_bytes, cut, kept, lowered, numbered, numbered_texts, texts_of
+from cuelake.llm.jobfolder import column_bytes, cut, kept, lowered, new_folder, numbered, numbered_texts, texts_of
 from cuelake.llm.tiling import windows
 
 SHINGLE = 5
@@ -43,6 +47,10 @@ STRETCH = 16.0
 TOGETHER = 64
 #: Texts and shingles of a block, and columns of its matrix that are multiplied at once.
 BLOCK_TEXTS, BLOCK_SHINGLES, COLUMNS = 256, 1 << 19, 4096
+#: Rounds that compare texts with a text of the largest class they meet, before blocks do the rest.
+CLASS_ROUNDS = 2
+#: Texts that a task counts, pairs of blocks that it compares, and the blocks that it holds meanwhile.
+COUNTED, TASK_PAIRS, TILE = 500_000, 32, 8
 #: Bits of the table that tells which rows' texts are needed: 8 MB at any size.
 ROW_BITS = 26
 
@@ -152,7 +160,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([
                 rows.slice(first, len(group)), ids.slice(first, len(group)), pa.array(halves[:, 0]),
                 pa.array(halves[:, 1]), pa.array(bands, pa.list_(pa.int64())),
-            ], ["row", "doc_id", "hi", "lo", "bands"])
+                pa.array([int(s[1].sum()) for s in sets], pa.int64()),
+            ], ["row", "doc_id", "hi", "lo", "bands", "size"])
 
 
 def _row_bits(row: np.ndarray) -> np.ndarray:
@@ -243,33 +252,65 @@ def _unary(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     return out
 
 
-def _blocks(block_texts: int):
-    """Texts in the order they come, packed: (block, nodes, labels, sizes of the sets, their elements)."""
+def _running(block_texts: int):
+    """(part, node, upto): how many blocks the texts before this one of the same task fill."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, upto = TaskContext.get().partitionId(), 0.0
+        for batch in batches:
+            fill = np.maximum(1 / block_texts, batch.column(2).to_numpy() / BLOCK_SHINGLES)
+            after = upto + np.cumsum(fill)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(fill), part)), batch.column(0), batch.column(1), pa.array(after - fill), pa.array(after),
+            ], ["part", "node", "label", "upto", "after"])
+            upto = float(after[-1]) if len(after) else upto
+
+    return run
+
+
+def _blocks(folder: str):
+    """Texts that come sorted by block, one file a block: (block, path, least and greatest label)."""
 
     def out(block: int, held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        sizes = np.array([len(x[2]) for x in held], np.int64)
+        store, root = pafs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name = f"{block}-{uuid.uuid4().hex}"  # a task that runs again leaves a file that nobody lists
+        nodes, labels = [x[0] for x in held], [x[1] for x in held]
+        whole = pa.RecordBatch.from_arrays([
+            pa.array([nodes], pa.list_(pa.int64())), pa.array([labels], pa.list_(pa.int64())),
+            pa.array([[len(x[2]) for x in held]], pa.list_(pa.int64())), pa.array([np.concatenate([x[2] for x in held]).tobytes()]),
+        ], ["nodes", "labels", "sizes", "elements"])
+        with store.open_output_stream(f"{root}/{name}", compression=None) as sink, pa.ipc.new_stream(sink, whole.schema) as file:
+            file.write_batch(whole)
         return pa.RecordBatch.from_arrays([
-            pa.array([block]), pa.array([[x[0] for x in held]], pa.list_(pa.int64())),
-            pa.array([[x[1] for x in held]], pa.list_(pa.int64())), pa.array([sizes.tobytes()]),
-            pa.array([np.concatenate([x[2] for x in held]).tobytes()]),
-        ], ["block", "nodes", "labels", "sizes", "elements"])
+            pa.array([block]), pa.array([f"{folder}/{name}"]), pa.array([min(labels)]), pa.array([max(labels)]),
+        ], ["block", "path", "least", "greatest"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        block, held = None, []
         for batch in batches:
-            nodes, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for node, label, text in zip(nodes, labels, column_bytes(batch, "text"), strict=True):
-                held.append((node, label, _unary([_set_of(text)])[0]))
-                size += len(held[-1][2])
-                if len(held) == block_texts or size >= BLOCK_SHINGLES:
+            numbers, nodes, labels = (batch.column(k).to_pylist() for k in range(3))
+            for number, node, label, text in zip(numbers, nodes, labels, column_bytes(batch, "text"), strict=True):
+                if held and number != block:
                     yield out(block, held)
-                    block, held, size = block + 1, [], 0
+                    held = []
+                block = number
+                held.append((node, label, _unary([_set_of(text)])[0]))
         if held:
             yield out(block, held)
 
     return pack
 
 
+def _read_block(path: str) -> tuple[list[int], np.ndarray, list[np.ndarray], np.ndarray]:
+    store, place = pafs.FileSystem.from_uri(path)
+    with store.open_input_stream(place, compression=None) as source, pa.ipc.open_stream(source) as file:
+        row = file.read_next_batch().to_pylist()[0]
+    sizes = np.array(row["sizes"], np.int64)
+    elements = np.frombuffer(row["elements"], np.uint64)
+    return row["nodes"], np.array(row["labels"]), np.split(elements, np.cumsum(sizes)[:-1]), sizes
+
+
 def common_parts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """How many elements each set of ``a`` shares with each of ``b``.
 
@@ -312,61 +353,101 @@ def common_parts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _side(row: dict, side: str) -> tuple[list[int], np.ndarray, list[np.ndarray], np.ndarray]:
-    sizes = np.frombuffer(row[f"sizes{side}"], np.int64)
-    elements = np.frombuffer(row[f"elements{side}"], np.uint64)
-    return row[f"nodes{side}"], np.array(row[f"labels{side}"]), np.split(elements, np.cumsum(sizes)[:-1]), sizes
-
-
-def _join_blocks(least: float, side: str):
+def _join_blocks(least: float):
     """Links between texts of different classes of two blocks, as many as are needed to join the classes.
 
-    ``side``: suffix of the second block's columns, empty for a block with itself.
+    Pairs (path, path of the other) come sorted so that neighbouring ones share blocks.
     """
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+        held: dict[str, tuple] = {}
+
+        def top(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        def block(path: str) -> tuple:
+            held[path] = held.pop(path, None) or _read_block(path)
+            while len(held) > 2 * TILE:
+                del held[next(iter(held))]
+            return held[path]
+
         for batch in batches:
             found = []
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                nodes_a, labels_a, sets_a, sizes_a = _side(row, "")
-                nodes_b, labels_b, sets_b, sizes_b = _side(row, side)
-                both = common_parts(sets_a, sets_b)
-                alike = both >= least * (sizes_a[:, None] + sizes_b[None, :] - both) - 1e-9
-                parent: dict[int, int] = {}
-
-                def top(x: int, parent: dict[int, int] = parent) -> int:
-                    while parent.setdefault(x, x) != x:
-                        x = parent[x]
-                    return x
-
-                for i, j in zip(*np.nonzero(alike & (labels_a[:, None] != labels_b[None, :])), strict=True):
-                    x, y = top(int(labels_a[i])), top(int(labels_b[j]))
+            for here, there in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                (nodes_a, labels_a, sets_a, sizes_a), (nodes_b, labels_b, sets_b, sizes_b) = block(here), block(there)
+                tops = {int(x): top(int(x)) for x in np.union1d(labels_a, labels_b)}
+                if len(set(tops.values())) == 1:
+                    continue  # all of one class by now
+                class_a, class_b = (np.array([tops[int(x)] for x in labels]) for labels in (labels_a, labels_b))
+                # equal classes need no look: without those texts of a side whose class is the only one across
+                on_a = np.arange(len(class_a)) if len(set(class_b)) > 1 else np.flatnonzero(class_a != class_b[0])
+                on_b = np.arange(len(class_b)) if len(set(class_a)) > 1 else np.flatnonzero(class_b != class_a[0])
+                both = common_parts([sets_a[i] for i in on_a], [sets_b[j] for j in on_b])
+                alike = both >= least * (sizes_a[on_a, None] + sizes_b[None, on_b] - both) - 1e-9
+                for i, j in zip(*np.nonzero(alike & (class_a[on_a, None] != class_b[None, on_b])), strict=True):
+                    x, y = top(int(class_a[on_a[i]])), top(int(class_b[on_b[j]]))
                     if x != y:
                         parent[x] = y
-                        found.append((nodes_a[i], nodes_b[j]))
+                        found.append((nodes_a[on_a[i]], nodes_b[on_b[j]]))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return join
 
 
-def _across_classes(
-    met: DataFrame, pairs: DataFrame, labels: DataFrame, texts: DataFrame, least: float, block_texts: int
-) -> DataFrame:
-    """Links (a, b) that join classes whose texts share a band.
-
-    met: (key, node) of all meetings. pairs: each node with its hubs. labels: classes so far.
-    """
-    spark = met.sparkSession
+def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label) of the meetings where texts of different classes meet."""
     placed = kept(
         met.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")),
         "band-classes",
     )
-    mixed = cut(placed.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).filter("mixed").select("key"))
-    left = kept(placed.join(mixed, "key", "left_semi"), "mixed-bands")
+    mixed = placed.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).filter("mixed").select("key")
+    return kept(placed.join(mixed, "key", "left_semi"), "mixed-bands")
+
+
+def _with_largest(left: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): each text outside the largest class of a meeting with one of that class, for two meetings a text."""
+    of_class = left.groupBy("key", "label").agg(
+        F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("a")
+    )
+    largest = of_class.groupBy("key").agg(F.max(F.struct("n", "label", "a")).alias("top"))
+    pairs = left.join(largest, "key").filter(F.col("label") != F.col("top.label")).select(
+        F.col("top.a").alias("a"), F.col("node").alias("b")
+    )
+    chosen = [F.min_by("a", F.xxhash64("a", "b", F.lit(2 * turn + k))) for k in range(2)]
+    return pairs.groupBy("b").agg(F.array(*chosen).alias("a")).select(F.explode(F.array_distinct("a")).alias("a"), "b")
+
+
+def _numbered_blocks(nodes: DataFrame, count: int, block_texts: int) -> DataFrame:
+    """(block, node, label): texts in order, a block for every ``block_texts`` or BLOCK_SHINGLES of them."""
+    order = ["company", "label", "home", "node"]
+    dealt = nodes.select("node", "label", "size", "company", "home").repartitionByRange(-(-count // COUNTED), *order)
+    counted = kept(
+        dealt.sortWithinPartitions(*order).mapInArrow(
+            _running(block_texts), "part long, node long, label long, upto double, after double"
+        ),
+        "text-order",
+    )
+    # one number for each half a million texts
+    ends = sorted(tuple(r) for r in counted.groupBy("part").agg(F.max("after")).collect())
+    starts = list(zip((part for part, _ in ends), np.cumsum([0.0, *(fill for _, fill in ends[:-1])]).tolist(), strict=True))
+    start = nodes.sparkSession.createDataFrame(starts, "part long, start double")
+    return counted.join(F.broadcast(start), "part").select(
+        F.floor(F.col("start") + F.col("upto") + 1e-6).alias("block"), "node", "label"
+    )
+
+
+def _across_classes(left: DataFrame, pairs: DataFrame, sizes: DataFrame, texts: DataFrame, least: float, block_texts: int) -> DataFrame:
+    """Links (a, b) that join classes whose texts share a band.
+
+    left: (key, node, label) of the meetings of different classes. pairs: each node with its hubs. sizes: (node, size).
+    """
+    spark = left.sparkSession
     # who meets whom, however indirectly: texts of such a company become neighbours, so that few blocks share a band
-    company = components(pairs.join(mixed, "key", "left_semi")).withColumnRenamed("label", "company")
-    nodes = left.groupBy("node").agg(F.max("label").alias("label"), F.min("key").alias("home"))
+    company = components(pairs.join(left.select("key").distinct(), "key", "left_semi")).withColumnRenamed("label", "company")
+    nodes = left.groupBy("node").agg(F.max("label").alias("label"), F.min("key").alias("home")).join(sizes, "node")
     nodes = nodes.join(company, "node", "left").withColumn("company", F.coalesce("company", "node"))
     nodes = kept(nodes, "mixed-texts")
     count = nodes.count()
@@ -374,24 +455,28 @@ def _across_classes(
         return spark.createDataFrame([], "a long, b long")
     shared = spark.sparkContext.broadcast(_row_table(nodes.select("node")))
     some = texts.select("row", "text").mapInArrow(_needed(shared), "row long, text binary")
-    tasks = -(-count // (4 * block_texts))
-    order = ["company", "label", "home", "node"]
-    dealt = nodes.join(some.withColumnRenamed("row", "node"), "node").repartitionByRange(tasks, *order)
+    place = kept(_numbered_blocks(nodes, count, block_texts), "block-of-text")
+    dealt = place.join(some.withColumnRenamed("row", "node"), "node").repartition(-(-count // (4 * block_texts)), "block")
     blocks = kept(
-        dealt.sortWithinPartitions(*order).select("node", "label", "text").mapInArrow(
-            _blocks(block_texts), "block long, nodes array<long>, labels array<long>, sizes binary, elements binary"
+        dealt.select("block", "node", "label", "text").sortWithinPartitions("block", "node").mapInArrow(
+            _blocks(new_folder(spark, "text-blocks")), "block long, path string, least long, greatest long"
         ),
-        "text-blocks",
+        "block-paths",
     )
-    parts = ["nodes", "labels", "sizes", "elements"]
-    inside = blocks.select(*parts).mapInArrow(_join_blocks(least, ""), "a long, b long")
-    place = kept(blocks.select("block", F.explode("nodes").alias("node")), "block-of-text")
-    meets = kept(left.join(place, "node").select("key", "block").distinct(), "block-bands")
-    twos = meets.join(meets.select("key", F.col("block").alias("other")), "key").filter("block < other")
-    twos = kept(twos.select("block", "other").distinct(), "block-pairs")
-    twos = twos.join(blocks.select("block", *parts), "block")
-    twos = twos.join(blocks.select(F.col("block").alias("other"), *[F.col(c).alias(f"{c}_2") for c in parts]), "other")
-    return inside.unionByName(twos.drop("block", "other").mapInArrow(_join_blocks(least, "_2"), "a long, b long"))
+    meets = kept(left.join(place.select("node", "block"), "node").select("key", "block").distinct(), "block-bands")
+    # bands with the same blocks are one: a pair of blocks is made once for all of them
+    hashes = [F.bit_xor(F.xxhash64("block", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    lists = meets.groupBy("key").agg(F.count("*").alias("n"), *hashes).filter("n > 1")
+    keys = kept(lists.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "block-lists")
+    one = kept(meets.join(keys, "key", "left_semi").join(blocks, "block"), "block-meetings")
+    other = one.select("key", *[F.col(c).alias(f"{c}_2") for c in blocks.columns])
+    met = (F.col("block") < F.col("block_2")) & (F.least("least", "least_2") < F.greatest("greatest", "greatest_2"))
+    both = one.join(other, "key").filter(met).select("block", "block_2", "path", "path_2").distinct()
+    alone = blocks.filter("least < greatest").select("block", F.col("block").alias("block_2"), "path", F.col("path").alias("path_2"))
+    both = kept(both.unionByName(alone), "block-pairs")
+    tile = [F.floor(F.col("block") / TILE), F.floor(F.col("block_2") / TILE)]
+    both = both.repartition(max(1, -(-both.count() // TASK_PAIRS)), *tile).sortWithinPartitions(*tile, "block", "block_2")
+    return both.select("path", "path_2").mapInArrow(_join_blocks(least), "a long, b long")
 
 
 def classes(docs: DataFrame, least: float = 0.8, block_texts: int = BLOCK_TEXTS) -> DataFrame:
@@ -405,12 +490,13 @@ def classes(docs: DataFrame, least: float = 0.8, block_texts: int = BLOCK_TEXTS)
 def _classes(texts: DataFrame, least: float, block_texts: int) -> DataFrame:
     id_type = texts.schema["doc_id"].dataType.simpleString()
     signed = kept(
-        texts.mapInArrow(_sign, f"row long, doc_id {id_type}, hi long, lo long, bands array<long>"), "signatures"
+        texts.mapInArrow(_sign, f"row long, doc_id {id_type}, hi long, lo long, bands array<long>, size long"), "signatures"
     )
     # texts with equal words are one node, named by its least row
     nodes = kept(
         signed.groupBy("hi", "lo").agg(
             F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"),
+            F.first("size").alias("size"),
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("lead"),
         ),
         "texts",
@@ -419,8 +505,17 @@ def _classes(texts: DataFrame, least: float, block_texts: int) -> DataFrame:
     by_hub = met.join(hubs, "key").filter(F.col("node") != F.col("hub")).select("key", F.col("hub").alias("a"), F.col("node").alias("b"))
     by_hub = kept(by_hub, "near-pairs")
     links = kept(linked(by_hub.select("a", "b").distinct(), texts, least), "near-links")
-    more = kept(_across_classes(met, by_hub, components(links), texts, least, block_texts), "near-links")
-    labels = components(links.unionByName(more))
+    labels = components(links)
+    left = _mixed(met, labels)
+    for turn in range(CLASS_ROUNDS):
+        if left.isEmpty():
+            break
+        links = links.unionByName(kept(linked(kept(_with_largest(left, turn), "class-pairs"), texts, least), "near-links"))
+        labels = components(links)
+        left = _mixed(left.select("key", "node"), labels)
+    if not left.isEmpty():
+        across = _across_classes(left, by_hub, nodes.select("node", "size"), texts, least, block_texts)
+        labels = components(links.unionByName(kept(across, "near-links")))
     named = nodes.select("hi", "lo", "node", "least_id", "lead").join(labels, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
     heads = kept(named.groupBy("label").agg(F.min("least_id").alias("class_id"), F.min("lead").alias("lead")), "classes")
