@@ -510,7 +510,10 @@ def _classes(texts: DataFrame, least: float, block_texts: int) -> DataFrame:
     for turn in range(CLASS_ROUNDS):
         if left.isEmpty():
             break
-        links = links.unionByName(kept(linked(kept(_with_largest(left, turn), "class-pairs"), texts, least), "near-links"))
+        found = kept(linked(kept(_with_largest(left, turn), "class-pairs"), texts, least), "near-links")
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
         labels = components(links)
         left = _mixed(left.select("key", "node"), labels)
     if not left.isEmpty():
