@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import canonical_hash
 from cuelake.functions.timecode import parse_timecode
 from cuelake.operators import ordered
-from cuelake.operators.ordered import Order, arrange, running
+from cuelake.operators.asof import neighbours
+from cuelake.operators.ordered import ROWS_PER_BLOCK, Order, arrange, running
 
 BUCKET_MS = 60_000
 SNAP_RADIUS_MS = 2000
@@ -78,29 +79,24 @@ def clip_captions(cues: DataFrame, order: Order, windows: DataFrame) -> DataFram
     return out.withColumn("clip_cue_id", F.col("clip_cue_id") - 1)
 
 
+def _nearest(radius_ms: int) -> Column:
+    """The nearer one of ``before`` and ``after`` within the radius of ``at_ms``; ties go back."""
+    back = F.when(F.col("at_ms") - F.col("before") <= radius_ms, F.col("before"))
+    on = F.when(F.col("after") - F.col("at_ms") <= radius_ms, F.col("after"))
+    later = on - F.col("at_ms") < F.col("at_ms") - back
+    return F.when(later, on).otherwise(F.coalesce(back, on))
+
+
 def snap_edges(
-    edges: DataFrame, boundaries: DataFrame, radius_ms: int = SNAP_RADIUS_MS
+    edges: DataFrame, boundaries: DataFrame, radius_ms: int = SNAP_RADIUS_MS, rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame:
     """Nearest boundary within the radius for each edge ``(project_id, at_ms, …)``; ties go back.
 
-    Equal times are looked up once. Buckets are as wide as the radius, so a time looks into its own
-    and the two next to it.
+    Edges and boundaries are walked through together in order of time (``asof.neighbours``).
     """
-    e = edges.select("project_id", "at_ms").distinct()
-    e = e.withColumn("_home", F.floor(F.col("at_ms") / radius_ms))
-    e = e.withColumn("_b", F.explode(F.array(F.col("_home") - 1, F.col("_home"), F.col("_home") + 1)))
-    b = boundaries.select("project_id", "boundary_ms").distinct()
-    b = b.withColumn("_b", F.floor(F.col("boundary_ms") / radius_ms))
-    d = F.abs(F.col("boundary_ms") - F.col("at_ms"))
-    near = e.join(b, ["project_id", "_b"]).filter(d <= radius_ms)
-    best = near.groupBy("project_id", "at_ms").agg(
-        F.min(F.struct(d.alias("d"), F.col("boundary_ms"))).alias("_best")
-    )
-    out = edges.join(best, ["project_id", "at_ms"], "left")
-    return out.select(
-        *edges.columns, F.coalesce(F.col("_best")["boundary_ms"], F.col("at_ms")).alias("snapped_ms"),
-        F.col("_best").isNotNull().alias("has_candidate"),
-    )
+    e = neighbours(edges, "at_ms", boundaries, "boundary_ms", ["project_id"], rows_per_block)
+    near = _nearest(radius_ms)
+    return e.select(*edges.columns, F.coalesce(near, F.col("at_ms")).alias("snapped_ms"), near.isNotNull().alias("has_candidate"))
 
 
 def cue_boundaries(cues: DataFrame) -> DataFrame:
@@ -129,10 +125,22 @@ def selection_rows(requests: DataFrame, source: DataFrame) -> DataFrame:
     return whole.unionByName(given)
 
 
+def _snap_windows(windows: DataFrame, cues: DataFrame, radius_ms: int, rows_per_block: int) -> DataFrame:
+    """Windows with ``start_ms`` and ``end_ms``: both ends moved to cue boundaries, unless ``exact``."""
+    names = windows.columns
+    sides = F.posexplode(F.array("req_start_ms", "req_end_ms")).alias("_side", "at_ms")
+    e = neighbours(windows.select("*", sides), "at_ms", cue_boundaries(cues), "boundary_ms", ["project_id"], rows_per_block)
+    e = e.withColumn("_ms", F.coalesce(F.when(~F.col("exact"), _nearest(radius_ms)), F.col("at_ms")))
+    ends = [F.max(F.when(F.col("_side") == n, F.col("_ms"))).alias(c) for n, c in enumerate(("start_ms", "end_ms"))]
+    kept = [F.first(c).alias(c) for c in names if c not in ("project_id", "idx")]  # the same on both sides
+    return e.groupBy("project_id", "idx").agg(*kept, *ends)
+
+
 def resolve_segments(
-    selections: DataFrame, order: Order, cues: DataFrame, source: DataFrame, radius_ms: int = SNAP_RADIUS_MS
+    selections: DataFrame, order: Order, cues: DataFrame, source: DataFrame, radius_ms: int = SNAP_RADIUS_MS,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Clip windows as given to checked windows in milliseconds, list order kept.
+    """Clip windows as given to checked windows in milliseconds, list order kept; ``idx`` is the place in a list.
 
     A row without id and times stands for an empty selection.
 
@@ -143,18 +151,18 @@ def resolve_segments(
         "req_start_ms": parse_timecode(F.col("start")), "req_end_ms": parse_timecode(F.col("end"))
     })
     s = s.withColumn("exact", F.coalesce("exact", F.lit(False)))  # snapping is the default
-    edges = s.filter(~F.col("exact")).select("project_id", F.explode(F.array("req_start_ms", "req_end_ms")).alias("at_ms"))
-    snapped = snap_edges(edges.distinct(), cue_boundaries(cues), radius_ms).filter("has_candidate")
-    for side in ("start", "end"):
-        near = snapped.select(
-            "project_id", F.col("at_ms").alias(f"req_{side}_ms"), F.lit(False).alias("exact"), F.col("snapped_ms").alias("_near")
-        )
-        s = s.join(near, ["project_id", f"req_{side}_ms", "exact"], "left")
-        s = s.withColumn(f"{side}_ms", F.coalesce("_near", f"req_{side}_ms")).drop("_near")
+    s = _snap_windows(ordered.unblock(s, order), cues, radius_ms, rows_per_block)
+    if order.block:  # dealt by time to be snapped, now by place in the list again
+        s, order = arrange(s, order.keys, order.by, rows_per_block=rows_per_block)
     s = s.withColumn("snapped", (F.col("start_ms") != F.col("req_start_ms")) | (F.col("end_ms") != F.col("req_end_ms")))
 
-    repeated = selections.groupBy("project_id", "id").agg(F.count(F.lit(1)).alias("_uses")).filter("_uses > 1")
-    s = s.join(repeated, ["project_id", "id"], "left").join(
+    if order.block:
+        repeated = selections.groupBy("project_id", "id").agg(F.count(F.lit(1)).alias("_uses")).filter("_uses > 1")
+        s = s.join(repeated, ["project_id", "id"], "left")
+    else:  # selections lie together already
+        uses = F.count("id").over(Window.partitionBy("project_id", "id"))
+        s = s.withColumn("_uses", F.when(uses > 1, uses))
+    s = s.join(
         source.groupBy("project_id").agg(F.max("source_ms").alias("source_ms")), "project_id", "left"
     )
     s = running(s, order, _prev=ordered.previous(F.col("start_ms")))

@@ -31,8 +31,9 @@ class Order:
     by: tuple[str, ...]
     block: tuple[str, ...] = ()
 
-    def window(self):
-        return Window.partitionBy(*self.keys, *self.block).orderBy(*self.by)
+    def window(self, back: bool = False):
+        by = [F.desc(c) for c in self.by] if back else self.by
+        return Window.partitionBy(*self.keys, *self.block).orderBy(*by)
 
 
 class Running(NamedTuple):
@@ -54,6 +55,11 @@ def lowest(value: Column, current: bool = True) -> Running:
     return Running("min", value, current)
 
 
+def lowest_ahead(value: Column) -> Running:
+    """Least value of the rows after this one: a scan from the end, so one more sort but no frame that starts anew."""
+    return Running("ahead", value, False)
+
+
 def previous(value: Column) -> Running:
     return Running("lag", value)
 
@@ -152,7 +158,9 @@ def _equal_blocks(
     return out.repartition(*keys, *names), Order(keys, by, names)
 
 
-def _local(spec: Running, window, wrap: bool) -> Column:
+def _local(spec: Running, window, wrap: bool, back=None) -> Column:
+    if spec.kind == "ahead":
+        return F.min(spec.value).over(back.rowsBetween(Window.unboundedPreceding, -1))
     before = window.rowsBetween(Window.unboundedPreceding, -1)
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     frame = upto if spec.current else before
@@ -172,10 +180,12 @@ def _summary(spec: Running, by: tuple[str, ...]) -> Column:
         return F.max_by(F.struct(spec.value.alias("v")), F.struct(*by))
     if spec.kind == "lead":
         return F.min_by(F.struct(spec.value.alias("v")), F.struct(*by))
-    return {"sum": F.sum, "max": F.max, "min": F.min}[spec.kind](spec.value)
+    return {"sum": F.sum, "max": F.max, "min": F.min, "ahead": F.min}[spec.kind](spec.value)
 
 
-def _carried(spec: Running, name: str, window) -> Column:
+def _carried(spec: Running, name: str, window, back) -> Column:
+    if spec.kind == "ahead":
+        return F.min(name).over(back.rowsBetween(Window.unboundedPreceding, -1))
     before = window.rowsBetween(Window.unboundedPreceding, -1)
     if spec.kind == "lag":
         return F.lag(name).over(window)
@@ -191,25 +201,26 @@ def _combined(spec: Running, local: Column, carry: Column) -> Column:
         return local + F.coalesce(carry, F.lit(0))
     if spec.kind == "max":
         return F.greatest(local, carry)  # greatest and least skip nulls
-    if spec.kind == "min":
+    if spec.kind in ("min", "ahead"):
         return F.least(local, carry)
     return F.coalesce(local, carry)["v"]
 
 
 def running(df: DataFrame, order: Order, **specs: Running) -> DataFrame:
     """Add one column per spec; specs read columns of ``df``, not each other."""
-    window = order.window()
+    window, back = order.window(), order.window(back=True)
     if not order.block:
-        return df.select("*", *[_local(s, window, False).alias(n) for n, s in specs.items()])
+        return df.select("*", *[_local(s, window, False, back).alias(n) for n, s in specs.items()])
 
     groups = [*order.keys, *order.block]
-    local = df.select("*", *[_local(s, window, True).alias(f"_l_{n}") for n, s in specs.items()])
+    local = df.select("*", *[_local(s, window, True, back).alias(f"_l_{n}") for n, s in specs.items()])
     blocks = df.filter(F.col(order.block[0]).isNotNull()).groupBy(*groups).agg(
         *[_summary(s, order.by).alias(f"_c_{n}") for n, s in specs.items()]
     )
-    over_blocks = Window.partitionBy(*order.keys).orderBy(*order.block)
+    whole = Window.partitionBy(*order.keys)
+    over_blocks, from_last = whole.orderBy(*order.block), whole.orderBy(*[F.desc(b) for b in order.block])
     carry = blocks.select(
-        *groups, *[_carried(s, f"_c_{n}", over_blocks).alias(f"_c_{n}") for n, s in specs.items()],
+        *groups, *[_carried(s, f"_c_{n}", over_blocks, from_last).alias(f"_c_{n}") for n, s in specs.items()],
         F.count(F.lit(1)).over(Window.partitionBy(*order.keys)).alias("_blocks"),
     ).filter(F.col("_blocks") > 1).drop("_blocks")
     ensure_checkpoint_dir(df.sparkSession)

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize("name", [
     "artifact_versions", "repetition_runs", "retimed_captions", "resegment_cues", "silent_spans", "sync_report_reset",
-    "transition_audit",
+    "transition_audit", "resolve_segments",
 ])
 def test_tiny_blocks(spark, monkeypatch, name):
     def tiny(df, keys, by, **kw):
