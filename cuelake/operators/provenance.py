@@ -42,6 +42,7 @@ DISTRIBUTION_EDGES = [
     ("PROMOTION_PUBLISHED", "MONITORING"),
 ]
 ALLOWED = [(a, b) for a, b, *_ in EDGES] + DISTRIBUTION_EDGES
+REPORT_TYPES = list(dict.fromkeys(r for _, _, reports, *_ in EDGES for r in reports))
 EDGE_SCHEMA = (
     "current_state string, next_state string, reports array<string>, gate string, per_language boolean, "
     "needs_rights boolean, with_dubs boolean"
@@ -149,10 +150,11 @@ def lineage_circles(parents: DataFrame, keys: Sequence[str] = ("project_id",)) -
 
 def approval_states(approvals: DataFrame, active: DataFrame, as_of: Column) -> DataFrame:
     """Approvals with ``stale_hashes`` and ``valid``: approved, in force, every bound hash active."""
-    bound = approvals.select("approval_id", "project_id", F.explode("artifact_hashes").alias("sha256"))
-    stale = bound.join(active.select("project_id", "sha256").distinct(), ["project_id", "sha256"], "left_anti")
-    stale = stale.groupBy("approval_id").agg(F.count(F.lit(1)).alias("stale_hashes"))
-    a = approvals.join(stale, "approval_id", "left").fillna(0, ["stale_hashes"])
+    hashes = active.groupBy("project_id").agg(F.collect_set("sha256").alias("_active"))  # one a type and language
+    a = approvals.join(hashes, "project_id", "left")
+    is_active = lambda h: F.coalesce(F.array_contains("_active", h), F.lit(False))
+    old = F.filter(F.coalesce("artifact_hashes", F.array()), lambda h: ~is_active(h))
+    a = a.select(*approvals.columns, F.size(old).cast("long").alias("stale_hashes"))
     in_force = F.coalesce(F.col("expires_at") > as_of, F.lit(True)) & F.col("invalidated_at").isNull()
     return a.withColumn(
         "valid", (F.col("decision") == "APPROVED") & in_force & (F.col("stale_hashes") == 0)
@@ -161,68 +163,102 @@ def approval_states(approvals: DataFrame, active: DataFrame, as_of: Column) -> D
 
 # --- gates ----------------------------------------------------------------------------------------
 
-def latest_reports(reports: DataFrame) -> DataFrame:
-    newest = F.max(F.struct("seq", "decision"))
-    return reports.groupBy("project_id", "report_type").agg(newest["decision"].alias("decision"))
+def _newest_report(report_type: str) -> Column:
+    of_type = F.when(F.col("report_type") == report_type, F.struct("seq", "decision"))
+    return F.max(of_type)["decision"]
 
 
-def next_edges(states: DataFrame, tracks: DataFrame) -> DataFrame:
-    """The edge each project would take next; projects without one keep a null ``next_state``."""
-    dubs = tracks.groupBy("project_id").agg(F.max("dub_enabled").alias("_dubs"))
-    s = states.select("project_id", "current_state").join(dubs, "project_id", "left")
-    e = F.broadcast(edges(states.sparkSession))  # a fixed list
-    fits = F.col("with_dubs").isNull() | (F.col("with_dubs") == F.coalesce(F.col("_dubs"), F.lit(False)))
-    return s.join(e, (s.current_state == e.current_state) & fits, "left").drop(e.current_state).drop("_dubs", "with_dubs")
+def log_board(log: DataFrame) -> DataFrame:
+    """State and newest reports of each project in one aggregate of its log.
 
-
-def gate_blockers(
-    next_edge: DataFrame, reports: DataFrame, valid_approvals: DataFrame, tracks: DataFrame,
-    rights: DataFrame, accepted: Sequence[str] = ("PASS", "CONDITIONAL_PASS"),
-) -> DataFrame:
-    """What keeps each project from its next state: ``(project_id, kind, detail)``.
-
-    ``reports`` are the latest ones; ``valid_approvals`` is ``(project_id, gate, language)`` with an
-    empty language for project-level gates.
+    ``log`` is ``(project_id, time, seq, to_state, report_type, decision)``; a row may hold a new state, a report, or
+    both. Gives ``(project_id, current_state, seq, transitions, reports)``, ``reports`` a map of the report types
+    that gates ask for.
     """
-    good = reports.filter(F.col("decision").isin(list(accepted)))
-    needed = next_edge.select("project_id", F.explode("reports").alias("report_type"))
-    missing_reports = needed.join(good, ["project_id", "report_type"], "left_anti").select(
-        "project_id", F.lit("report").alias("kind"), F.col("report_type").alias("detail")
-    )
-    human = tracks.filter(~F.col("skip_translation") & ~F.col("auto_translate"))
-    gated = next_edge.filter(F.col("gate").isNotNull())
-    by_track = gated.filter("per_language").join(human, "project_id").filter(
-        (F.col("gate") != "audio_qa") | F.col("dub_enabled")
-    ).select("project_id", "gate", "language")
-    whole = gated.filter("not per_language").select("project_id", "gate", F.lit("").alias("language"))
-    missing_approvals = by_track.unionByName(whole).join(
-        valid_approvals, ["project_id", "gate", "language"], "left_anti"
-    ).select(
-        "project_id", F.lit("approval").alias("kind"),
-        F.when(F.col("language") == "", F.col("gate")).otherwise(F.concat_ws(":", "gate", "language")).alias("detail"),
+    moved = F.when(F.col("to_state").isNotNull(), F.struct("time", "seq", "to_state"))
+    g = log.groupBy("project_id").agg(
+        F.max(moved).alias("_n"), F.count("to_state").alias("transitions"),
+        *[_newest_report(t).alias(f"_r{i}") for i, t in enumerate(REPORT_TYPES)],
     )
-    cleared = rights.filter(F.col("rights_status").isin(DISTRIBUTABLE))
-    no_rights = next_edge.filter("needs_rights").join(cleared, "project_id", "left_anti").select(
-        "project_id", F.lit("rights").alias("kind"), F.lit("rights_status").alias("detail")
+    reports = F.create_map(*[c for i, t in enumerate(REPORT_TYPES) for c in (F.lit(t), F.col(f"_r{i}"))])
+    return g.select(
+        "project_id", F.col("_n")["to_state"].alias("current_state"), F.col("_n")["seq"].alias("seq"), "transitions",
+        reports.alias("reports"),
     )
-    return missing_reports.unionByName(missing_approvals).unionByName(no_rights)
 
 
-def next_actions(next_edge: DataFrame, blockers: DataFrame) -> DataFrame:
-    """TERMINAL, STOP_AT_GATE (only a human approval is missing), BLOCKED or PROCEED."""
-    b = blockers.groupBy("project_id").agg(
-        F.sum((F.col("kind") == "approval").cast("long")).alias("approvals_missing"),
-        F.sum((F.col("kind") != "approval").cast("long")).alias("other_blockers"),
+def approval_keys(valid_approvals: DataFrame) -> DataFrame:
+    """Gates each project is cleared for, ``gate`` or ``gate:language``: a set, at most one entry a gate and language.
+
+    ``valid_approvals`` is ``(project_id, gate, language)`` with an empty language for project-level gates.
+    """
+    key = F.when(F.col("language") == "", F.col("gate")).otherwise(F.concat_ws(":", "gate", "language"))
+    return valid_approvals.groupBy("project_id").agg(F.collect_set(key).alias("approvals"))
+
+
+def board(
+    states: DataFrame, reports: DataFrame, valid_approvals: DataFrame, tracks: DataFrame, rights: DataFrame
+) -> DataFrame:
+    """All that gates look at, one row a project, from tables of their own; ``reports`` may hold older ones with a ``seq``."""
+    newest = F.max(F.struct("seq", "decision"))["decision"] if "seq" in reports.columns else F.max("decision")
+    last = reports.groupBy("project_id", "report_type").agg(newest.alias("decision"))
+    by_type = F.map_from_entries(F.collect_list(F.struct("report_type", "decision"))).alias("reports")
+    of_track = F.struct("language", "skip_translation", "auto_translate", "dub_enabled")
+    out = states.select("project_id", "current_state")
+    for part in (
+        last.groupBy("project_id").agg(by_type), approval_keys(valid_approvals),
+        tracks.groupBy("project_id").agg(F.collect_list(of_track).alias("tracks")), rights.select("project_id", "rights_status"),
+    ):
+        out = out.join(part, "project_id", "left")
+    return out
+
+
+def check_gates(projects: DataFrame, accepted: Sequence[str] = ("PASS", "CONDITIONAL_PASS")) -> DataFrame:
+    """The edge each project would take next, what keeps it from that, and what to do, without a join of tables.
+
+    ``projects`` is a board: ``(project_id, current_state, reports, approvals, tracks, rights_status)``. Adds
+    ``next_state`` (null at the end), ``blockers`` (an array of kind and detail) and ``action``: TERMINAL, STOP_AT_GATE
+    (only a human approval is missing), BLOCKED or PROCEED.
+    """
+    none = F.array().cast("array<string>")
+    dubs = F.coalesce(F.exists("tracks", lambda t: t["dub_enabled"]), F.lit(False))
+    b = projects.withColumn("_dubs", dubs)
+    e = F.broadcast(edges(projects.sparkSession).select(  # a fixed list
+        F.col("current_state").alias("_from"), "next_state", F.col("reports").alias("_needed"), "gate", "per_language",
+        "needs_rights", "with_dubs",
+    ))
+    fits = F.col("with_dubs").isNull() | (F.col("with_dubs") == F.col("_dubs"))
+    b = b.join(e, (F.col("current_state") == F.col("_from")) & fits, "left")
+
+    good = lambda r: F.coalesce(F.col("reports")[r].isin(list(accepted)), F.lit(False))
+    reports = F.filter(F.coalesce("_needed", none), lambda r: ~good(r))
+    human = F.filter("tracks", lambda t: ~t["skip_translation"] & ~t["auto_translate"] & ((F.col("gate") != "audio_qa") | t["dub_enabled"]))
+    asked = F.when(F.col("per_language"), F.transform(human, lambda t: F.concat_ws(":", F.col("gate"), t["language"]))).when(
+        F.col("gate").isNotNull(), F.array("gate")
+    )
+    cleared = lambda a: F.coalesce(F.array_contains("approvals", a), F.lit(False))
+    approvals = F.filter(F.coalesce(asked, none), lambda a: ~cleared(a))
+    rights = F.when(
+        F.col("needs_rights") & ~F.coalesce(F.col("rights_status").isin(DISTRIBUTABLE), F.lit(False)), F.array(F.lit("rights_status"))
     )
-    n = next_edge.select("project_id", "current_state", "next_state").join(b, "project_id", "left")
-    n = n.fillna(0, ["approvals_missing", "other_blockers"])
+    def blocked(kind: str, details: Column) -> Column:
+        return F.transform(details, lambda d: F.struct(F.lit(kind).alias("kind"), d.alias("detail")))
+
+    b = b.withColumn("blockers", F.concat(
+        blocked("report", reports), blocked("approval", approvals), blocked("rights", F.coalesce(rights, none))
+    ))
     action = (
         F.when(F.col("next_state").isNull(), "TERMINAL")
-        .when(F.col("other_blockers") > 0, "BLOCKED")
-        .when(F.col("approvals_missing") > 0, "STOP_AT_GATE")
+        .when(F.exists("blockers", lambda x: x["kind"] != "approval"), "BLOCKED")
+        .when(F.size("blockers") > 0, "STOP_AT_GATE")
         .otherwise("PROCEED")
     )
-    return n.withColumn("action", action)
+    return b.select(*projects.columns, "next_state", "blockers", action.alias("action"))
+
+
+def gate_blockers(checked: DataFrame) -> DataFrame:
+    """A row a blocker: ``(project_id, kind, detail)``."""
+    return checked.select("project_id", F.inline("blockers"))
 
 
 def stranded(active: DataFrame, tracks: DataFrame, dub_type: str) -> DataFrame:

@@ -9,7 +9,7 @@ from cuelake.functions import text as tx
 from cuelake.functions.timecode import parse_timecode
 from cuelake.operators import catalog, config, intervals, languages
 from cuelake.operators.ordered import arrange
-from cuelake.plans.gate_jobs import GATE_SQL, actions
+from cuelake.plans.gate_jobs import GATE_SQL, gates
 from cuelake.plans.registry import job
 from cuelake.sources import fixtures as fx
 
@@ -65,7 +65,7 @@ en AS (SELECT video_id, COALESCE(title, '') AS title, COALESCE(current_state, ''
 
 def _enriched(spark, sf):
     c = _catalog(spark, sf).withColumn("project_id", F.regexp_extract("video_id", r"^yt-(\d+)$", 1).try_cast("long"))
-    return catalog.enrich(c, actions(spark, sf))
+    return catalog.enrich(c, gates(spark, sf))
 
 
 @job("catalog_enriched", ENRICHED + " SELECT * FROM en")

@@ -99,16 +99,18 @@ def approval_validity(spark, sf):
 TRACK_CODES = ["en", "fr", "es", "fa"]
 
 
-def _tracks(spark, sf):
-    """Four tracks per project seen in the event log."""
-    p = fx.event_rows(spark, sf).select("project_id").distinct()
-    t = p.select("project_id", F.posexplode(F.array(*[F.lit(c) for c in TRACK_CODES])).alias("pos", "language"))
+def _tracks():
+    """Four tracks per project seen in the event log, as an array."""
     source = F.element_at(F.array(F.lit("fa"), F.lit("en"), F.lit("fr")), (F.col("project_id") % 3 + 1).cast("int"))
-    t = t.withColumn("skip_translation", F.col("language") == source)
-    return t.withColumns({
-        "auto_translate": ~F.col("skip_translation") & (F.col("language") != "en"),
-        "dub_enabled": (F.col("project_id") + F.col("pos")) % 5 < 2,
-    }).drop("pos")
+
+    def track(code, at):
+        skip = code == source
+        return F.struct(
+            code.alias("language"), skip.alias("skip_translation"), (~skip & (code != "en")).alias("auto_translate"),
+            ((F.col("project_id") + at) % 5 < 2).alias("dub_enabled"),
+        )
+
+    return F.transform(F.array(*[F.lit(c) for c in TRACK_CODES]), track)
 
 
 # Approval gates and report types
@@ -116,24 +118,22 @@ GATES = ["transcript_qa", "translation_qa", "audio_qa", "final_qa", "rights"]
 REPORTS = ["transcript-qa", "translation-qa", "glossary", "caption", "audio-sync", "final"]
 
 
-def _gate_inputs(spark, sf):
-    events = fx.event_rows(spark, sf)
-    states = pv.latest_state(events)
+def gates(spark, sf):
+    """Every project's next step: one aggregate of the log, one of the approvals, array expressions for the rest."""
     seq = F.col("seq")
     report = F.element_at(F.array(*[F.lit(r) for r in REPORTS]), (seq % 6 + 1).cast("int"))
     verdict = F.when(seq % 7 == 0, "FAIL").when(seq % 5 == 0, "CONDITIONAL_PASS").otherwise("PASS")
-    reports = pv.latest_reports(events.select("project_id", "seq", report.alias("report_type"), verdict.alias("decision")))
+    log = fx.event_rows(spark, sf).select(
+        "project_id", "time", "seq", "to_state", report.alias("report_type"), verdict.alias("decision")
+    )
     a = _approvals(spark, sf).filter("valid")  # stale, expired and invalidated ones open no gate
     gate = F.element_at(F.array(*[F.lit(g) for g in GATES]), F.substring("gate", 1, 1).cast("int"))
     code = F.element_at(F.array(*[F.lit(c) for c in TRACK_CODES]), (F.col("approval_id") % 4 + 1).cast("int"))
     per_language = gate.isin("translation_qa", "audio_qa")
-    valid = a.select("project_id", gate.alias("gate"), F.when(per_language, code).otherwise("").alias("language")).distinct()
-    rights = states.select(
-        "project_id", F.when(F.col("project_id") % 4 == 0, "unreviewed").otherwise("licensed").alias("rights_status")
-    )
-    tracks = _tracks(spark, sf)
-    nxt = pv.next_edges(states, tracks)
-    return nxt, pv.gate_blockers(nxt, reports, valid, tracks, rights)
+    valid = a.select("project_id", gate.alias("gate"), F.when(per_language, code).otherwise("").alias("language"))
+    rights = F.when(F.col("project_id") % 4 == 0, "unreviewed").otherwise("licensed")
+    projects = pv.log_board(log).join(pv.approval_keys(valid), "project_id", "left")
+    return pv.check_gates(projects.withColumns({"tracks": _tracks(), "rights_status": rights}))
 
 
 def _sql_list(values) -> str:
@@ -166,16 +166,12 @@ ac AS (SELECT nx.project_id, nx.current_state, COALESCE(next_state, '') AS next_
 
 @job("gate_blockers", GATE_SQL + " SELECT * FROM bl")
 def gate_blockers(spark, sf):
-    return _gate_inputs(spark, sf)[1]
-
-
-def actions(spark, sf):
-    return pv.next_actions(*_gate_inputs(spark, sf))
+    return pv.gate_blockers(gates(spark, sf))
 
 
 @job("next_action", GATE_SQL + " SELECT * FROM ac")
 def next_action(spark, sf):
-    return actions(spark, sf).select("project_id", "current_state", F.coalesce("next_state", F.lit("")).alias("next_state"), "action")
+    return gates(spark, sf).select("project_id", "current_state", F.coalesce("next_state", F.lit("")).alias("next_state"), "action")
 
 
 @job("stranded_dubs", ACTIVE + " SELECT project_id, type, language, seq, sha256 FROM act WHERE type = 'A' AND (project_id + CASE language WHEN 'F' THEN 1 ELSE 0 END) % 3 = 0")

@@ -74,9 +74,23 @@ def gate(spark, state, reports=(), approvals=(), rights="licensed", tracks=None)
     r = spark.createDataFrame([(1, *x) for x in reports], "project_id long, report_type string, decision string")
     a = spark.createDataFrame([(1, *x) for x in approvals], "project_id long, gate string, language string")
     d = spark.createDataFrame([(1, rights)], "project_id long, rights_status string")
-    nxt = pv.next_edges(s, t)
-    blockers = pv.gate_blockers(nxt, r, a, t, d)
-    return sorted((b.kind, b.detail) for b in blockers.collect()), pv.next_actions(nxt, blockers).first()
+    checked = pv.check_gates(pv.board(s, r, a, t, d))
+    return sorted((b.kind, b.detail) for b in pv.gate_blockers(checked).collect()), checked.first()
+
+
+def test_board_from_a_log(spark):
+    rows = [(1, 1, "INGEST", None, None), (1, 2, None, "caption", "FAIL"), (1, 3, "CAPTION_VALIDATION", None, None),
+            (1, 4, None, "caption", "PASS"), (1, 5, None, "unheard-of", "FAIL"), (2, 1, None, "final", "PASS")]
+    log = spark.createDataFrame(rows, "project_id long, seq long, to_state string, report_type string, decision string")
+    got = {r.project_id: r for r in pv.log_board(log.withColumn("time", F.col("seq"))).collect()}
+    assert (got[1].current_state, got[1].seq, got[1].transitions) == ("CAPTION_VALIDATION", 3, 2)
+    assert got[1].reports["caption"] == "PASS" and got[1].reports["final"] is None
+    assert (got[2].current_state, got[2].transitions, got[2].reports["final"]) == (None, 0, "PASS")
+
+
+def test_a_project_without_anything_else_is_blocked_or_done(spark):
+    assert gate(spark, "TRANSCRIPT_QA_GATE", tracks=[(2, "en", False, False, True)])[0] == [("approval", "transcript_qa"), ("report", "transcript-qa")]
+    assert gate(spark, "UNHEARD_OF")[1].action == "TERMINAL"
 
 
 def test_gate_demands_only_human_tracks(spark):
