@@ -79,28 +79,25 @@ def status_summary(spark, sf):
     return catalog.summarize(_enriched(spark, sf))[0]
 
 
-REF = """CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'https://www.youtube.com/watch?v=' || lpad(CAST(page_id AS VARCHAR), 11, 'a') || '&list=PL1'
+MADE = """CASE k WHEN 0 THEN url WHEN 1 THEN 'https://www.youtube.com/watch?v=' || lpad(CAST(page_id AS VARCHAR), 11, 'a') || '&list=PL1'
   WHEN 2 THEN lpad(CAST(page_id AS VARCHAR), 11, 'A') WHEN 3 THEN 'PL' || lpad(CAST(page_id AS VARCHAR), 12, 'x') ELSE 'https://youtu.be/' || lpad(CAST(page_id AS VARCHAR), 11, 'b') || '/' END"""
 
 
 @job("video_refs", f"""
-+WITH r AS (SELECT page_id, {REF} AS ref FROM pages),
-i AS (SELECT *, CASE page_id % 5 WHEN 1 THEN lpad(CAST(page_id AS VARCHAR), 11, 'a') WHEN 4 THEN lpad(CAST(page_id AS VARCHAR), 11, 'b')
++WITH p AS (SELECT page_id, url, unnest([0, 1, 2, 3, 4]) AS k FROM pages), r AS (SELECT page_id, k, {MADE} AS ref FROM p),
+i AS (SELECT *, CASE k WHEN 1 THEN lpad(CAST(page_id AS VARCHAR), 11, 'a') WHEN 4 THEN lpad(CAST(page_id AS VARCHAR), 11, 'b')
     WHEN 0 THEN regexp_extract(regexp_replace(ref, '[?#].*$', ''), '([^/]+)/*$', 1) ELSE ref END AS video_id FROM r)
 SELECT page_id, ref, video_id, regexp_matches(video_id, '^[A-Za-z0-9][A-Za-z0-9_-]+$') AS valid_id,
-  CASE page_id % 5 WHEN 2 THEN 'https://www.youtube.com/watch?v=' || ref WHEN 3 THEN 'https://www.youtube.com/playlist?list=' || ref ELSE ref END AS canonical,
-  page_id % 5 IN (1, 3) AS playlist, page_id % 5 IN (1, 4) AS allowed FROM i""")
+  CASE k WHEN 2 THEN 'https://www.youtube.com/watch?v=' || ref WHEN 3 THEN 'https://www.youtube.com/playlist?list=' || ref ELSE ref END AS canonical,
+  k IN (1, 3) AS playlist, k IN (1, 4) AS allowed FROM i""")
 def video_refs(spark, sf):
-    p, n = F.col("page_id"), F.col("page_id").cast("string")
-    k = p % 5
-    ref = (
-        F.when(k == 0, F.col("url"))
-        .when(k == 1, F.concat(F.lit("https://www.youtube.com/watch?v="), F.lpad(n, 11, "a"), F.lit("&list=PL1")))
-        .when(k == 2, F.lpad(n, 11, "A"))
-        .when(k == 3, F.concat(F.lit("PL"), F.lpad(n, 12, "x")))
-        .otherwise(F.concat(F.lit("https://youtu.be/"), F.lpad(n, 11, "b"), F.lit("/")))
+    """Every page's url as it stands, and one reference of each other kind per page."""
+    n = F.col("page_id").cast("string")
+    kinds = F.array(
+        F.col("url"), F.concat(F.lit("https://www.youtube.com/watch?v="), F.lpad(n, 11, "a"), F.lit("&list=PL1")),
+        F.lpad(n, 11, "A"), F.concat(F.lit("PL"), F.lpad(n, 12, "x")), F.concat(F.lit("https://youtu.be/"), F.lpad(n, 11, "b"), F.lit("/")),
     )
-    r = fx.table(spark, sf, "pages").select("page_id", ref.alias("ref"))
+    r = fx.table(spark, sf, "pages").select("page_id", F.explode(kinds).alias("ref"))
     r = r.withColumn("video_id", refs.id_from_ref(F.col("ref")))
     return r.select(
         "page_id", "ref", "video_id", refs.is_valid_video_id(F.col("video_id")).alias("valid_id"),
@@ -195,18 +192,28 @@ def add_languages(spark, sf):
     return a.select("video_id", *joined, F.coalesce("error", F.lit("")).alias("error"))
 
 
-@job("normalized_languages", """
-SELECT c_custkey AS video_id, CASE c_custkey % 6 WHEN 0 THEN 'fa' WHEN 1 THEN 'ar' WHEN 2 THEN 'en' WHEN 3 THEN 'zz' WHEN 4 THEN '' ELSE 'zh' END AS language,
-  CASE c_custkey % 6 WHEN 0 THEN 'persian' WHEN 1 THEN 'ara' WHEN 2 THEN 'en' WHEN 3 THEN 'zz' WHEN 4 THEN 'klingon' ELSE 'zh' END AS canonical FROM customer""")
+# every name and code that is known, and some that aren't; written plain, in capitals or between blanks
+NAMED = [*tx.LANGUAGE_NAMES, *tx.ALIASES, *fx.CODES, "zz", "klingon", "x1", ""]
+NAMED_SQL = "[" + ", ".join(f"'{n}'" for n in NAMED) + "]"
+KNOWN_SQL = ", ".join(f"('{a}', '{b}')" for a, b in tx.LANGUAGE_NAMES.items())
+ALIAS_SQL = ", ".join(f"('{a}', '{b}')" for a, b in tx.ALIASES.items())
+
+
+@job("normalized_languages", f"""
++WITH c AS (SELECT c_custkey AS video_id, ({NAMED_SQL})[c_custkey % {len(NAMED)} + 1] AS plain, c_custkey // {len(NAMED)} % 3 AS style FROM customer),
+a AS (SELECT video_id, CASE style WHEN 0 THEN plain WHEN 1 THEN upper(plain) ELSE ' ' || plain || ' ' END AS name, COALESCE(code, plain) AS canonical
+  FROM c LEFT JOIN (VALUES {ALIAS_SQL}) alias(alias, code) ON alias = plain)
+SELECT video_id, name, COALESCE(code, CASE WHEN regexp_matches(canonical, '^[a-z]{{2,3}}$') THEN canonical END, '') AS language, canonical
+FROM a LEFT JOIN (VALUES {KNOWN_SQL}) known(known, code) ON known = canonical""")
 def normalized_languages(spark, sf):
-    k = F.col("c_custkey") % 6
-    name = F.when(k == 0, "Persian").when(k == 1, "ara").when(k == 2, " EN ").when(k == 3, "zz").when(k == 4, "klingon").otherwise("zh-CN")
-    c = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("video_id"), name.alias("name"))
+    k = F.col("c_custkey")
+    plain = F.element_at(F.array(*[F.lit(n) for n in NAMED]), (k % len(NAMED) + 1).cast("int"))
+    style = F.floor(k / len(NAMED)) % 3
+    name = F.when(style == 0, plain).when(style == 1, F.upper(plain)).otherwise(F.concat(F.lit(" "), plain, F.lit(" ")))
+    c = fx.table(spark, sf, "customer").select(k.alias("video_id"), name.alias("name"))
     canonical = tx.canonical_language(F.col("name"))
     return c.select(
-        "video_id",
-        F.coalesce(tx.normalize_language(F.when(F.col("name") == "zh-CN", canonical).otherwise(F.col("name"))), F.lit("")).alias("language"),
-        canonical.alias("canonical"),
+        "video_id", "name", F.coalesce(tx.normalize_language(canonical), F.lit("")).alias("language"), canonical.alias("canonical"),
     )
 
 

@@ -363,24 +363,34 @@ def split_slice_ms(spark, sf):
     return out.withColumn("part", F.col("part").cast("long"))
 
 
-@job("split_long_cues", r"""
-+WITH base AS (SELECT *, start_ms + span_ms AS end_ms,
-    list_filter(string_split(regexp_replace(target_text, '([.!?؟۔…]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ts,
-    list_filter(string_split(target_text, ' '), lambda x: x <> '') AS tw FROM x2),
-n AS (SELECT *, GREATEST(1, LEAST(CAST(ceil(span_ms / 7000) AS BIGINT), len(tw))) AS n FROM base),
-tok AS (SELECT *, CASE WHEN len(ts) >= n THEN ts ELSE tw END AS toks FROM n),
-t AS (SELECT project_id, cue_id, n, len(toks) AS m, unnest(range(1, len(toks) + 1)) AS i, unnest(toks) AS tk FROM tok WHERE n > 1),
-u AS (SELECT *, CAST(SUM(length(tk)) OVER (PARTITION BY project_id, cue_id ORDER BY i) AS BIGINT) AS cum FROM t),
-tot AS (SELECT project_id, cue_id, n, m, MAX(cum) AS total FROM u GROUP BY ALL),
-g AS (SELECT *, (total * (k + 1)) // n + CASE WHEN 2 * ((total * (k + 1)) % n) > n THEN 1 WHEN 2 * ((total * (k + 1)) % n) < n THEN 0
-      ELSE ((total * (k + 1)) // n) % 2 END AS goal FROM (SELECT *, unnest(range(0, n - 1)) AS k FROM tot)),
-fk AS (SELECT g.project_id, g.cue_id, g.n, g.m, g.k, u.i AS f FROM g ASOF JOIN u ON g.project_id = u.project_id AND g.cue_id = u.cue_id AND g.goal <= u.cum),
-b AS (SELECT *, LEAST(m - (n - 1 - k), MAX(f - k) OVER (PARTITION BY project_id, cue_id ORDER BY k) + k) AS e FROM fk),
-cut AS (SELECT project_id, cue_id, k, e FROM b UNION ALL SELECT project_id, cue_id, n - 1, m FROM tot),
-rng AS (SELECT *, COALESCE(LAG(e) OVER (PARTITION BY project_id, cue_id ORDER BY k), 0) AS s FROM cut),
-chunk AS (SELECT r.project_id, r.cue_id, r.k, array_to_string(tok.toks[r.s + 1 : r.e], ' ') AS txt, n, span_ms FROM rng r JOIN tok USING (project_id, cue_id)
-  UNION ALL SELECT project_id, cue_id, 0, target_text, 1, span_ms FROM tok WHERE n = 1),
-w AS (SELECT *, CAST(length(txt) AS BIGINT) AS w, GREATEST(7000, CAST(ceil(span_ms / n) AS BIGINT)) AS cap FROM chunk),
+# chunks of one text of each cue; @ is the side, and txt@ its text
+CHUNKS = r"""
+tok@ AS (SELECT project_id, cue_id, n, span_ms, txt@ AS text, CASE WHEN len(sent@) >= n THEN sent@ ELSE word@ END AS toks FROM n),
+t@ AS (SELECT project_id, cue_id, n, len(toks) AS m, unnest(range(1, len(toks) + 1)) AS i, unnest(toks) AS tk FROM tok@ WHERE n > 1),
+u@ AS (SELECT *, CAST(SUM(length(tk)) OVER (PARTITION BY project_id, cue_id ORDER BY i) AS BIGINT) AS cum FROM t@),
+tot@ AS (SELECT project_id, cue_id, n, m, MAX(cum) AS total FROM u@ GROUP BY ALL),
+g@ AS (SELECT *, (total * (k + 1)) // n + CASE WHEN 2 * ((total * (k + 1)) % n) > n THEN 1 WHEN 2 * ((total * (k + 1)) % n) < n THEN 0
+      ELSE ((total * (k + 1)) // n) % 2 END AS goal FROM (SELECT *, unnest(range(0, n - 1)) AS k FROM tot@)),
+fk@ AS (SELECT g@.project_id, g@.cue_id, g@.n, g@.m, g@.k, u@.i AS f FROM g@ ASOF JOIN u@ ON g@.project_id = u@.project_id AND g@.cue_id = u@.cue_id AND g@.goal <= u@.cum),
+b@ AS (SELECT *, LEAST(m - (n - 1 - k), MAX(f - k) OVER (PARTITION BY project_id, cue_id ORDER BY k) + k) AS e FROM fk@),
+cut@ AS (SELECT project_id, cue_id, k, e FROM b@ UNION ALL SELECT project_id, cue_id, n - 1, m FROM tot@),
+rng@ AS (SELECT *, COALESCE(LAG(e) OVER (PARTITION BY project_id, cue_id ORDER BY k), 0) AS s FROM cut@),
+chunk@ AS (SELECT r.project_id, r.cue_id, r.k, array_to_string(tok@.toks[r.s + 1 : r.e], ' ') AS txt, n, span_ms FROM rng@ r JOIN tok@ USING (project_id, cue_id)
+  UNION ALL SELECT project_id, cue_id, 0, text, 1, span_ms FROM tok@ WHERE n = 1)"""
+
+
+def _tokens_sql(side: str) -> str:
+    return rf"""list_filter(string_split(regexp_replace(txt_{side}, '([.!?؟۔…]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS sent_{side},
+    list_filter(string_split(txt_{side}, ' '), lambda x: x <> '') AS word_{side}"""
+
+
+@job("split_long_cues", rf"""
++WITH two AS (SELECT *, target_text AS txt_t, regexp_replace(target_text, '([aeiou])', '\1\1', 'g') AS txt_s FROM x2),
+base AS (SELECT *, start_ms + span_ms AS end_ms, {_tokens_sql('t')}, {_tokens_sql('s')} FROM two),
+n AS (SELECT *, GREATEST(1, LEAST(CAST(ceil(span_ms / 7000) AS BIGINT), len(word_t), len(word_s))) AS n FROM base),
+{CHUNKS.replace('@', '_t')},
+{CHUNKS.replace('@', '_s')},
+w AS (SELECT *, CAST(length(txt) AS BIGINT) AS w, GREATEST(7000, CAST(ceil(span_ms / n) AS BIGINT)) AS cap FROM chunk_t),
 s AS (SELECT *, ROW_NUMBER() OVER d - 1 AS j, CAST(SUM(w) OVER (PARTITION BY project_id, cue_id) AS BIGINT) AS t,
     CAST(COALESCE(SUM(w) OVER (PARTITION BY project_id, cue_id ORDER BY w DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS used
   FROM w WINDOW d AS (PARTITION BY project_id, cue_id ORDER BY w DESC, k)),
@@ -391,14 +401,14 @@ fl AS (SELECT *, CASE WHEN n = 1 THEN span_ms WHEN capped THEN cap ELSE ((span_m
 h AS (SELECT *, span_ms - SUM(fl) OVER (PARTITION BY project_id, cue_id) AS lft,
     COALESCE(SUM(cap - fl) OVER (PARTITION BY project_id, cue_id ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after_room FROM fl),
 d AS (SELECT *, CAST(fl + GREATEST(0, LEAST(cap - fl, lft - after_room)) AS BIGINT) AS ms FROM h)
-SELECT d.project_id, d.cue_id, k AS part, txt AS target_text, CAST(x2.start_ms + SUM(ms) OVER p - ms AS BIGINT) AS start_ms,
-  CAST(x2.start_ms + SUM(ms) OVER p AS BIGINT) AS end_ms, ROW_NUMBER() OVER (PARTITION BY d.project_id ORDER BY d.cue_id, k) - 1 AS new_id
-FROM d JOIN x2 ON x2.project_id = d.project_id AND x2.cue_id = d.cue_id WINDOW p AS (PARTITION BY d.project_id, d.cue_id ORDER BY k)""")
+SELECT d.project_id, d.cue_id, d.k AS part, d.txt AS target_text, s.txt AS source_text, CAST(x2.start_ms + SUM(ms) OVER p - ms AS BIGINT) AS start_ms,
+  CAST(x2.start_ms + SUM(ms) OVER p AS BIGINT) AS end_ms, ROW_NUMBER() OVER (PARTITION BY d.project_id ORDER BY d.cue_id, d.k) - 1 AS new_id
+FROM d JOIN chunk_s s ON s.project_id = d.project_id AND s.cue_id = d.cue_id AND s.k = d.k JOIN x2 ON x2.project_id = d.project_id AND x2.cue_id = d.cue_id WINDOW p AS (PARTITION BY d.project_id, d.cue_id ORDER BY d.k)""")
 def split_long_cues(spark, sf):
     c, order = fx.long_cues(spark, sf)
-    c = c.withColumns({"end_ms": F.col("start_ms") + F.col("span_ms"), "source_text": F.upper("target_text")})
+    c = c.withColumns({"end_ms": F.col("start_ms") + F.col("span_ms"), "source_text": F.regexp_replace("target_text", "([aeiou])", "$1$1")})
     out = split.split_long_cues(c.drop("span_ms"), order)
-    return out.select("project_id", "cue_id", "part", "target_text", "start_ms", "end_ms", "new_id")
+    return out.select("project_id", "cue_id", "part", "target_text", "source_text", "start_ms", "end_ms", "new_id")
 
 
 # --- rendering ------------------------------------------------------------------------------------
