@@ -80,9 +80,14 @@ def repetition_runs(texts: DataFrame, order: Order, min_run: int = REPETITION_RU
 
 def transcript_checks(
     cues: DataFrame, order: Order, silence_bar_ms: int = 5000, low_confidence: float = -1.0,
-    over_long_ms: int = OVER_LONG_MS,
+    over_long_ms: int = OVER_LONG_MS, no_speech: float = 0.6,
 ) -> DataFrame:
-    """Cue rows with one flag per check; a single pass over each track."""
+    """Cue rows with one flag per check; a single pass over each track.
+
+    ``non_speech`` says that the recogniser heard no speech with more than ``no_speech``; it is false where the cues
+    carry no ``no_speech_prob``.
+    """
+    silent = F.col("no_speech_prob") > no_speech if "no_speech_prob" in cues.columns else F.lit(False)
     c = running(cues, order, _prev=ordered.previous(F.struct("source_text", "end_ms")))
     prev_end = F.col("_prev")["end_ms"]
     same = F.coalesce(F.col("_prev")["source_text"] == F.col("source_text"), F.lit(False))
@@ -92,6 +97,7 @@ def transcript_checks(
         "after_silence": F.coalesce(F.col("start_ms") - prev_end > silence_bar_ms, F.lit(False)),
         "over_long": F.col("end_ms") - F.col("start_ms") > over_long_ms,
         "low_confidence": F.coalesce(F.col("confidence") < low_confidence, F.lit(False)),
+        "non_speech": F.coalesce(silent, F.lit(False)),
         "_same": same,
     })
     c = running(c, order, _same1=ordered.previous(F.col("_same")))
@@ -125,7 +131,7 @@ def transcript_decision(
 ) -> DataFrame:
     """Metrics and decision per track of ``projects`` (``source_ms`` known); no cues is a failure."""
     count = lambda flag: F.sum(F.col(flag).cast("long")).alias(flag)
-    flags = ["backwards", "repetition", "overlapping", "after_silence", "over_long", "low_confidence"]
+    flags = ["backwards", "repetition", "overlapping", "after_silence", "over_long", "low_confidence", "non_speech"]
     m = checks.groupBy(*TRACK).agg(F.count(F.lit(1)).alias("cue_count"), *[count(f) for f in flags])
     m = projects.join(m, list(TRACK), "left").fillna(0, ["cue_count", *flags])
     share = F.round(F.col("low_confidence") / F.col("cue_count"), 6)
@@ -189,6 +195,12 @@ def translation_findings(cues: DataFrame, trivial_words: int = 1) -> DataFrame:
     return c.select(*TRACK, "cue_id", "category", severity.alias("severity"))
 
 
+def translation_report(findings: DataFrame, tracks: DataFrame) -> DataFrame:
+    """One report a project over all its ``tracks``: the languages covered, its findings and one decision."""
+    covered = tracks.groupBy("project_id").agg(F.sort_array(F.collect_set("language")).alias("languages"))
+    return decide(findings, covered, ["project_id"])
+
+
 def gloss_findings(cues: DataFrame, min_ratio: float = 0.2, max_ratio: float = 5.0) -> DataFrame:
     """Context checks of the English gloss against its source."""
     source, target = F.trim("source_text"), F.trim("target_text")
@@ -254,6 +266,34 @@ def final_verdicts(probe: DataFrame, tolerance_ms: int = 1000) -> DataFrame:
     })
 
 
+def final_report(probes: DataFrame, tracks: DataFrame, tolerance_ms: int = 1000) -> DataFrame:
+    """One final decision a project, with a finding for each thing wrong in a language.
+
+    ``probes`` is ``(project_id, language, has_video, has_audio, container_ms, dub_ms)``. Only ``tracks``
+    ``(project_id, language, dub_enabled)`` with a dub are looked at; one without a file is a finding of its own, and a
+    file of a track without a dub is none. Gives ``languages`` looked at, ``findings`` in order of language, the widest
+    drift, and the decision; a project without dubs passes. Lists are as long as a project has languages.
+    """
+    dubs = tracks.groupBy("project_id", "language").agg(F.max("dub_enabled").alias("_dub"))
+    p = dubs.join(probes.withColumn("_file", F.lit(True)), ["project_id", "language"], "left")
+    none = F.array().cast("array<string>")
+    found = F.when(~F.col("_dub"), none).when(F.col("_file").isNull(), F.array(F.lit("missing-file"))).otherwise(
+        _final_categories(probes, tolerance_ms)
+    )
+    drift = F.when(F.col("_dub"), F.col("container_ms") - F.col("dub_ms"))
+    one = F.struct("language", found.alias("categories"), drift.alias("av_drift_ms"))
+    g = p.groupBy("project_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("_dub"), one))).alias("_checked"), F.max(F.abs(drift)).alias("widest_drift_ms")
+    )
+    findings = F.flatten(F.transform("_checked", lambda t: F.transform(t["categories"], lambda c: F.struct(
+        t["language"].alias("language"), c.alias("category"), F.lit("blocker").alias("severity"), t["av_drift_ms"].alias("av_drift_ms")
+    ))))
+    return g.select(
+        "project_id", F.transform("_checked", lambda t: t["language"]).alias("languages"), findings.alias("findings"),
+        "widest_drift_ms", F.when(F.size(findings) > 0, "FAIL").otherwise("PASS").alias("decision"),
+    )
+
+
 def pick_attempt(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """First attempt without problems, else the one with fewest problems, with a warning."""
     best = F.min(F.struct((F.col("problems") > 0).alias("bad"), F.when(F.col("problems") > 0, F.col("problems")).otherwise(0).alias("p"), F.col("attempt")))

@@ -36,7 +36,7 @@ def _measures(spark, sf):
 r AS (SELECT project_id, COUNT(*) AS repetition FROM (SELECT project_id, isl FROM f GROUP BY project_id, isl HAVING COUNT(*) >= 3) GROUP BY project_id),
 m AS (SELECT project_id, language, COUNT(*) AS cue_count, CAST(SUM(backwards::INT) AS BIGINT) AS backwards, CAST(SUM(overlapping::INT) AS BIGINT) AS overlapping,
     CAST(SUM(after_silence::INT) AS BIGINT) AS after_silence, CAST(SUM(over_long::INT) AS BIGINT) AS over_long,
-    CAST(SUM((confidence < -1.0)::INT) AS BIGINT) AS low_confidence FROM f GROUP BY project_id, language)
+    CAST(SUM((confidence < -1.0)::INT) AS BIGINT) AS low_confidence, COUNT(*) FILTER ((project_id + cue_id) % 10 > 6) AS non_speech FROM f GROUP BY project_id, language)
 SELECT m.*, COALESCE(repetition, 0) AS repetition, ROUND(low_confidence / cue_count, 6) AS low_confidence_share,
   cue_count * 10000 < source_ms AS too_coarse, source_ms,
   CASE WHEN backwards + COALESCE(repetition, 0) > 0 THEN 'FAIL'
@@ -44,7 +44,8 @@ SELECT m.*, COALESCE(repetition, 0) AS repetition, ROUND(low_confidence / cue_co
 FROM m LEFT JOIN r USING (project_id) JOIN dur USING (project_id, language)""")
 def transcript_qa_decision(spark: SparkSession, sf: str) -> DataFrame:
     plain, order = fx.cues(spark, sf)
-    checks = qa.transcript_checks(fx.untidy(plain), order, silence_bar_ms=1000, over_long_ms=8000)
+    heard = fx.untidy(plain).withColumn("no_speech_prob", (F.col("project_id") + F.col("cue_id")) % 10 / 10)
+    checks = qa.transcript_checks(heard, order, silence_bar_ms=1000, over_long_ms=8000)
     return qa.transcript_decision(checks, fx.durations(plain))
 
 
@@ -509,6 +510,24 @@ def translation_qa(spark, sf):
     return qa.decide(qa.translation_findings(c), c.select(*TRACK).distinct(), TRACK)
 
 
+@job("translation_report", TRANSLATION_SQL + """
+, tr AS (SELECT project_id, language FROM dur UNION SELECT project_id, 'ur' FROM dur WHERE project_id % 2 = 0),
+g AS (SELECT project_id, CASE category WHEN 'empty-target' THEN 'blocker' ELSE 'major' END AS severity FROM f WHERE category IS NOT NULL
+  UNION ALL SELECT project_id, 'blocker' FROM x1 WHERE project_id % 2 = 0 AND cue_id % 50 = 49),
+n AS (SELECT project_id, COUNT(*) FILTER (severity = 'major') AS majors, COUNT(*) FILTER (severity = 'blocker') AS blockers FROM g GROUP BY project_id)
+SELECT tr.project_id, string_agg(language, ',' ORDER BY language) AS languages, COALESCE(ANY_VALUE(majors), 0) AS majors, COALESCE(ANY_VALUE(blockers), 0) AS blockers,
+  CASE WHEN ANY_VALUE(blockers) > 0 THEN 'FAIL' WHEN ANY_VALUE(majors) > 0 THEN 'CONDITIONAL_PASS' ELSE 'PASS' END AS decision
+FROM tr LEFT JOIN n ON n.project_id = tr.project_id GROUP BY tr.project_id""")
+def translation_report(spark, sf):
+    """Each project's own language, and in every second project another one with a gap now and then."""
+    c, _ = fx.cues(spark, sf)
+    gap = F.when(F.col("cue_id") % 50 == 49, F.lit("")).otherwise(F.concat(F.lit("ur "), "source_text"))
+    other = c.filter(F.col("project_id") % 2 == 0).withColumns({"language": F.lit("ur"), "target_text": gap})
+    c = c.unionByName(other).select(*TRACK, "cue_id", "source_text", "target_text")
+    r = qa.translation_report(qa.translation_findings(c), c.select(*TRACK).distinct())
+    return r.select("project_id", F.array_join("languages", ",").alias("languages"), "majors", "blockers", "decision")
+
+
 @job("gloss_context", """
 +WITH g AS (SELECT *, (project_id + cue_id) % 13 = 0 AS mism FROM x1 WHERE language <> 'de'),
 f AS (SELECT project_id, language, 'note' AS severity FROM g WHERE trim(target_text) = trim(source_text) AND contains(trim(source_text), ' ')

@@ -56,23 +56,35 @@ def caption_documents(spark, sf):
 
 
 @job("asr_import", """
-SELECT project_id, language, cue_id, start_ms, end_ms, trim(source_text) AS source_text, trim(source_text) AS target_text, confidence,
+SELECT project_id, language, cue_id, start_ms, end_ms, trim(source_text) AS source_text, trim(source_text) AS target_text, confidence, cue_id % 10 / 10.0::DOUBLE AS no_speech_prob,
+  array_to_string(list_transform(string_split(source_text, ' '), lambda w, i: trim(w) || '@' || (start_ms + i * 10 - 10) || '-' || (start_ms + i * 10 - 1)), ' ') AS words,
   CASE WHEN project_id % 4 = 1 THEN CASE WHEN project_id % 8 = 1 THEN 'error' ELSE 'note' END ELSE '' END AS mismatch FROM x1""")
 def asr_import(spark, sf):
     c, _ = fx.cues(spark, sf)
     path = _folder(spark, "asr")
     seconds = lambda n: F.col(n) / 1000
+    at = lambda i: F.col("start_ms") + i * 10
+    words = F.transform(F.split("source_text", " "), lambda w, i: F.struct(
+        F.concat(F.lit(" "), w).alias("word"), (at(i) / 1000).alias("start"), ((at(i) + 9) / 1000).alias("end"),
+        F.lit(0.5).alias("probability"),
+    ))
     items = {
         "id": F.col("cue_id"), "start": seconds("start_ms"), "end": seconds("end_ms"),
         "text": F.concat(F.lit(" "), "source_text"), "avg_logprob": F.col("confidence"),
+        "no_speech_prob": F.col("cue_id") % 10 / 10, "words": words,
     }
     docs.write_cue_documents(c.withColumn("project_id", F.col("project_id").cast("string")), path, TRACK, items, array="segments")
     asr = _long_id(docs.read_whisper(spark, path))
     p = F.col("project_id")
     declared = asr.select("project_id", F.when(p % 4 == 1, "en").otherwise(F.upper("language")).alias("declared"), (p % 8 != 1).alias("forced")).distinct()
     bad = docs.language_mismatches(asr, declared).select("project_id", F.col("severity").alias("mismatch"))
+    timed = F.transform("words", lambda w: F.concat(w["word"], F.lit("@"), w["start_ms"].cast("string"), F.lit("-"), w["end_ms"].cast("string")))
+    asr = asr.withColumn("word_times", F.array_join(timed, " "))
     out = docs.as_captions(asr).join(bad, "project_id", "left").fillna("", ["mismatch"])
-    return out.select(*TRACK, "cue_id", "start_ms", "end_ms", "source_text", "target_text", "confidence", "mismatch")
+    return out.select(
+        *TRACK, "cue_id", "start_ms", "end_ms", "source_text", "target_text", "confidence", "no_speech_prob",
+        F.col("word_times").alias("words"), "mismatch",
+    )
 
 
 @job("event_documents", """

@@ -343,6 +343,41 @@ def final_qa(spark, sf):
     return qa.final_verdicts(p).select("project_id", first.alias("category"), "av_drift_ms", "decision")
 
 
+PROBED = """
++WITH l AS (SELECT l_orderkey AS project_id, l_linenumber AS pos, MIN(l_partkey) AS p, MIN(l_suppkey) AS s FROM lineitem GROUP BY ALL),
+t AS (SELECT project_id, (%s)[pos %% %d + 1] AS language, pos %% 3 <> 0 AS dub, s %% 23 <> 0 AS file, s %% 40 <> 0 AS video, p %% 50 <> 0 AS audio,
+    (p * 37) %% 2601 - 1300 AS drift FROM l)"""
+
+
+@job("final_report", PROBED % (_sql_list(fx.CODES), len(fx.CODES)) + """,
+c AS (SELECT project_id, language, dub, CASE WHEN dub AND file THEN drift END AS drift, unnest(CASE WHEN NOT dub THEN [''] WHEN NOT file THEN ['1 missing-file'] ELSE
+    ['', CASE WHEN NOT video THEN '1 missing-video' END, CASE WHEN NOT audio THEN '2 missing-stream' END, CASE WHEN abs(drift) > 1000 THEN '3 av-drift' END] END) AS wrong FROM t)
+SELECT project_id, COALESCE(string_agg(DISTINCT language, ',' ORDER BY language) FILTER (dub), '') AS languages,
+  COALESCE(string_agg(language || ':' || substr(wrong, 3), ',' ORDER BY language, wrong) FILTER (wrong <> ''), '') AS findings,
+  COALESCE(MAX(abs(drift)), -1) AS widest_drift_ms, CASE WHEN COUNT(*) FILTER (wrong <> '') > 0 THEN 'FAIL' ELSE 'PASS' END AS decision
+FROM c GROUP BY project_id""")
+def final_report(spark, sf):
+    """A project an order, a track a line of it; some tracks have no dub, some dubs no file."""
+    at, codes = F.col("l_linenumber"), F.array(*[F.lit(c) for c in fx.CODES])
+    li = fx.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s")
+    )
+    t = li.select(
+        F.col("l_orderkey").alias("project_id"), F.element_at(codes, (at % len(fx.CODES) + 1).cast("int")).alias("language"),
+        (at % 3 != 0).alias("dub_enabled"), (F.col("s") % 40 != 0).alias("has_video"), (F.col("p") % 50 != 0).alias("has_audio"),
+        (1000 * (F.col("p") + 60)).alias("container_ms"), ((F.col("p") * 37) % 2601 - 1300).alias("drift"), "s",
+    )
+    probes = t.filter(F.col("s") % 23 != 0).select(
+        "project_id", "language", "has_video", "has_audio", "container_ms", (F.col("container_ms") - F.col("drift")).alias("dub_ms")
+    )
+    r = qa.final_report(probes, t.select("project_id", "language", "dub_enabled"))
+    listed = F.transform("findings", lambda f: F.concat_ws(":", f["language"], f["category"]))
+    return r.select(
+        "project_id", F.array_join("languages", ",").alias("languages"), F.array_join(listed, ",").alias("findings"),
+        F.coalesce("widest_drift_ms", F.lit(-1)).alias("widest_drift_ms"), "decision",
+    )
+
+
 # --- ledgers --------------------------------------------------------------------------------------
 
 @job("budget_status", """

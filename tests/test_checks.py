@@ -156,6 +156,23 @@ def test_final_check(spark):
     assert got == {("fr", "av-drift", -446319), ("de", "missing-stream", 0)}
 
 
+def test_final_report_by_project(spark):
+    probes = spark.createDataFrame(
+        [(1, "fr", True, True, 1624540, 2070859), (1, "en", True, True, 1488020, 1487537), (1, "de", False, False, 5, 5000),
+         (2, "en", True, True, 10, 10), (3, "en", False, False, 1, 1)],
+        "project_id long, language string, has_video boolean, has_audio boolean, container_ms long, dub_ms long",
+    )
+    tracks = spark.createDataFrame(
+        [(1, "fr", True), (1, "en", True), (1, "de", True), (1, "es", True), (2, "en", True), (3, "en", False)],
+        "project_id long, language string, dub_enabled boolean",
+    )
+    got = {r.project_id: r for r in qa.final_report(probes, tracks).collect()}
+    assert [(f.language, f.category) for f in got[1].findings] == [
+        ("de", "missing-video"), ("de", "missing-stream"), ("de", "av-drift"), ("es", "missing-file"), ("fr", "av-drift")]
+    assert (got[1].decision, got[1].languages, got[1].widest_drift_ms) == ("FAIL", ["de", "en", "es", "fr"], 446319)
+    assert (got[2].decision, got[2].findings) == ("PASS", []) and (got[3].decision, got[3].languages) == ("PASS", [])
+
+
 def test_retry_pick(spark):
     a = spark.createDataFrame([(1, 0, 3), (1, 1, 0), (1, 2, 0), (2, 0, 3), (2, 1, 1)], "v long, attempt long, problems long")
     got = {(r.v, r.attempt, r.warning) for r in qa.pick_attempt(a, ["v"]).collect()}
